@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A new schema with more fields at the end (add() would change df.schema itself)."""
+    made = T.StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        made = made.add(name, kind)
+    return made
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
