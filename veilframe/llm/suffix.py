@@ -38,10 +38,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import stage
+from veilframe.llm.common import grown, stage
 
 #: Bytes of packed text in a chunk, of text for each bucket, of strings in a shard.
-CHUNK, BUCKET, SHARD = 1 << 21, 1 << 23, 1 << 20
+CHUNK, BUCKET, SHARD = 1 << 21, 1 << 21, 1 << 18
 #: Share of a window that names it.
 SEED_SHARE = 0.5
 NONE = (1 << 63) - 1
@@ -299,7 +299,7 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     deep = max(map(len, strings)) + 1
     wide = np.concatenate((text, np.zeros(deep, np.uint8)))
     order = np.argsort(np.ndarray((len(text),), f"S{deep}", wide, 0, (1,)), kind="stable")
-    return order, text[order - 1]
+    return order.astype(np.int32), text[order - 1]
 
 
 def merged(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,14 +332,13 @@ def repeated_windows(strings: list[bytes], keys: np.ndarray, length: int, shard:
         if held >= shard or i + 1 == len(strings):
             shards.append((at, i + 1))
             at, held = i + 1, 0
-    arrays, transforms, owner, offset = [], [], [], []
+    transforms, owner, offset = [], [], []
     for a, b in shards:
         own = strings[a:b]
         order, bwt = transform(own)
-        sizes = np.array([len(s) + 1 for s in own])
-        starts = np.cumsum(sizes) - sizes
-        which = np.repeat(np.arange(a, b), sizes)
-        arrays.append(order)
+        sizes = np.array([len(s) + 1 for s in own], np.int32)
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        which = np.repeat(np.arange(a, b, dtype=np.int32), sizes)
         transforms.append(bwt)
         owner.append(which[order])
         offset.append(order - starts[which[order] - a])
@@ -407,7 +406,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     met = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge(length), "chunk long, cuts binary")
     own = runs.where("bucket < 0").select("chunk", F.col("runs").alias("cuts"))
     cuts = met.unionByName(own).groupBy("chunk").agg(F.collect_list("cuts").alias("cuts"))
-    schema = docs.select(*rest).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
-        schema = schema.add(name, kind)
+    schema = grown(docs.select(*rest).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
     return chunks.join(cuts, "chunk", "left").mapInArrow(_cut, schema)
