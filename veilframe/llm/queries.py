@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, exact, quality, shards, simhash, suffix
+from veilframe.llm import bpe, exact, lm, quality, shards, simhash, suffix
 from veilframe.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.remove_repeats(docs).select(
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_shards": op5_shards,
     "op7_fingerprint": op7_fingerprint,
+    "op8_lm": op8_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
