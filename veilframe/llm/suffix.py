@@ -42,13 +42,13 @@ from veilframe.llm.common import grown, stage
 
 #: Bytes of packed text in a chunk, of text for each bucket, of strings in a shard.
 CHUNK, BUCKET, SHARD = 1 << 21, 1 << 21, 1 << 18
-#: Share of a window that names it.
-SEED_SHARE = 0.5
+#: Length of a seed as a share of the window's.
+SEED_SHARE = 0.4
 NONE = (1 << 63) - 1
 
 
 def _zip(*parts: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() if isinstance(p, np.ndarray) else p for p in parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() if isinstance(p, np.ndarray) else p for p in parts))
 
 
 def _unzip(b: bytes) -> bytes:
@@ -198,8 +198,8 @@ def _shared(group: pa.Table) -> pa.Table:
 
 
 def _send_runs(length: int, buckets: int):
-    """Rows (bucket, chunk, runs) for buckets; and with bucket -1 the intervals (from, bytes)
-    that the chunk finds by itself."""
+    """Rows (bucket, chunk, runs) for buckets; with a bucket below 0 the intervals (from,
+    bytes) that the chunk finds by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,20 +222,36 @@ def _send_runs(length: int, buckets: int):
                     seen.setdefault(pieces[j], j)
                 holder = np.fromiter(map(seen.__getitem__, pieces), np.int64, len(pieces))
                 later = keys[doc] > keys[doc[holder]] if len(doc) else np.zeros(0, bool)
-                if later.any():
-                    yield _row(-1, row["chunk"], _zip(first[later], size[later]))
+                if later.any():  # a group of its own, which is passed on as it is
+                    yield _row(-1 - row["chunk"], row["chunk"], _zip(first[later], size[later]))
                 # equal strings of the holder's own document are judged like the holder's
                 sent = np.flatnonzero(~later)
                 sent = sent[np.argsort(own[sent], kind="stable")]  # by seed, so by bucket
                 cut = np.searchsorted(_bucket(own[sent], buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                     p = sent[cut[b] : cut[b + 1]]
-                    table = np.stack((own[p].view(np.int64), keys[doc[p]], first[p], size[p]))
-                    yield _row(b, row["chunk"], _zip(np.int64(len(p)).tobytes(), table, *[pieces[j] for j in p.tolist()]))
+                    table = _planes(own[p].astype(np.uint32), keys[doc[p]], first[p].astype(np.uint32), size[p].astype(np.uint16))
+                    yield _row(b, row["chunk"], _zip(len(p).to_bytes(8, "little"), *table, *[pieces[j] for j in p.tolist()]))
 
     return run
 
 
+def _planes(*columns: np.ndarray) -> list[bytes]:
+    """Columns with their first bytes together, then their second ones and so on, which
+    compresses better."""
+    return [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+
+
+def _columns(raw: bytes, at: int, n: int, *kinds: str) -> tuple[list[np.ndarray], int]:
+    out = []
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return out, at
+
+
 def _row(bucket: int, chunk: int, runs: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([bucket]), pa.array([chunk]), pa.array([runs], pa.binary())], ["bucket", "chunk", "runs"]
@@ -246,22 +262,26 @@ def _judge(length: int):
     """Rows (chunk, cuts) with the intervals to remove that a bucket's runs give."""
 
     def run(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            return group.select(["chunk", "runs"]).rename_columns(["chunk", "cuts"])
         strings, tables, chunks = [], [], []
         for chunk, blob in zip(group.column("chunk").to_pylist(), group.column("runs"), strict=True):
             raw = _unzip(blob.as_py())
             n = int.from_bytes(raw[:8], "little")
-            tables.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n))
-            ends = np.cumsum(tables[-1][3]) + 8 + 32 * n
-            strings += [raw[e - m : e] for e, m in zip(ends.tolist(), tables[-1][3].tolist(), strict=True)]
+            columns, at = _columns(raw, 8, n, "u4", "i8", "u4", "u2")
+            tables.append(columns)
+            ends = np.cumsum(columns[3], dtype=np.int64) + at
+            strings += [raw[e - m : e] for e, m in zip(ends.tolist(), columns[3].tolist(), strict=True)]
             chunks.append(np.full(n, chunk))
-        (seed, key, start, size), chunk = np.concatenate(tables, axis=1), np.concatenate(chunks)
+        seed, key, start, size = (np.concatenate(x) for x in zip(*tables, strict=True))
+        start, size, chunk = start.astype(np.int64), size.astype(np.int64), np.concatenate(chunks)
         number: dict[bytes, int] = {}
         which = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
         least = np.full(len(number), NONE)
         np.minimum.at(least, which, key)
         again = key > least[which]
         out = [(chunk[again], start[again], size[again])]
-        seed_of = np.empty(len(number), np.int64)
+        seed_of = np.empty(len(number), np.uint32)
         seed_of[which] = seed
         _, inverse, counts = np.unique(seed_of, return_inverse=True, return_counts=True)
         met = np.flatnonzero(counts[inverse] > 1)  # strings that share a seed with another string
@@ -382,12 +402,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     A null text is empty. A null key counts as larger than all others; rows with equal keys
     don't remove each other's bytes. Texts shorter than `length` stay whole. Other columns are
-    carried, except that the four names above must be free. An empty table gives an empty
+    carried, but those with the four names above are replaced. An empty table gives an empty
     table."""
-    made = {"n_bytes", "n_removed", "n_spans", "kept"} & set(docs.columns) - {text}
-    if made:
-        raise ValueError(f"docs already has columns {sorted(made)}")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     plain = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *rest)
     chunks = stage(plain.mapInArrow(_pack, "chunk long, n_bytes long, rest binary, ends binary, text binary"), "chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
@@ -400,11 +417,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         .groupBy("chunk")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
     )
-    runs = stage(
-        chunks.join(marks, "chunk", "left").mapInArrow(_send_runs(length, buckets), "bucket long, chunk long, runs binary"), "runs"
-    )
-    met = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge(length), "chunk long, cuts binary")
-    own = runs.where("bucket < 0").select("chunk", F.col("runs").alias("cuts"))
-    cuts = met.unionByName(own).groupBy("chunk").agg(F.collect_list("cuts").alias("cuts"))
+    runs = chunks.join(marks, "chunk", "left").mapInArrow(_send_runs(length, buckets), "bucket long, chunk long, runs binary")
+    judged = runs.groupBy("bucket").applyInArrow(_judge(length), "chunk long, cuts binary")
+    cuts = judged.groupBy("chunk").agg(F.collect_list("cuts").alias("cuts"))
     schema = grown(docs.select(*rest).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
     return chunks.join(cuts, "chunk", "left").mapInArrow(_cut, schema)
