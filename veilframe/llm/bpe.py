@@ -160,19 +160,16 @@ def _mapped(df: DataFrame, source: str, target: str, change, size: int = 256) ->
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with the binary column ids: the text's token ids, four little-endian bytes each.
 
-    A null text counts as empty and has no ids. Special tokens are ordinary text. All other
-    columns stay; ids must not be among them. Rows are independent: repeated rows, ties and
+    A null text counts as empty and has no ids. Special tokens are ordinary text. Other
+    columns stay, but one named like ids is replaced. Rows are independent: repeated rows, ties and
     empty tables need no care."""
-    if ids in docs.columns:
-        raise ValueError(f"docs already has a column {ids}")
-    return _mapped(docs, text, ids, lambda x: coder(path, pattern).encode(x or ""))
+    return _mapped(docs.drop(ids), text, ids, lambda x: coder(path, pattern).encode(x or ""))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """docs with the binary column out: the bytes that ids stand for (null ids: none)."""
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
-    return _mapped(docs, ids, out, lambda x: coder(path, pattern).decode(x or b""))
+    """docs with the binary column out: the bytes that ids stand for (null ids:
+    none). A column named like out is replaced."""
+    return _mapped(docs.drop(out), ids, out, lambda x: coder(path, pattern).decode(x or b""))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

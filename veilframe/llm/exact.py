@@ -66,9 +66,8 @@ def _named(df: DataFrame, clash: DataFrame, digest_col: str, sha_col: str, out:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with their fingerprint. A null text is empty, an empty text has a fingerprint like
-    any other, all other columns stay and are not read. An empty table gives an empty table."""
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
+    any other. Other columns stay, but those named like out, _digest or _sha are dropped. An empty table gives an empty table."""
+    docs = docs.drop(out, "_digest", "_sha")
     schema = grown(docs.schema, _digest="string", _sha="string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,9 +157,9 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability of label 1, from the text alone. A null text is empty; an
-    empty text has the probability that the bias gives. Repeated rows score alike."""
-    if out in docs.columns:
-        raise ValueError(f"docs already has a column {out}")
+    empty text has the probability that the bias gives. Repeated rows score alike. A column
+    named like out is replaced."""
+    docs = docs.drop(out)
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     schema = grown(docs.schema, **{out: "double"})
 

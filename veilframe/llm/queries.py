@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, exact, lm, quality, shards, simhash, suffix
+from veilframe.llm import bpe, exact, lm, mixing, quality, shards, simhash, suffix
 from veilframe.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", taken)
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.assign(table(spark, sf_dir, "documents"), [1.0] * 40)
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -61,6 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op4_mix": op4_mix,
     "op5_shards": op5_shards,
     "op7_fingerprint": op7_fingerprint,
     "op8_lm": op8_lm,
