@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, exact, lm, mixing, quality, shards, simhash, suffix
+from veilframe.llm import bpe, exact, grid, lm, mixing, quality, shards, simhash, suffix
 from veilframe.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = grid.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learned(docs, table(spark, sf_dir, "labels"))
@@ -66,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_embeddings": op2_embeddings,
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_shards": op5_shards,
