@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def rate(size: Column, target: Column, cap: int = CAP) -> Column:
     """exp of the dual's minimum: Newton's steps from 0, at most 2 up and 1 down each."""
     tilt = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), lambda t, _: t + F.least(target / (size * F.exp(t)) - 1, F.lit(2.0))
+        F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), lambda t, _: t + F.least(F.try_divide(target, size * F.exp(t)) - 1, F.lit(2.0))
     )
     found = F.least(F.exp(tilt), F.lit(float(cap)))
     whole = F.round(found)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, exact, grid, lm, mixing, quality, shards, simhash, suffix
+from veilframe.llm import bpe, exact, grid, lm, mixing, quality, shards, simhash, suffix, urls
 from veilframe.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_mix": op4_mix,
     "op5_shards": op5_shards,
+    "op6_urls": op6_urls,
     "op7_fingerprint": op7_fingerprint,
     "op8_lm": op8_lm,
     "op9_suffix_dedup": op9_suffix_dedup,
