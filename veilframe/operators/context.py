@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import BLANK, java, matches, same_clause, slice_of, union
 from veilframe.functions.validators import amount
 from veilframe.operators.findings import COLUMNS, band_of, default_decision
+from veilframe.plans.folds import folded
 from veilframe.plans.staging import staged
 from veilframe.rules import fixed
 from veilframe.rules.tables import HEALTH_LINES, HEALTH_RADIUS, THRESHOLD
@@ -88,33 +88,27 @@ def _pairs(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, flags
 
 
-TAKEN = "doc_id long, page int, kind string, seq long, word string, score int, k_start int"
-
-
-def _take(group: pd.DataFrame) -> pd.DataFrame:
+def _take(rows: list[dict]) -> list[dict]:
     """Roles: pairs in order of score, each keyword and each name once."""
-    group = group.sort_values(["score", "k_start", "n_start"], kind="stable")
     words, names, kept = set(), set(), []
-    for i, row in enumerate(group.itertuples()):
-        if row.k_start not in words and row.seq not in names:
-            words.add(row.k_start)
-            names.add(row.seq)
-            kept.append(i)
-    return group.iloc[kept][["doc_id", "page", "kind", "seq", "word", "score", "k_start"]]
+    for row in rows:
+        if row["k_start"] not in words and row["seq"] not in names:
+            words.add(row["k_start"])
+            names.add(row["seq"])
+            kept.append(row)
+    return kept
 
 
 def associated(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """kind, word of each keyword at the name it belongs to: the nearest one, a keyword at one
     name only. Without exclusive names that is the first pair of each keyword; where a name
     too takes one keyword only (roles), pairs are taken in order, page by page."""
-    from pyspark.sql import Window
-
     pairs, flags = _pairs(pages, names)
     pairs = staged(pairs, "pairs")
     first = Window.partitionBy("doc_id", "page", "kind", "k_start").orderBy("score", "n_start")
     free = pairs.where("kind <> 'role'").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    roles = pairs.where("kind = 'role'").groupBy("doc_id", "page").applyInPandas(_take, TAKEN)
-    return free.select("doc_id", "page", "kind", "seq", "word", "score", "k_start").unionByName(roles), flags
+    roles = folded(pairs.where("kind = 'role'"), ["doc_id", "page"], ["score", "k_start", "n_start"], _take)
+    return free.drop("nth").unionByName(roles), flags
 
 
 def classified(pages: DataFrame, findings: DataFrame) -> DataFrame:

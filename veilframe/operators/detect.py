@@ -101,9 +101,6 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
     text, shadowed, start, end = F.col("text"), F.col("shadow"), F.col("start"), F.col("end")
     own = slice_of(text, start, end)
 
-    def of(*kinds) -> DataFrame:
-        return rows.where(F.col("d").isin([i for i, x in enumerate(detectors) if kind(x) in kinds]))
-
     def kind(x: Detector) -> str:
         if x.name.startswith("name-"):
             return "name"
@@ -111,44 +108,45 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
             return "clause"
         return x.validator or "plain"
 
+    def of(name: str) -> Column:
+        return F.col("d").isin([i for i, x in enumerate(detectors) if kind(x) == name])
+
     def by_detector(value) -> Column:
         return F.get(F.array(*[F.lit(value(x)) for x in detectors]), F.col("d"))
 
-    def finding(df: DataFrame, note: Column | None = None, **columns: Column) -> DataFrame:
-        nothing = F.lit(None).cast("string")
-        header = by_detector(lambda x: HEADER_NOTE if x.name in ("landline", "address") else "")
-        return df.select(
-            "doc_id", "page", (F.col("d").cast("long") * STRIDE + F.col("base") + start).alias("seq"),
-            (F.col("base") + start).alias("start"), (F.col("base") + end).alias("end"), own.alias("text"),
-            columns.get("category", by_detector(lambda x: x.category)).alias("category"),
-            by_detector(lambda x: x.name).alias("detector"), (header if note is None else note).alias("note"),
-            columns.get("proposal_key", nothing).alias("proposal_key"), columns.get("subject_key", nothing).alias("subject_key"),
-        )
-
-    parts = [finding(of("plain"))]
-    for name in ("tax_code", "luhn", "personal_email"):
-        parts.append(finding(of(name).where(VALIDATORS[name](own))))
-    parts.append(finding(of("birth_date").where(birth_date(own, as_of))))
+    # what takes several looks at the surroundings is worked out once and kept
+    grown = extended(text, shadowed, start, end, by_detector(lambda x: CATEGORIES[x.category][3]), by_detector(lambda x: CATEGORIES[x.category][4]))
+    name = trimmed(text, start, end, F.lit(0.0))
     # an account number may have swallowed the words after it
-    wanted = iban_length(own)
     places = F.filter(F.sequence(F.lit(1), F.length(own)), lambda i: ~F.substring(own, i, F.lit(1)).rlike(r"\s"))
-    cut = F.get(places, wanted - 1)
-    numbers = of("iban").withColumn("end", F.when(~iban(own) & cut.isNotNull(), start + cut).otherwise(end))
-    parts.append(finding(numbers.where(iban(own))))
-    vat = of("vat_number").where(VALIDATORS["vat_number"](own)).withColumn("context", _vat_context(text, shadowed, F.col("lead"), end))
+    cut = F.get(places, iban_length(own) - 1)
+    rows = rows.withColumns({
+        "grown": F.when(of("clause"), grown),
+        "named": F.when(of("name"), name),
+        "cut": F.when(of("iban"), F.when(~iban(own), start + cut)),
+        "context": F.when(of("vat_number"), _vat_context(text, shadowed, F.col("lead"), end)),
+    })
+    rows = staged(rows, "surroundings").where(~of("name") | F.col("named").isNotNull())
+    rows = rows.withColumns({
+        "start": F.coalesce("grown.start", "named.start", "start"), "end": F.coalesce("grown.end", "named.end", "cut", "end"),
+    })
+    rows = rows.withColumn("own", own)
+    parts = [rows.where(of("plain") | of("clause") | of("name"))]
+    for check in ("tax_code", "luhn", "personal_email", "iban", "vat_number"):
+        parts.append(rows.where(of(check) & VALIDATORS[check](F.col("own"))))
+    parts.append(rows.where(of("birth_date") & birth_date(F.col("own"), as_of)))
     whose = F.col("context")
+    header = by_detector(lambda x: HEADER_NOTE if x.name in ("landline", "address") else "")
     note = F.when(whose == "person", "VAT number in the context of a natural person")
-    note = note.when(whose == "company", "VAT number in the context of a company or body").otherwise("")
-    parts.append(
-        finding(vat, note, category=F.when(whose == "person", "B1").otherwise("C6"), proposal_key=F.when(whose == "company", "C6_company"))
-    )
-    grown = extended(text, shadowed, start, end, by_detector(lambda x: CATEGORIES[x.category][3]), by_detector(lambda x: CATEGORIES[x.category][4]))
-    clauses = of("clause").withColumn("span", grown).withColumns({"start": F.col("span.start"), "end": F.col("span.end")})
-    parts.append(finding(clauses))
-    names = of("name").withColumn("span", trimmed(text, start, end, F.lit(0.0))).where("span is not null")
-    names = names.withColumns({"start": F.col("span.start"), "end": F.col("span.end")})
-    parts.append(finding(names, subject_key=name_key(F.col("span.name"))))
-    return reduce(DataFrame.unionByName, parts)
+    note = note.when(whose == "company", "VAT number in the context of a company or body").otherwise(header)
+    return reduce(DataFrame.unionByName, parts).select(
+        "doc_id", "page", (F.col("d").cast("long") * STRIDE + F.col("base") + start).alias("seq"),
+        (F.col("base") + start).alias("start"), (F.col("base") + end).alias("end"), F.col("own").alias("text"),
+        F.when(whose == "person", "B1").otherwise(by_detector(lambda x: x.category)).alias("category"),
+        by_detector(lambda x: x.name).alias("detector"), note.alias("note"),
+        F.when(whose == "company", "C6_company").alias("proposal_key"),
+        F.when(of("name"), name_key(F.col("named.name"))).alias("subject_key"),
+    )
 
 
 def page_findings(pages: DataFrame) -> DataFrame:

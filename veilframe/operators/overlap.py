@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.findings import COLUMNS, SCHEMA
+from veilframe.operators.findings import COLUMNS
+from veilframe.plans.folds import folded
 from veilframe.rules.tables import PERSONS, PRIORITY
 
 
-def _resolve(page: pd.DataFrame) -> pd.DataFrame:
+def _resolve(rows: list[dict]) -> list[dict]:
     """One page: an ordered fold over its spans, in which a kept span may grow."""
-    rows = page.sort_values(["start", "seq"], kind="stable").to_dict("records")
     kept: list[dict] = []
     for row in rows:
         person, rank, keep = row["category"] in PERSONS, PRIORITY[row["band"]], True
@@ -39,7 +38,7 @@ def _resolve(page: pd.DataFrame) -> pd.DataFrame:
                 del kept[i]
         if keep:
             kept.append(row)
-    return pd.DataFrame(kept, columns=list(page.columns))
+    return kept
 
 
 def resolved(findings: DataFrame) -> DataFrame:
@@ -47,8 +46,8 @@ def resolved(findings: DataFrame) -> DataFrame:
     inside the other goes if its band is no stronger; spans of equally strong bands that
     overlap in part become their union; names and other data never displace each other; other
     overlaps stay. Findings without a place stay as they are."""
-    spans = findings.where("start is not null").groupBy("doc_id", "page").applyInPandas(_resolve, SCHEMA)
-    return spans.select(*COLUMNS).unionByName(findings.where("start is null").select(*COLUMNS))
+    spans = folded(findings.where("start is not null").select(*COLUMNS), ["doc_id", "page"], ["start", "seq"], _resolve)
+    return spans.unionByName(findings.where("start is null").select(*COLUMNS))
 
 
 def merged(intervals: Column) -> Column:
