@@ -29,7 +29,7 @@ SIZE = 1 << BITS
 #: Learning rate, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.0005
 #: Words of a long text that are hashed at a time; remembered words in a worker.
-BLOCK, REMEMBERED = 1 << 16, 400_000
+BLOCK, REMEMBERED = 1 << 16, 100_000
 
 SHAPE = {i: "9" if 48 <= i < 58 else "X" if 65 <= i < 91 else "x" if 97 <= i < 123 else chr(i) for i in range(128)}
 
@@ -169,6 +169,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             m = np.array([margin(x.as_py(), weights, bias) for x in batch.column(batch.schema.get_field_index(text))])
             made = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, out])
+        _hashes().clear()  # the worker process lives on for other stages
 
     return docs.mapInArrow(run, schema)
 
