@@ -124,9 +124,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in rest.agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         mass[r["k"]], types[r["k"]] = r["c"], r["n"]
     below = np.where(np.arange(CLASSES) > WORDS, np.log10(mass + 0.5 * (types + 1)), 0.0)
+    prior = mass + 0.5 / SUFFIXES  # the half count of unseen tokens
     total = int(mass.sum())
     distinct = int(types.sum()) + sum(c > 0 for c in count[: one + 1])
-    return Vocabulary(_Index(zip(words, range(len(words)), strict=True)), count, kind, total, distinct, (mass + 0.5) / (mass + 0.5).sum(), below)
+    return Vocabulary(_Index(zip(words, range(len(words)), strict=True)), count, kind, total, distinct, prior / prior.sum(), below)
 
 
 @dataclass
