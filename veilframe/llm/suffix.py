@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a
 smaller id. What is left is judged on the input, never on earlier removals.
 
-Steps, each a Spark job over tables keyed by chunk (about two MB of packed documents) or by
+Steps, each a Spark job over tables keyed by chunk (about one MB of packed documents) or by
 bucket of a hash:
 
 1. pack      documents become compressed chunks, so that a text moves as few large rows.
@@ -41,9 +41,11 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import grown, stage
 
 #: Bytes of packed text in a chunk, of text for each bucket, of strings in a shard.
-CHUNK, BUCKET, SHARD = 1 << 21, 1 << 21, 1 << 18
+CHUNK, BUCKET, SHARD = 1 << 20, 1 << 21, 1 << 17
+#: Bytes of strings that are merged at a time (more only where they all share one seed).
+MERGED = 1 << 19
 #: Length of a seed as a share of the window's.
-SEED_SHARE = 0.4
+SEED_SHARE = 0.5
 NONE = (1 << 63) - 1
 
 
@@ -287,8 +289,16 @@ def _judge(length: int):
         met = np.flatnonzero(counts[inverse] > 1)  # strings that share a seed with another string
         if len(met):
             distinct = list(number)
-            string, offset = repeated_windows([distinct[i] for i in met.tolist()], least[met], length)
-            string = met[string]
+            met = met[np.argsort(seed_of[met], kind="stable")]
+            ends = np.cumsum([len(distinct[i]) for i in met.tolist()])
+            last = np.flatnonzero(np.append(seed_of[met][1:] != seed_of[met][:-1], True))  # of each seed
+            part = np.unique(last[np.append(np.flatnonzero(np.diff(ends[last] // MERGED)), len(last) - 1)]) + 1
+            found = []
+            for i, j in zip([0, *part[:-1].tolist()], part.tolist(), strict=True):  # equal windows share a seed
+                own = met[i:j]
+                which_, offset = repeated_windows([distinct[k] for k in own.tolist()], least[own], length)
+                found.append((own[which_], offset))
+            string, offset = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((offset, string))
             string, offset = string[order], offset[order]
             first = np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] > offset[:-1] + 1)))[: len(string)]
