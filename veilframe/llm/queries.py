@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, exact, grid, lm, mixing, quality, shards, simhash, suffix, urls
 from veilframe.llm.common import table
+from veilframe.llm.oracles import ORACLE_SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
