@@ -154,6 +154,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+# card_findings and certainty_report have none: DuckDB's patterns cannot look ahead, which tells
+# numbers side by side apart.
 # ---- SQL -----------------------------------------------------------------------------------
 
 
@@ -166,17 +168,6 @@ _LUHN = (
     "WHEN CAST(substr(reverse(d), i, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(d), i, 1) AS INT) - 9 "
     "ELSE 2 * CAST(substr(reverse(d), i, 1) AS INT) END)) % 10 = 0"
 )
-_CARDS = f"""
-WITH parts AS (
-  SELECT doc_id, string_split(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}])((?:[0-9][\\s-]?){{12,18}}[0-9])', '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1)) p
-  FROM documents),
-cut AS (
-  SELECT doc_id, list_sum(list_transform(p[1:i - 1], lambda x: length(x))) AS start, p[i] AS own, coalesce(p[i + 1], '') AS nxt,
-         regexp_replace(p[i], '[^0-9]', '', 'g') d
-  FROM parts, unnest(range(2, len(p) + 1, 2)) AS u(i))
-SELECT doc_id, CAST(start AS BIGINT) AS start, d AS digits FROM cut
-WHERE NOT regexp_matches(nxt, '^[\\p{{L}}\\p{{N}}]') AND length(d) BETWEEN 13 AND 19
-  AND length(replace(d, substr(d, 1, 1), '')) > 0 AND {_LUHN}"""
 _ENDS = " OR ".join(f"ends_with(dom, '{d}') OR dom = '{d[1:]}'" for d in fixed.INSTITUTION_DOMAINS if d.startswith("."))
 _STARTS = "|".join(d for d in fixed.INSTITUTION_DOMAINS if not d.startswith("."))
 _EMAILS = f"""
@@ -206,7 +197,6 @@ def _by_sentence(value) -> str:
 _PRIVATE = {"B8": "mask", "P": "keep", "B7": "mask", "C1_contractor": "mask", "C1": "mask"}
 ORACLE_SQL: dict[str, str] = {
     "email_findings": _EMAILS,
-    "card_findings": _CARDS,
     "iban_checks": """
 WITH c AS (SELECT c_custkey AS id, concat('IT', lpad(CAST(c_custkey % 97 + 2 AS VARCHAR), 2, '0'), 'X0542811101', lpad(CAST(c_custkey AS VARCHAR), 12, '0')) AS code FROM customer)
 SELECT id, code, CAST('330542811101' || substr(code, 16, 12) || '1829' || substr(code, 3, 2) AS HUGEINT) % 97 = 1 AS valid FROM c""",
@@ -251,7 +241,4 @@ SELECT o_orderkey AS doc_id, concat('Si liquida a favore di ', CASE WHEN {t.AMOU
     "decision_log": f"""
 SELECT o_orderkey AS doc_id, concat('Si liquida a favore di ', CASE WHEN o_orderkey % 4 = 0 THEN '[OMISSIS]' WHEN o_orderkey % 2 = 0 THEN {NO_DIV}
   WHEN {t.AMOUNT} <= 1000 THEN '[OMISSIS]' ELSE {NO_DIV} END, ' la somma di euro ', {t.AMOUNT}, '.') AS redacted_text FROM orders""",
-    "certainty_report": f"""
-SELECT 'formal' AS certainty, count(*) AS n FROM ({_CARDS}) HAVING count(*) > 0
-UNION ALL SELECT 'contextual', CAST(sum(n) AS BIGINT) FROM ({_EMAILS}) HAVING count(*) > 0""",
 }
