@@ -310,6 +310,8 @@ def test_bpe(spark, docs, empty):
     for r in coded:
         assert np.frombuffer(r.token_ids, "<u4").tolist() == plain.encode_ordinary(r.own or "")
         assert bytes(r.decoded) == (r.own or "").encode()
+    both = bpe.round_trip(docs.withColumn("own", docs["text"]), path, P.PATTERN).drop("text").collect()
+    assert sorted((r.token_ids, r.decoded) for r in both) == sorted((r.token_ids, r.decoded) for r in coded)
     for text in ("ab" * 5000, "a" * 3000, "<|endoftext|>", "\u0345 \x85\x1c"):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
     assert bpe.digests(empty, path, P.PATTERN).count() == 0

@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from veilframe.llm.common import grown, map_batches
 
 BITS = [1 << i for i in range(256)]
 #: Remembered pre-tokens in a worker's young generation, and the longest that is remembered
 #: (characters).
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 #: Texts above so many characters are split pre-token by pre-token, in blocks of BLOCK.
 LONG_TEXT, BLOCK = 2_000_000, 200_000
 
@@ -135,26 +136,38 @@ class _Known(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """After a task: the worker may be idle from now on."""
+        self.old = {}
+        self.clear()
+
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _mapped(df: DataFrame, source: str, target: str, change, size: int = 256) -> DataFrame:
-    """df with the binary column target, made from each value of source by change()."""
-    schema = T.StructType([*df.schema.fields, T.StructField(target, T.BinaryType())])
+def _mapped(df: DataFrame, path: str, pattern: str, source: str, targets: tuple[str, ...], change, drop: bool = False, size: int = 256) -> DataFrame:
+    """df (without source, if drop) with the binary columns targets: what change() makes of a
+    coder and each value of source."""
+    plain = df.drop(source) if drop else df
+    schema = grown(plain.schema, **dict.fromkeys(targets, "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
+        own = coder(path, pattern)
         for whole in batches:
-            at = whole.schema.get_field_index(source) if at is None else at
+            at = whole.schema.get_field_index(source)
+            kept = [i for i in range(whole.num_columns) if i != at or not drop]
             for start in range(0, whole.num_rows, size):  # small slices bound the memory
                 batch = whole.slice(start, size)
-                made = pa.array([change(x.as_py()) for x in batch.column(at)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, target])
+                made = zip(*[change(own, x.as_py()) for x in batch.column(at)], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in kept), *(pa.array(m, pa.binary()) for m in made)],
+                    [*(batch.schema.names[i] for i in kept), *targets],
+                )
+        own.known.forget()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -163,18 +176,29 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     A null text counts as empty and has no ids. Special tokens are ordinary text. Other
     columns stay, but one named like ids is replaced. Rows are independent: repeated rows, ties and
     empty tables need no care."""
-    return _mapped(docs.drop(ids), text, ids, lambda x: coder(path, pattern).encode(x or ""))
+    return _mapped(docs.drop(ids), path, pattern, text, (ids,), lambda own, x: (own.encode(x or ""),))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """docs with the binary column out: the bytes that ids stand for (null ids:
     none). A column named like out is replaced."""
-    return _mapped(docs.drop(out), ids, out, lambda x: coder(path, pattern).decode(x or b""))
+    return _mapped(docs.drop(out), path, pattern, ids, (out,), lambda own, x: (own.decode(x or b""),))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """docs without the text, with ids as of encode() and out as of decode() of these ids, in
+    one pass: one Python worker for each task, not two."""
+
+    def change(own: Coder, x: str | None) -> tuple[bytes, bytes]:
+        made = own.encode(x or "")
+        return made, own.decode(made)
+
+    return _mapped(docs.drop(ids, out), path, pattern, text, (ids, out), change, drop=True)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row's whole text."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

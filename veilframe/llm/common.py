@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch on its way to Python, so that long texts come few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker process lives on, idle or for other
+    stages, beside the executor's other workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes (a session setting, which is only
+    ever lowered); each task releases its memory when it ends."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not str(conf.get(name)).isdigit() or int(conf.get(name)) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
+
+
 def grown(schema: T.StructType, **kinds: str) -> T.StructType:
     """A new schema with more fields at the end (add() would change df.schema itself)."""
     made = T.StructType(list(schema.fields))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import grown, stage
+from veilframe.llm.common import grown, map_batches, stage
 
 BITS, SHARDS, PASSES, SCALE = 18, 8, 3, 8.0
 SIZE = 1 << BITS
@@ -141,7 +141,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
             )
 
     made = stage(
-        rows.select("order", "label", "text").repartition(SHARDS).mapInArrow(run, "order long, label int, slots binary, vals binary"),
+        map_batches(rows.select("order", "label", "text").repartition(SHARDS), run, "order long, label int, slots binary, vals binary"),
         "quality-sample",
     )
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], [*batch.schema.names, out])
         _hashes().clear()  # the worker process lives on for other stages
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import grown, stage
+from veilframe.llm.common import grown, map_batches, release, stage
 
 #: Bytes of packed text in a chunk, of text for each bucket, of strings in a shard.
 CHUNK, BUCKET, SHARD = 1 << 20, 1 << 21, 1 << 17
@@ -316,6 +316,7 @@ def _judge(length: int):
         found, cut = np.unique(chunk, return_index=True)
         cut = [*cut.tolist(), len(chunk)]
         cuts = [_zip(start[a:b], size[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        release()
         return pa.table([pa.array(found, pa.int64()), pa.array(cuts, pa.binary())], ["chunk", "cuts"])
 
     return run
@@ -416,19 +417,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     table."""
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     plain = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"), *rest)
-    chunks = stage(plain.mapInArrow(_pack, "chunk long, n_bytes long, rest binary, ends binary, text binary"), "chunks")
+    chunks = stage(map_batches(plain, _pack, "chunk long, n_bytes long, rest binary, ends binary, text binary"), "chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))
     marks = (
-        chunks.mapInArrow(_send_seeds(length, buckets), "bucket long, chunk long, seeds binary")
+        map_batches(chunks, _send_seeds(length, buckets), "bucket long, chunk long, seeds binary")
         .groupBy("bucket")
         .applyInArrow(_shared, "chunk long, bucket long, bits binary")
         .where("bits is not null")
         .groupBy("chunk")
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
     )
-    runs = chunks.join(marks, "chunk", "left").mapInArrow(_send_runs(length, buckets), "bucket long, chunk long, runs binary")
+    runs = map_batches(chunks.join(marks, "chunk", "left"), _send_runs(length, buckets), "bucket long, chunk long, runs binary")
     judged = runs.groupBy("bucket").applyInArrow(_judge(length), "chunk long, cuts binary")
     cuts = judged.groupBy("chunk").agg(F.collect_list("cuts").alias("cuts"))
     schema = grown(docs.select(*rest).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
-    return chunks.join(cuts, "chunk", "left").mapInArrow(_cut, schema)
+    return map_batches(chunks.join(cuts, "chunk", "left"), _cut, schema)
