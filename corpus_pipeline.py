@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    coded = bpe.round_trip(docs, path, pattern)
     return coded.select(
         "doc_id", "lang", "source",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
