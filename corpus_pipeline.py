@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, mixing, quality, simhash, suffix
+from veilframe.llm import bpe, copies, mixing, quality, suffix
 from veilframe.llm.common import stage, table
 
 #: A document stays if its quality score is this or more.
@@ -26,15 +26,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. A document without an id
-    stays unless one with an id has its fingerprint."""
-    found = simhash.near_duplicates(docs).where("doc_id = component").select("doc_id").distinct()
+    """One document of each group of near copies (five words, Jaccard 0.8 or more): the one
+    with the smallest id. A document without an id stays unless one with an id has its set."""
+    groups = stage(copies.near_copies(docs), "groups")
+    found = groups.where("doc_id = component").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return kept
-    known = simhash.fingerprints(kept.select("text")).distinct()
-    return kept.unionByName(simhash.fingerprints(nameless.withColumn("own", F.col("text"))).join(known, "fp", "left_anti").withColumn("text", F.col("own")).select(docs.columns))
+    known = groups.where("doc_id is not null").select("node").distinct()
+    plain = nameless.withColumn("own", F.col("text"))
+    return kept.unionByName(copies.with_node(plain).join(known, "node", "left_anti").withColumn("text", F.col("own")).select(docs.columns))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
