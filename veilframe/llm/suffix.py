@@ -12,7 +12,11 @@ bucket of a hash:
              document only cannot repeat. Chunks send their distinct seeds (6 bytes each) to
              buckets and get back one bit for each.
 3. runs      maximal runs of windows with one repeated seed become short strings, sent to the
-             seed's bucket. Equal windows meet there, whichever documents they come from.
+             seed's bucket. Equal windows meet there, whichever documents they come from. A
+             crowded seed (CROWD runs or more in all chunks) would make its bucket grow with
+             the documents, so its runs are sent window by window instead, each window to the
+             bucket of its own hash. All chunks know the same crowded seeds, so equal windows
+             still meet.
 4. merge     in a bucket, equal strings become one. The others are dealt into shards; each
              shard gets its suffix array and Burrows-Wheeler transform, and the transforms
              are merged by interleave refinement: the order by k + 1 bytes comes from the
@@ -22,8 +26,10 @@ bucket of a hash:
              repeated windows, found without sorting suffixes of different shards again.
 5. remove    intervals go back to their chunks, which cut the bytes.
 
-Frequent lines or passages: a seed or run counts once for each chunk before it is sent, so a
-string in a third of all documents reaches its bucket once for each chunk, not for each copy.
+Frequent lines or passages: equal runs of a chunk count once before they are sent, which holds
+for runs inside a passage. Runs at its edges also hold the bytes around it and differ by
+document; their seeds are crowded, so their windows are spread over all buckets. A window
+reaches its bucket once for each chunk.
 Null ids count as larger than all others; equal ids don't remove each other's bytes.
 """
 
@@ -44,6 +50,9 @@ from veilframe.llm.common import grown, map_batches, release, stage
 CHUNK, BUCKET, SHARD = 1 << 20, 1 << 21, 1 << 17
 #: Bytes of strings that are merged at a time (more only where they all share one seed).
 MERGED = 1 << 19
+#: Runs of one seed from which its windows are spread. Counts of a chunk stop at 255, so a seed
+#: below CROWD has runs in fewer than CROWD / 255 chunks with more.
+CROWD = 4096
 #: Length of a seed as a share of the window's.
 SEED_SHARE = 0.5
 NONE = (1 << 63) - 1
@@ -157,8 +166,9 @@ def _bucket(seeds: np.ndarray, buckets: int) -> np.ndarray:
     return ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _once(seeds: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunk's distinct seeds in order, and whether two of its documents have each."""
+def _once(seeds: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunk's distinct seeds in order, whether two of its documents have each, and how
+    many runs have it (255: or more)."""
     at, _ = _runs(seeds, 1 << 40)
     doc = np.searchsorted(ends, at, "right")
     order = np.lexsort((doc, seeds[at]))
@@ -166,7 +176,8 @@ def _once(seeds: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, n
     new = np.concatenate(([True], found[1:] != found[:-1])) if len(found) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(found)])) - 1
-    return found[first], doc[first] != doc[last] if len(first) else np.zeros(0, bool)
+    runs = np.minimum(last - first + 1, 255).astype(np.uint8)
+    return found[first], doc[first] != doc[last] if len(first) else np.zeros(0, bool), runs
 
 
 def _send_seeds(length: int, buckets: int):
@@ -174,13 +185,14 @@ def _send_seeds(length: int, buckets: int):
         for batch in batches:
             for row in _rows(batch):
                 text, _, ends = _opened(row)
-                found, _ = _once(_seeds(text, ends, length), ends, length)
+                found, _, runs = _once(_seeds(text, ends, length), ends, length)
                 cut = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))  # sorted by seed, so by bucket
                 some = np.flatnonzero(cut[1:] > cut[:-1])
-                six = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, :6]  # the low 48 bits
+                seven = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, :7].copy()  # the low 48 bits
+                seven[:, 6] = runs
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some), pa.array(np.full(len(some), row["chunk"])),
-                     pa.array([six[cut[b] : cut[b + 1]].tobytes() for b in some.tolist()], pa.binary())],
+                     pa.array([seven[cut[b] : cut[b + 1]].tobytes() for b in some.tolist()], pa.binary())],
                     ["bucket", "chunk", "seeds"],
                 )
 
@@ -188,15 +200,40 @@ def _send_seeds(length: int, buckets: int):
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """For each chunk's seeds in a bucket a bit: another chunk has it too."""
+    """For each chunk's seeds in a bucket two bits: another chunk has it too; it is crowded."""
     blobs = group.column("seeds").to_pylist()
-    sizes = [len(b) // 6 for b in blobs]
+    sizes = [len(b) // 7 for b in blobs]
+    seven = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 7)
     wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    wide[:, :6] = seven[:, :6]
     _, inverse, counts = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
-    repeated = np.split(counts[inverse] > 1, np.cumsum(sizes)[:-1])
-    bits = [np.packbits(x).tobytes() if x.any() else None for x in repeated]
-    return pa.table([group.column("chunk"), group.column("bucket"), pa.array(bits, pa.binary())], ["chunk", "bucket", "bits"])
+    crowd = np.bincount(inverse, seven[:, 6], len(counts)) >= CROWD
+
+    def packed(flags: np.ndarray) -> pa.Array:
+        parts = np.split(flags[inverse], np.cumsum(sizes)[:-1])
+        return pa.array([np.packbits(x).tobytes() if x.any() else None for x in parts], pa.binary())
+
+    return pa.table([group.column("chunk"), group.column("bucket"), packed(counts > 1), packed(crowd)], ["chunk", "bucket", "bits", "crowd"])
+
+
+def _spread(raw: bytes, first: np.ndarray, last: np.ndarray, key: np.ndarray, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of runs (from, to, key), with hash, a smallest key and a place that has
+    it; and the places of windows with larger keys than the smallest one here."""
+    import xxhash
+
+    size = last - first
+    at = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    key = np.repeat(key, size)
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    pieces = [raw[a : a + length] for a in at.tolist()]
+    seen: dict[bytes, int] = {}
+    holder = np.fromiter((seen.setdefault(p, j) for j, p in enumerate(pieces)), np.int64, len(pieces))
+    later = key > key[holder]
+    sent = np.flatnonzero(~later)  # also the holder's document's other copies, judged alike
+    pieces = [pieces[j] for j in sent.tolist()]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64, len(pieces))
+    return pieces, own, key[sent], at[sent], at[later]
 
 
 def _send_runs(length: int, buckets: int):
@@ -208,11 +245,14 @@ def _send_runs(length: int, buckets: int):
             for row in _rows(batch):
                 text, keys, ends = _opened(row)
                 seeds = _seeds(text, ends, length)
-                found, repeated = _once(seeds, ends, length)
+                found, repeated, _ = _once(seeds, ends, length)
+                crowded = np.zeros(len(found), bool)
                 cut = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))
                 for mark in row["marks"] or ():
                     a, b = cut[mark["bucket"]], cut[mark["bucket"] + 1]
-                    repeated[a:b] |= np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=b - a).astype(bool)
+                    for flags, bits in ((repeated, mark["bits"]), (crowded, mark["crowd"])):
+                        if bits is not None:
+                            flags[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
                 first, last = _runs(seeds, length)
                 keep = np.isin(seeds[first], found[repeated])
                 first, last = first[keep], last[keep]
@@ -224,15 +264,29 @@ def _send_runs(length: int, buckets: int):
                     seen.setdefault(pieces[j], j)
                 holder = np.fromiter(map(seen.__getitem__, pieces), np.int64, len(pieces))
                 later = keys[doc] > keys[doc[holder]] if len(doc) else np.zeros(0, bool)
-                if later.any():  # a group of its own, which is passed on as it is
-                    yield _row(-1 - row["chunk"], row["chunk"], _zip(first[later], size[later]))
+                cuts = [(first[later], size[later])]
                 # equal strings of the holder's own document are judged like the holder's
-                sent = np.flatnonzero(~later)
+                sent, key = np.flatnonzero(~later), keys[doc]
+                hot = np.isin(own[sent], found[crowded])
+                if hot.any():
+                    p = sent[hot]
+                    copy = p != holder[p]  # the holder's document again: cut as the holder's is
+                    cuts.append((first[p[copy]], -1 - (first[holder[p[copy]]] << 16 | last[p[copy]] - first[p[copy]])))
+                    p = p[~copy]
+                    windows, name, least, at, gone = _spread(raw, first[p], last[p], key[p], length)
+                    cuts.append((gone, np.full(len(gone), length)))
+                    sent = np.concatenate((sent[~hot], len(pieces) + np.arange(len(windows))))
+                    pieces += windows
+                    own, key, first = (np.concatenate(x) for x in ((own, name), (key, least), (first, at)))
+                    size = np.concatenate((size, np.full(len(windows), length)))
+                gone, span = (np.concatenate(x) for x in zip(*cuts, strict=True))
+                if len(gone):  # a group of its own, which is passed on as it is
+                    yield _row(-1 - row["chunk"], row["chunk"], _zip(gone, span))
                 sent = sent[np.argsort(own[sent], kind="stable")]  # by seed, so by bucket
                 cut = np.searchsorted(_bucket(own[sent], buckets), np.arange(buckets + 1))
                 for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                     p = sent[cut[b] : cut[b + 1]]
-                    table = _planes(own[p].astype(np.uint32), keys[doc[p]], first[p].astype(np.uint32), size[p].astype(np.uint16))
+                    table = _planes(own[p].astype(np.uint32), key[p], first[p].astype(np.uint32), size[p].astype(np.uint16))
                     yield _row(b, row["chunk"], _zip(len(p).to_bytes(8, "little"), *table, *[pieces[j] for j in p.tolist()]))
 
     return run
@@ -384,27 +438,52 @@ def repeated_windows(strings: list[bytes], keys: np.ndarray, length: int, shard:
     return string[later], start[later]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in _rows(batch):
-            text, ends = np.frombuffer(_unzip(row["text"]), np.uint8), np.frombuffer(row["ends"], np.int64)
-            delta = np.zeros(len(text) + 1, np.int64)
-            for blob in row["cuts"] or ():
-                start, size = np.frombuffer(_unzip(blob), np.int64).reshape(2, -1)
-                np.add.at(delta, start, 1)
-                np.subtract.at(delta, start + size, 1)
-            gone = np.cumsum(delta[:-1]) > 0
-            begin = np.concatenate(([0], ends[:-1]))
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            opens[begin[begin < len(text)]] = gone[begin[begin < len(text)]]
-            total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, opens))
-            kept, left = text[~gone].tobytes(), ends - total[ends]
-            parts = [kept[a:b] for a, b in zip([0, *left[:-1].tolist()], left.tolist(), strict=True)]
-            rest = _rest(row)
-            columns = [c.combine_chunks() for c in rest.columns[1:]]
-            made = [pa.array(ends - begin), pa.array(total[ends] - total[begin]), pa.array(spans[ends] - spans[begin]), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *made], [*rest.schema.names[1:], "n_bytes", "n_removed", "n_spans", "kept"])
+def _flags(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the intervals."""
+    delta = np.zeros(n + 1, np.int64)
+    np.add.at(delta, start, 1)
+    np.subtract.at(delta, end, 1)
+    return np.cumsum(delta[:-1]) > 0
+
+
+def _gone(n: int, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Which of n bytes go. A negative size is -1 - (from << 16 | count): the windows at start
+    go where those at from do, whose bytes and document are the same."""
+    copy = size < 0
+    same, start, size = -1 - size[copy], np.append(start[~copy], start[copy]), size[~copy]
+    own, start = start[len(size) :], start[: len(size)]
+    if not len(same):
+        return _flags(n, start, start + size)
+    windows = _flags(n, start, start + size - length + 1)
+    count = same & 0xFFFF
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at, to = np.repeat(same >> 16, count) + step, np.repeat(own, count) + step
+    windows[to[windows[at]]] = True
+    begin = np.flatnonzero(windows)
+    return _flags(n, begin, begin + length)
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                text, ends = np.frombuffer(_unzip(row["text"]), np.uint8), np.frombuffer(row["ends"], np.int64)
+                blobs = [np.frombuffer(_unzip(blob), np.int64).reshape(2, -1) for blob in row["cuts"] or ()]
+                start, size = np.concatenate(blobs, axis=1) if blobs else np.zeros((2, 0), np.int64)
+                gone = _gone(len(text), start, size, length)
+                begin = np.concatenate(([0], ends[:-1]))
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                opens[begin[begin < len(text)]] = gone[begin[begin < len(text)]]
+                total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, opens))
+                kept, left = text[~gone].tobytes(), ends - total[ends]
+                parts = [kept[a:b] for a, b in zip([0, *left[:-1].tolist()], left.tolist(), strict=True)]
+                rest = _rest(row)
+                columns = [c.combine_chunks() for c in rest.columns[1:]]
+                made = [pa.array(ends - begin), pa.array(total[ends] - total[begin]), pa.array(spans[ends] - spans[begin]), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *made], [*rest.schema.names[1:], "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -423,13 +502,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     marks = (
         map_batches(chunks, _send_seeds(length, buckets), "bucket long, chunk long, seeds binary")
         .groupBy("bucket")
-        .applyInArrow(_shared, "chunk long, bucket long, bits binary")
-        .where("bits is not null")
+        .applyInArrow(_shared, "chunk long, bucket long, bits binary, crowd binary")
+        .where("bits is not null or crowd is not null")
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
+        .agg(F.collect_list(F.struct("bucket", "bits", "crowd")).alias("marks"))
     )
     runs = map_batches(chunks.join(marks, "chunk", "left"), _send_runs(length, buckets), "bucket long, chunk long, runs binary")
     judged = runs.groupBy("bucket").applyInArrow(_judge(length), "chunk long, cuts binary")
     cuts = judged.groupBy("chunk").agg(F.collect_list("cuts").alias("cuts"))
     schema = grown(docs.select(*rest).schema, n_bytes="long", n_removed="long", n_spans="long", kept="binary")
-    return map_batches(chunks.join(cuts, "chunk", "left"), _cut, schema)
+    return map_batches(chunks.join(cuts, "chunk", "left"), _cut(length), schema)
