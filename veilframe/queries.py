@@ -136,13 +136,18 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(pages, rows.withColumn("subject_no", F.lit(None).cast("int")), OMISSIS).select("doc_id", "redacted_text")
 
 
-def certainty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings by grade of certainty over all documents' cards and addresses."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
-    from veilframe.operators.detect import DETECTORS
+def _document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+
+
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all detectors over whole documents, without a recognizer."""
+    return _placed(analysed(_document_pages(spark, sf_dir), purpose="publish"))
 
-    chosen = tuple(d for d in DETECTORS if d.name in ("payment-card", "email"))
-    found = analysed(docs, detectors=chosen)
+
+def certainty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all detectors by grade of certainty over all documents."""
+    found = analysed(_document_pages(spark, sf_dir))
     return certainty_tally(found).groupBy("certainty").agg(F.sum("n").alias("n"))
 
 
@@ -150,11 +155,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         email_findings, card_findings, iban_checks, tax_code_checks, vat_checks, amounts, surnames, masked_intervals,
-        payee_findings, qualified_names, private_purpose, redacted_payments, decision_log, certainty_report,
+        payee_findings, qualified_names, private_purpose, redacted_payments, decision_log, document_findings, certainty_report,
     )
 }
 
-# card_findings and certainty_report have none: DuckDB's patterns cannot look ahead, which tells
+# card_findings, document_findings and certainty_report have none: DuckDB's patterns cannot look ahead, which tells
 # numbers side by side apart.
 # ---- SQL -----------------------------------------------------------------------------------
 
