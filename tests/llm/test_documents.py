@@ -130,7 +130,7 @@ def test_quality(spark, docs, empty):
     again = quality.score(docs, model)
     assert again.columns.count("score") == 1 and again.where("score between 0 and 1").count() == docs.count()
     assert quality.score(empty, model).count() == 0
-    none = quality.train(spark.createDataFrame([], "doc_id long, text string, label int"))
+    none = quality.train(empty, spark.createDataFrame([], "doc_id long, label int"))
     assert not none[0].any() and none[1] == 0
 
 
@@ -312,6 +312,31 @@ def test_bpe(spark, docs, empty):
         assert bytes(r.decoded) == (r.own or "").encode()
     both = bpe.round_trip(docs.withColumn("own", docs["text"]), path, P.PATTERN).drop("text").collect()
     assert sorted((r.token_ids, r.decoded) for r in both) == sorted((r.token_ids, r.decoded) for r in coded)
-    for text in ("ab" * 5000, "a" * 3000, "<|endoftext|>", "\u0345 \x85\x1c"):
-        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+    rng = random.Random(2)
+    hard = ["ab" * 5000, "a" * 3000, "<|endoftext|>", "\u0345 \x85\x1c", "é" * 999, "日本語" * 300, "🙂" * 200, " " * 2000, None, ""]
+    hard += ["".join(rng.choices("etaoinshrdlu", k=k)) for k in (3, 50, 700, 9000)] + ["".join(rng.choices("abc é\n", k=3000))]
+    for many in (hard, *([x] for x in hard), []):  # one queue for all, and alone
+        made = coder.encode(many)
+        assert [np.frombuffer(x, "<u4").tolist() for x in made] == [plain.encode_ordinary(x or "") for x in many]
+        assert coder.decode(made) == [(x or "").encode() for x in many]
+
+
+def test_bpe_in_small_slices_with_little_memory(monkeypatch):
+    import public_tokenizers as P
+
+    whole, rng = bpe.Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randrange(300))) for _ in range(80)]
+    expected = whole.encode(texts)
+    for name, value in (("SLICE", 100), ("BLOCK", 7), ("REMEMBERED", 20), ("LONGEST", 4)):
+        monkeypatch.setattr(bpe, name, value)
+    small = bpe.Coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert small.encode(texts) == expected
+    assert small.decode(expected) == [x.encode() for x in texts]
+    assert max(map(len, small.known)) <= 4
+
+
+def test_bpe_of_no_rows(empty):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.tiktoken")
     assert bpe.digests(empty, path, P.PATTERN).count() == 0
