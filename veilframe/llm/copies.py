@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import grown, map_batches, stage
+from veilframe.llm.common import map_batches, stage
 from veilframe.llm.graph import components
 from veilframe.llm.simhash import _hashed, _majority, linked
 
@@ -72,7 +72,7 @@ def _digest(own: np.ndarray) -> int:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """key, fp, node (digest of the set) and keys of docs (key, text)."""
+    """key, own, fp, node (digest of the set) and keys of docs (key, text, own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,27 +84,11 @@ def described(docs: DataFrame) -> DataFrame:
                 nodes.append(_digest(own))
                 keys.append(bands(own).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["key", "fp", "node", "keys"],
+                [batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["key", "own", "fp", "node", "keys"],
             )
 
-    return map_batches(docs.select("key", "text"), run, "key long, fp long, node long, keys array<long>")
-
-
-def with_node(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with its node."""
-    schema = grown(docs.drop(text).schema, node="long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            nodes = [_digest(shingles(t.as_py())) for t in batch.column(at)]
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(nodes, pa.int64())], [*(batch.schema.names[i] for i in kept), "node"]
-            )
-
-    return map_batches(docs, run, schema)
+    return map_batches(docs.select("key", "text", "own"), run, "key long, own long, fp long, node long, keys array<long>")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -149,37 +133,72 @@ def _compared(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, node and component of every row: the smallest key that links reach.
+def row_hash(docs: DataFrame):
+    """A hash of all columns of a row, nulls included."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
 
-    Rows with equal sets share node and component. A row without a key has the component of
-    its node if a row with a key shares it, else null, and links nothing."""
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, own (hash of the row), node and part (the group) of every row, and component (the
+    smallest key of the part)."""
+    plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), row_hash(docs).alias("own"))
     prints = stage(described(plain), "copies")
     nodes = stage(prints.where("key is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     places = nodes.select("node", F.explode("keys").alias("k"))
     shared = stage(places.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1"), "shared")
     met = stage(places.join(shared, "k"), "met")
-    prints_of = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    prints_of = stage(nodes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
     same = nodes.select("fp", F.col("node").alias("b")).join(prints_of.withColumnRenamed("node", "a"), "fp").select("a", "b")
-    pairs = met.select("a", F.col("node").alias("b")).unionByName(same).unionByName(linked(stage(prints_of, "prints")))
+    pairs = met.select("a", F.col("node").alias("b")).unionByName(same).unionByName(linked(prints_of))
     pairs = stage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keyed = nodes.join(wanted, "node", "left_semi").select("key").distinct()
-    texts = plain.join(keyed, "key", "left_semi").select("text", F.col("text").alias("own"))
-    texts = stage(with_node(texts).withColumnRenamed("own", "text").dropDuplicates(["node"]), "texts")
+    # the text of a node is that of any row with its smallest key and its set
+    keyed = stage(nodes.join(wanted, "node", "left_semi").select("key", "node"), "wanted")
+    chosen = prints.join(keyed, ["key", "node"]).groupBy("node").agg(F.min("own").alias("own"))
+    texts = plain.select("text", "own").join(stage(chosen, "chosen"), "own").select("node", "text").dropDuplicates(["node"])
+    texts = stage(texts, "texts")
     links = stage(_checked(pairs, texts), "links")
     parts = stage(components(links, "copies-stars"), "parts")
-    placed = met.select("k", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stage(met.select("k", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     open_ = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     blocks = F.ceil(F.col("n") / CELL).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = placed.join(open_.select("k", blocks.alias("blocks")), "k").withColumn("own", own)
+    cells = placed.join(stage(open_.select("k", blocks.alias("blocks")), "open"), "k").withColumn("own", own)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
-    more = cells.join(texts, "node").groupBy("k", "i", "j").applyInArrow(_compared, "a long, b long")
-    parts = components(links.unionByName(stage(more, "more")), "copies-stars")
-    known = nodes.select("node", "key").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    least = known.groupBy("part").agg(F.min("key").alias("component"))
-    found = known.join(least, "part").select("node", "component")
-    return prints.join(found, "node", "left").select(F.col("key").alias(key), "node", "component")
+    more = stage(cells.join(texts, "node").groupBy("k", "i", "j").applyInArrow(_compared, "a long, b long"), "more")
+    if not more.isEmpty():
+        parts = stage(components(links.unionByName(more), "copies-stars"), "parts")
+    known = stage(nodes.select("node", "key").join(parts, "node", "left").select("node", "key", F.coalesce("component", "node").alias("part")), "known")
+    least = stage(known.groupBy("part").agg(F.min("key").alias("component")), "least")
+    found = stage(known.join(least, "part").select("node", "part", "component"), "found")
+    return prints.join(found, "node", "left").select("key", "own", "node", F.coalesce("part", "node").alias("part"), "component")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, node and component of every row: the smallest key that links reach.
+
+    Rows with equal sets share node and component. A row without a key has the component of
+    its node if a row with a key shares it, else null, and links nothing. Other columns are
+    not returned, so their names are free. An empty table gives an empty table."""
+    return _grouped(docs, key, text).select(F.col("key").alias(key), "node", "component")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest key, nulls
+    last; of several such rows the one with the smallest hash of all columns, and one of rows
+    that are equal in all columns.
+
+    Rows of one key with unrelated texts are groups of their own and stay. Null texts, empty
+    ones and those without words are copies of each other. Rows without a key are copies of
+    rows with an equal set only. Columns may have any names. An empty table gives an empty
+    table."""
+    groups = stage(_grouped(docs, key, text).select("key", "own", "part"), "groups")
+    first = groups.groupBy("part").agg(F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "own")).alias("one"))
+    times = groups.groupBy("own").agg(F.count("*").alias("times"))
+    chosen = stage(first.select("one.own").join(times, "own"), "chosen")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_hash(docs).alias("own"))
+    kept = rows.join(chosen.where("times = 1"), "own", "left_semi")
+    if not chosen.where("times > 1").isEmpty():
+        kept = kept.unionByName(rows.join(chosen.where("times > 1"), "own", "left_semi").dropDuplicates(["own"]))
+    return kept.select("row.*")
