@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def _group(pattern: str) -> tuple[int, int] | None:
     return None
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """The text with blanks for the three marks; a null text is empty."""
     marks, own = f"[{OPEN}-{LEAD}]", F.coalesce(text, F.lit(""))

@@ -47,44 +47,64 @@ def _bridged(text: Column) -> Column:
     return F.forall(words, lambda w: w.rlike(BRIDGE[0]) | w.rlike(BRIDGE[1]) | w.rlike(BRIDGE[2]))
 
 
-def _pairs(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of a keyword and a name near it in the same clause; and for each name
-    whether private bodies are near and whether it is a representative's."""
-    near = names.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "seq"))).alias("names"))
-    rows = pages.select("doc_id", "page", "text", "shadow").join(near, ["doc_id", "page"])
-    text, shadowed = F.col("text"), F.col("shadow")
+#: Characters in a cell: keywords and names meet by the cells that they reach.
+CELL = 512
+
+
+def _keywords(pages: DataFrame) -> DataFrame:
+    """Every keyword of pages with what surrounds it, which begins at base."""
 
     def words(kind: str) -> Column:
         pattern, radius, lines, _ = KINDS[kind]
         return F.transform(
-            matches(text, f"({pattern})" if kind != "amount" else f"(?:{pattern.replace('(' + chr(92) + 'd', '(?:' + chr(92) + 'd')})", True),
+            matches(F.col("text"), f"({pattern})" if kind != "amount" else f"(?:{pattern.replace('(' + chr(92) + 'd', '(?:' + chr(92) + 'd')})", True),
             lambda m: F.struct(
-                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"),
+                F.lit(kind).alias("kind"), m["start"].alias("k_start"), m["end"].alias("k_end"), m["text"].alias("word"),
                 F.lit(radius).alias("radius"), F.lit(lines).alias("lines"),
             ),
         )
 
-    keyed = rows.withColumn("k", F.explode(F.concat(*[words(k) for k in KINDS])))
-    both = keyed.withColumn("n", F.explode("names"))
-    a = F.least(F.col("k.end"), F.col("n.end"))
-    b = F.greatest(F.col("k.start"), F.col("n.start"))
-    distance = F.greatest(F.col("n.start") - F.col("k.end"), F.col("k.start") - F.col("n.end"), F.lit(0))
-    both = both.where(distance <= F.col("k.radius")).withColumns({"a": a, "b": b, "d": distance})
-    gap = slice_of(text, F.col("a"), F.col("b"))
-    breaks = F.length(gap) - F.length(F.translate(gap, "\n", ""))
-    both = both.where(same_clause(shadowed, F.col("a"), F.col("b"), F.col("k.lines")))
-    both = both.where((F.col("k.kind") != "role") | _bridged(gap))
-    score = F.col("d") + 20 * breaks + F.when(F.col("n.end") <= F.col("k.start"), 5).otherwise(0)
-    pairs = both.select(
-        "doc_id", "page", "k.kind", F.col("k.start").alias("k_start"), F.col("k.text").alias("word"),
-        F.col("n.seq").alias("seq"), F.col("n.start").alias("n_start"), score.alias("score"),
-    )
-    each = rows.withColumn("n", F.explode("names"))
-    zone = slice_of(text, F.col("n.start") - PRIVATE_REACH, F.col("n.end") + PRIVATE_REACH)
-    flags = each.select(
-        "doc_id", "page", "n.seq", zone.rlike(java(union(fixed.PRIVATE_ROLES), True)).alias("private"),
-        slice_of(text, F.col("n.start") - 60, F.col("n.start")).rlike(java(REPRESENTS, True)).alias("represents"),
-    )
+    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(F.concat(*[words(k) for k in KINDS])).alias("k"))
+    base, last = F.greatest(F.col("k.k_start") - F.col("k.radius") - 1, F.lit(0)), F.col("k.k_end") + F.col("k.radius") + 2
+    return rows.select(
+        "doc_id", "page", "k.*", base.alias("base"), slice_of(F.col("text"), base, last).alias("text"), slice_of(F.col("shadow"), base, last).alias("shadow")
+    )
+
+
+def _pairs(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of a keyword and a name near it in the same clause; and for each name
+    whether private bodies are near and whether it is a representative's.
+
+    A pair meets once: in the first cell that both reach."""
+    places = names.select("doc_id", "page", "seq", F.col("start").alias("n_start"), F.col("end").alias("n_end"))
+    first, last = F.floor(F.col("n_start") / CELL), F.floor(F.col("n_end") / CELL)
+    placed = places.withColumn("n_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+    reach_a, reach_b = F.greatest(F.col("k_start") - F.col("radius"), F.lit(0)), F.col("k_end") + F.col("radius")
+    first, last = F.floor(reach_a / CELL), F.floor(reach_b / CELL)
+    keyed = _keywords(pages).withColumn("k_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+    both = keyed.join(placed, ["doc_id", "page", "cell"]).where(F.col("cell") == F.greatest("k_first", "n_first"))
+    distance = F.greatest(F.col("n_start") - F.col("k_end"), F.col("k_start") - F.col("n_end"), F.lit(0))
+    both = both.withColumns({
+        "a": F.least("k_end", "n_end") - F.col("base"), "b": F.greatest("k_start", "n_start") - F.col("base"), "d": distance,
+    })
+    both = both.where(F.col("d") <= F.col("radius")).withColumn("gap", slice_of(F.col("text"), F.col("a"), F.col("b")))
+    both = both.where(same_clause(F.col("shadow"), F.col("a"), F.col("b"), F.col("lines")))
+    both = both.where((F.col("kind") != "role") | _bridged(F.col("gap")))
+    breaks = F.length("gap") - F.length(F.translate("gap", "\n", ""))
+    score = F.col("d") + 20 * breaks + F.when(F.col("n_end") <= F.col("k_start"), 5).otherwise(0)
+    pairs = both.select("doc_id", "page", "kind", "k_start", "word", "seq", "n_start", score.alias("score"))
+    near = names.groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "end", "seq")).alias("names"))
+    text = F.col("text")
+
+    def told(n: Column) -> Column:
+        zone = slice_of(text, n["start"] - PRIVATE_REACH, n["end"] + PRIVATE_REACH)
+        return F.struct(
+            n["seq"].alias("seq"), zone.rlike(java(union(fixed.PRIVATE_ROLES), True)).alias("private"),
+            slice_of(text, n["start"] - 60, n["start"]).rlike(java(REPRESENTS, True)).alias("represents"),
+        )
+
+    flags = pages.select("doc_id", "page", "text").join(near, ["doc_id", "page"])
+    flags = flags.select("doc_id", "page", F.explode(F.transform("names", told)).alias("told")).select("doc_id", "page", "told.*")
     return pairs, flags
 
 
@@ -105,9 +125,9 @@ def associated(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame
     too takes one keyword only (roles), pairs are taken in order, page by page."""
     pairs, flags = _pairs(pages, names)
     pairs = staged(pairs, "pairs")
-    first = Window.partitionBy("doc_id", "page", "kind", "k_start").orderBy("score", "n_start")
+    first = Window.partitionBy("doc_id", "page", "kind", "k_start").orderBy("score", "n_start", "seq")
     free = pairs.where("kind <> 'role'").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    roles = folded(pairs.where("kind = 'role'"), ["doc_id", "page"], ["score", "k_start", "n_start"], _take)
+    roles = folded(pairs.where("kind = 'role'"), ["doc_id", "page"], ["score", "k_start", "n_start", "seq"], _take)
     return free.drop("nth").unionByName(roles), flags
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,6 @@ from veilframe.plans.staging import staged
 from veilframe.rules import fixed
 from veilframe.rules.tables import CATEGORIES
 
-HEADER_NOTE = "institutional-header"
-
 
 @dataclass(frozen=True)
 class Detector:
@@ -112,7 +109,11 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
         return F.col("d").isin([i for i, x in enumerate(detectors) if kind(x) == name])
 
     def by_detector(value) -> Column:
-        return F.get(F.array(*[F.lit(value(x)) for x in detectors]), F.col("d"))
+        values = [value(x) for x in detectors]
+        made = F.lit(values[-1])
+        for v in dict.fromkeys(values[:-1]):
+            made = F.when(F.col("d").isin([i for i, x in enumerate(values) if x == v]), v).otherwise(made)
+        return made if len(set(values)) > 1 else F.lit(values[0])
 
     # what takes several looks at the surroundings is worked out once and kept
     grown = extended(text, shadowed, start, end, by_detector(lambda x: CATEGORIES[x.category][3]), by_detector(lambda x: CATEGORIES[x.category][4]))
@@ -131,15 +132,16 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
         "start": F.coalesce("grown.start", "named.start", "start"), "end": F.coalesce("grown.end", "named.end", "cut", "end"),
     })
     rows = rows.withColumn("own", own)
-    parts = [rows.where(of("plain") | of("clause") | of("name"))]
-    for check in ("tax_code", "luhn", "personal_email", "iban", "vat_number"):
-        parts.append(rows.where(of(check) & VALIDATORS[check](F.col("own"))))
-    parts.append(rows.where(of("birth_date") & birth_date(F.col("own"), as_of)))
+    checks = {k: VALIDATORS[k] for k in ("tax_code", "luhn", "personal_email", "iban", "vat_number")}
+    checks["birth_date"] = lambda x: birth_date(x, as_of)
+    valid = F.lit(True)
+    for check, fits in checks.items():
+        if any(kind(x) == check for x in detectors):
+            valid = F.when(of(check), fits(F.col("own"))).otherwise(valid)
     whose = F.col("context")
-    header = by_detector(lambda x: HEADER_NOTE if x.name in ("landline", "address") else "")
     note = F.when(whose == "person", "VAT number in the context of a natural person")
-    note = note.when(whose == "company", "VAT number in the context of a company or body").otherwise(header)
-    return reduce(DataFrame.unionByName, parts).select(
+    note = note.when(whose == "company", "VAT number in the context of a company or body").otherwise("")
+    return rows.where(valid).select(
         "doc_id", "page", (F.col("d").cast("long") * STRIDE + F.col("base") + start).alias("seq"),
         (F.col("base") + start).alias("start"), (F.col("base") + end).alias("end"), F.col("own").alias("text"),
         F.when(whose == "person", "B1").otherwise(by_detector(lambda x: x.category)).alias("category"),

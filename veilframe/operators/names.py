@@ -2,69 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import BLANK, slice_of, union
+from veilframe.functions.patterns import BLANK, let, slice_of, union
 from veilframe.functions.validators import name_key
 from veilframe.rules import fixed
 from veilframe.rules.tables import MIN_NAME, MIN_SCORE, MIN_SCORE_LOWER
 
 LETTER = r"[\p{L}'’\-]"
-#: Characters that a name may grow to either side to end at whole words.
-REACH = 80
+#: Characters looked at first for the letters before a name; where they are all letters, all are.
+NEAR = 80
 
 
 def trimmed(text: Column, start: Column, end: Column, score: Column) -> Column:
     """struct<start, end, name> of an entity: grown to whole words, without a leading title and
     marks at its ends; null if that is no name (too short, no capital, digits, common words)."""
-    grow_left = F.when(slice_of(text, start, start + 1).rlike(LETTER), F.regexp_extract(slice_of(text, start - REACH, start), LETTER + r"*\z", 0))
-    grow_right = F.when(slice_of(text, end - 1, end).rlike(LETTER), F.regexp_extract(slice_of(text, end, end + REACH), "^" + LETTER + "*", 0))
+    before = slice_of(text, start - NEAR, start)
+    before = F.when((start > NEAR) & before.rlike(f"^{LETTER}*\\z"), slice_of(text, F.lit(0), start)).otherwise(before)
+    grow_left = F.when(slice_of(text, start, start + 1).rlike(LETTER), F.regexp_extract(before, LETTER + r"*\z", 0))
+    grow_right = F.when(slice_of(text, end - 1, end).rlike(LETTER), F.regexp_extract(F.substring(text, end + 1, F.length(text)), "^" + LETTER + "*", 0))
     a = start - F.length(F.coalesce(grow_left, F.lit("")))
     b = end + F.length(F.coalesce(grow_right, F.lit("")))
-    part = slice_of(text, a, b)
-    title = F.length(F.regexp_extract(part, "(?iu)^" + union(fixed.TITLES) + BLANK + "+", 0))
-    rest = F.substring(part, title + 1, F.length(part))
-    kept = F.regexp_replace(rest, r"[^\p{L}\p{N}.]+\z", "")
-    head = F.length(F.regexp_extract(kept, r"^[^\p{L}\p{N}]*", 0))
-    name = F.substring(kept, head + 1, F.length(kept))
-    words = F.filter(F.split(F.lower(name), r"[\s\x{A0}\p{Z}\-/]+"), lambda w: w != "")
-    common = F.forall(words, lambda w: w.isin(list(fixed.NOT_NAMES)))
-    fine = (
-        (F.length(name) >= MIN_NAME)
-        & (name.rlike(r"\p{Lu}") | (score >= MIN_SCORE_LOWER))
-        & name.rlike(r"\p{L}{2,}")
-        & ~name.rlike(r"\p{N}")
-        & ~common
-    )
-    first = a + title + head
-    return F.when(fine, F.struct(first.alias("start"), (first + F.length(name)).alias("end"), name.alias("name")))
+    titled = "(?iu)^" + union(fixed.TITLES) + BLANK + "+"
+
+    def without(head: str):
+        """The part without what the pattern finds at its beginning."""
+        return lambda s: let(
+            F.length(F.regexp_extract(s["part"], head, 0)),
+            lambda n: F.struct((s["a"] + n).alias("a"), F.substring(s["part"], n + 1, F.length(s["part"])).alias("part")),
+        )
+
+    def judged(s: Column) -> Column:
+        name = s["part"]
+        words = F.filter(F.split(F.lower(name), r"[\s\x{A0}\p{Z}\-/]+"), lambda w: w != "")
+        fine = (
+            (F.length(name) >= MIN_NAME)
+            & (name.rlike(r"\p{Lu}") | (score >= MIN_SCORE_LOWER))
+            & name.rlike(r"\p{L}{2,}")
+            & ~name.rlike(r"\p{N}")
+            & ~F.forall(words, lambda w: w.isin(list(fixed.NOT_NAMES)))
+        )
+        return F.when(fine, F.struct(s["a"].alias("start"), (s["a"] + F.length(name)).alias("end"), name.alias("name")))
+
+    part = let(F.struct(a.alias("a"), b.alias("b")), lambda s: F.struct(s["a"].alias("a"), slice_of(text, s["a"], s["b"]).alias("part")))
+    part = let(part, without(titled))
+    part = let(part, lambda s: F.struct(s["a"].alias("a"), F.regexp_replace(s["part"], r"[^\p{L}\p{N}.]+\z", "").alias("part")))
+    return let(let(part, without(r"^[^\p{L}\p{N}]*")), judged)
 
 
 def entities_of(pages: DataFrame, names: DataFrame, score: float = 0.99) -> DataFrame:
     """A literal recognizer: doc_id, page, start, end, score of every place where a page
     (doc_id, page, text) holds one of its document's names (doc_id, name)."""
     found = pages.select("doc_id", "page", "text").join(names.where("name <> ''").distinct(), "doc_id")
-    quoted = F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E"))
-    pieces = F.split("text", quoted, -1)
-    step = F.length("name")
-    places = F.transform(
-        F.sequence(F.lit(1), F.size(pieces) - 1),
-        lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, p: n + F.length(p)) + (i - 1) * step,
-    )
-    placed = found.where(F.instr(F.col("text"), F.col("name")) > 0).select("doc_id", "page", F.explode(places).alias("start"), step.alias("n"))
-    return placed.select("doc_id", "page", "start", (F.col("start") + F.col("n")).alias("end"), F.lit(score).alias("score"))
+    found = found.where(F.instr(F.col("text"), F.col("name")) > 0)
+    pieces = F.split("text", F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E")), -1)
+    before = F.slice(pieces, 1, F.size(pieces) - 1)
+    rows = found.select("doc_id", "page", "name", F.posexplode(before).alias("nth", "piece"))
+    order = Window.partitionBy("doc_id", "page", "name").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length("name")
+    start = (F.sum(F.length("piece")).over(order) + F.col("nth") * n).cast("int")
+    return rows.select("doc_id", "page", start.alias("start"), (start + n).alias("end"), F.lit(score).alias("score"))
 
 
 def name_findings(pages: DataFrame, entities: DataFrame, first_seq: int) -> DataFrame:
     """Columns for constructed() from a recognizer's entities (doc_id, page, start, end, score).
     Entities below the least score are left out."""
-    met = entities.where(F.col("score") >= MIN_SCORE).join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
-    made = met.withColumn("made", trimmed(F.col("text"), F.col("start"), F.col("end"), F.col("score"))).where("made is not null")
-    return made.select(
-        "doc_id", "page", (F.lit(first_seq) + F.col("start")).alias("seq"), "made.start", "made.end",
-        F.col("made.name").alias("text"), F.lit("C1").alias("category"), F.lit("recognizer").alias("detector"),
-        name_key(F.col("made.name")).alias("subject_key"),
+    each = F.struct("start", "end", "score")
+    met = entities.where(F.col("score") >= MIN_SCORE).groupBy("doc_id", "page").agg(F.collect_list(each).alias("entities"))
+    made = F.transform("entities", lambda e: F.struct(e["start"].alias("at"), trimmed(F.col("text"), e["start"], e["end"], e["score"]).alias("made")))
+    rows = met.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"])
+    rows = rows.select("doc_id", "page", F.explode(F.filter(made, lambda m: m["made"].isNotNull())).alias("m"))
+    return rows.select(
+        "doc_id", "page", (F.lit(first_seq) + F.col("m.at")).alias("seq"), "m.made.start", "m.made.end",
+        F.col("m.made.name").alias("text"), F.lit("C1").alias("category"), F.lit("recognizer").alias("detector"),
+        name_key(F.col("m.made.name")).alias("subject_key"),
     )
 
 

@@ -11,34 +11,41 @@ from veilframe.rules.tables import PERSONS, PRIORITY
 
 
 def _resolve(rows: list[dict]) -> list[dict]:
-    """One page: an ordered fold over its spans, in which a kept span may grow."""
-    kept: list[dict] = []
-    for row in rows:
-        person, rank, keep = row["category"] in PERSONS, PRIORITY[row["band"]], True
-        for i in range(len(kept) - 1, -1, -1):
-            own = kept[i]
-            if own["end"] <= row["start"] or (own["category"] in PERSONS) != person:
+    """One page's spans by start and number: an ordered sweep in which a kept span may grow.
+    Spans that end before the present one starts leave the sweep."""
+    kept: dict[int, dict] = {}
+    open_: list[int] = []  # numbers of kept spans that may still be met, latest last
+    for number, row in enumerate(rows):
+        if row["start"] is None:
+            kept[number] = row
+            continue
+        person, rank = row["category"] in PERSONS, PRIORITY[row["band"]]
+        open_ = [n for n in open_ if kept[n]["end"] > row["start"]]
+        gone: list[int] = []
+        for n in reversed(open_):
+            own = kept[n]
+            if (own["category"] in PERSONS) != person:
                 continue
-            inside = row["start"] >= own["start"] and row["end"] <= own["end"]
-            around = own["start"] >= row["start"] and own["end"] <= row["end"]
-            other = PRIORITY[own["band"]]
-            if other == rank and not inside and not around:
+            same, other = own["category"] == row["category"], PRIORITY[own["band"]]
+            inside = own["start"] <= row["start"] and row["end"] <= own["end"]
+            around = row["start"] <= own["start"] and own["end"] <= row["end"]
+            if not (inside or around) and other == rank:
                 own["text"] += row["text"][own["end"] - row["start"] :]
                 own["end"] = row["end"]
-                if own["category"] != row["category"]:
+                if not same:
                     own["note"] = "; ".join(x for x in (own["note"], "overlaps " + row["category"]) if x)
-                keep = False
                 break
-            if own["category"] != row["category"]:
-                continue
-            if inside and other >= rank:
-                keep = False
+            if same and inside and other >= rank:
                 break
-            if around and rank >= other:
-                del kept[i]
-        if keep:
-            kept.append(row)
-    return kept
+            if same and around and rank >= other:
+                gone.append(n)
+        else:
+            kept[number] = row
+            open_.append(number)
+        for n in gone:
+            del kept[n]
+            open_.remove(n)
+    return list(kept.values())
 
 
 def resolved(findings: DataFrame) -> DataFrame:
@@ -46,8 +53,7 @@ def resolved(findings: DataFrame) -> DataFrame:
     inside the other goes if its band is no stronger; spans of equally strong bands that
     overlap in part become their union; names and other data never displace each other; other
     overlaps stay. Findings without a place stay as they are."""
-    spans = folded(findings.where("start is not null").select(*COLUMNS), ["doc_id", "page"], ["start", "seq"], _resolve)
-    return spans.unionByName(findings.where("start is null").select(*COLUMNS))
+    return folded(findings.select(*COLUMNS), ["doc_id", "page"], ["start", "seq"], _resolve)
 
 
 def merged(intervals: Column) -> Column:

@@ -13,7 +13,7 @@ from veilframe.operators.names import name_findings
 from veilframe.operators.overlap import resolved
 from veilframe.operators.silence import demoted, silenced
 from veilframe.operators.subjects import coherent, numbered, reconciled, variants
-from veilframe.plans.staging import staged
+from veilframe.plans.staging import spread, staged
 
 
 def analysed(
@@ -31,11 +31,11 @@ def analysed(
     that found nothing is an empty table."""
     plain = {"is_scan": F.lit(False), "ocr_conf": F.lit(None).cast("double"), "n_cards": F.lit(0)}
     pages = pages.withColumns({k: v for k, v in plain.items() if k not in pages.columns})
-    pages = staged(prepared(pages).select("doc_id", "page", "text", "shadow", *plain), "pages")
-    found = constructed(detect(pages, detectors, as_of)).unionByName(constructed(page_findings(pages)))
+    pages = staged(prepared(spread(pages)).select("doc_id", "page", "text", "shadow", *plain), "pages")
+    found = detect(pages, detectors, as_of).unionByName(page_findings(pages), allowMissingColumns=True)
     if entities is not None:
-        found = found.unionByName(constructed(name_findings(pages, entities, 100 * STRIDE)))
-    rows = staged(classified(pages, staged(resolved(found), "found")), "classified")
+        found = found.unionByName(name_findings(pages, entities, 100 * STRIDE), allowMissingColumns=True)
+    rows = staged(classified(pages, staged(resolved(constructed(found)), "found")), "classified")
     rows = staged(coherent(reconciled(rows)), "coherent")
     more = staged(variants(pages, rows, 200 * STRIDE), "variants")
     if not more.isEmpty():
