@@ -34,6 +34,9 @@ CASES = [
     ("Scrivere a mario.rossi@gmail.com o protocollo@comune.messina.it.", [], [("mario.rossi@gmail.com", "B3", "B3", "mask")], ["protocollo@comune"]),
     ("Contributo di euro 1.500,00 a favore di Mario Rossi. Il sig. Rossi ringrazia.", ["Mario Rossi"],
      [("Mario Rossi", "C2", "C2_above", "keep"), ("Rossi", "C2", "C2_above", "keep")], ["Mario Rossi"]),
+    ("Mario D'Angelo è presente. Oggi D’Angelo abita qui.", ["Mario D'Angelo"],
+     [("Mario D'Angelo", "C1", "C1", "mask"), ("D’Angelo", "C1", "C1", "mask")], []),
+    ("Comune di Messina\nUfficio tecnico\nTel. 090 7761234", [], [("090 7761234", "P", "P", "keep")], ["090 7761234"]),
     ("", [], [], []),
     (None, [], [], []),
 ]
@@ -59,6 +62,20 @@ def test_cases(found):
         assert not any(text in left[i] for text, *_, decision in expected if decision == "mask")
 
 
+def test_names_that_touch_have_their_own_numbers(spark):
+    pages = spark.createDataFrame([(1, 1, "AnnaLuca e Sara")], "doc_id long, page int, text string")
+    rows = [(1, 1, i, a, b, "C1", "mask", "mask", i + 1) for i, (a, b) in enumerate([(0, 4), (4, 8), (11, 15), (12, 15)])]
+    kinds = "doc_id long, page int, seq long, start int, end int, category string, decision string, action string, subject_no int"
+    left = redacted(pages, spark.createDataFrame(rows, kinds), PSEUDONYM).first().redacted_text
+    assert left == "[SUBJECT 1][SUBJECT 2] e [SUBJECT 3]"
+
+
+def test_name_keys_drop_all_marks(spark):
+    names = {"Ionuț Stănescu": "ionut stanescu", "Nikolić": "nikolic", "D’Àngelo": "d'angelo", "Nicolo\u0300 Ğül": "nicolo gul", "Łukasz": "ukasz"}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", validators.name_key(F.col("n")).alias("k"))
+    assert {r.n: r.k for r in df.collect()} == names
+
+
 def test_pseudonyms_number_persons(found):
     left = {r.doc_id: r.redacted_text for r in redacted(*found, PSEUDONYM).collect()}
     assert left[3].startswith("Il minore [SUBJECT 1] è accompagnato dalla madre [SUBJECT 2]")
@@ -115,11 +132,11 @@ def envelope(content):
 
 def test_envelopes(spark):
     pdf = b"%PDF-1.4 " + b"x" * 300
-    cases = [envelope(pdf), envelope(envelope(pdf)), envelope(None), envelope(pdf)[:50], b"abc!", None, envelope(b"text")]
+    cases = [envelope(pdf), envelope(envelope(pdf)), envelope(None), envelope(pdf)[:50], b"abc!", None, envelope(b"text"), b"hello world this is text"]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, content binary")
     got = {r.i: (r.inner and bytes(r.inner), r.error) for r in files.unwrapped(df).collect()}
     assert got[0] == got[1] == (pdf, None)
-    assert [got[i][1] for i in range(2, 7)] == ["detached", "truncated", "not signed data", "not signed data", "no document inside"]
+    assert [got[i][1] for i in range(2, 8)] == ["detached", "truncated", "not signed data", "not signed data", "no document inside", "not signed data"]
 
 
 def test_boxes(spark):

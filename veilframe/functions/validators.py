@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,10 +138,22 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\.", ""), ",", ".").try_cast("decimal(18,2)")
 
 
+def _bare() -> tuple[str, str]:
+    """Letters with marks, and the letters that they are without: by Unicode's decompositions,
+    for all blocks of Latin letters."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(code):
+            pairs.append((chr(code), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, BARE = _bare()
+
+
 def name_key(name: Column) -> Column:
     """Lower case, without accents, one kind of apostrophe, letters and single blanks only."""
-    accents = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñ"
-    plain = "aaaaaaeeeeiiiiooooouuuuyycn"
-    low = F.translate(F.lower(F.translate(name, "’‘`´", "''''")), accents, plain)
-    low = F.regexp_replace(F.regexp_replace(low, r"\p{M}", ""), r"[^a-z\s']", " ")
+    plain = F.translate(F.regexp_replace(name, r"\p{M}", ""), MARKED + "’‘`´", BARE + "''''")
+    low = F.regexp_replace(F.lower(plain), r"[^a-z\s']", " ")
     return F.trim(F.regexp_replace(low, r"\s+", " "))

@@ -56,8 +56,9 @@ def resolved(findings: DataFrame) -> DataFrame:
     return folded(findings.select(*COLUMNS), ["doc_id", "page"], ["start", "seq"], _resolve)
 
 
-def merged(intervals: Column) -> Column:
-    """Disjoint intervals (array<struct<start, end>>), in order, that cover the same places."""
+def merged(intervals: Column, touching: bool = True) -> Column:
+    """Disjoint intervals (array<struct<start, end>>), in order, that cover the same places; those
+    that only touch become one if touching."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(done: Column, x: Column) -> Column:
@@ -66,7 +67,8 @@ def merged(intervals: Column) -> Column:
             F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
             F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
         )
-        return F.when(last.isNotNull() & (x["start"] <= last["end"]), joined).otherwise(F.concat(done, F.array(x)))
+        meets = x["start"] <= last["end"] if touching else x["start"] < last["end"]
+        return F.when(last.isNotNull() & meets, joined).otherwise(F.concat(done, F.array(x)))
 
     return F.aggregate(F.array_sort(F.filter(intervals, lambda x: x["start"] < x["end"])), empty, step)
 

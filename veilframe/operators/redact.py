@@ -27,13 +27,13 @@ def dropped_pages(findings: DataFrame) -> DataFrame:
 
 
 def redacted(pages: DataFrame, findings: DataFrame, mode: str = OMISSIS) -> DataFrame:
-    """doc_id, page, redacted_text of the pages that are not dropped. Spans that touch are
-    masked as one, with the label of the first; every character of a masked span goes."""
+    """doc_id, page, redacted_text of the pages that are not dropped. Spans that overlap
+    are masked as one, with the label of the first; spans that only touch have their own labels."""
     spans = findings.where("decision = 'mask' and start is not null").withColumn("label", label(mode))
     spans = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "seq", "label"))).alias("spans"))
     rows = pages.select("doc_id", "page", "text").join(dropped_pages(findings), ["doc_id", "page"], "left_anti").join(spans, ["doc_id", "page"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    masks = merged(F.coalesce(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), none))
+    masks = merged(F.coalesce(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), none), touching=False)
     rows = rows.withColumn("masks", masks)
     clear = gaps(F.col("masks"), F.length("text"))
     parts = F.concat(

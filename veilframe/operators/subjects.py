@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.validators import name_key
 from veilframe.operators.findings import COLUMNS, constructed, is_person, looked_up
 from veilframe.operators.names import surname
+from veilframe.plans.folds import folded
 from veilframe.rules import fixed
 from veilframe.rules.tables import WEIGHTS
 
@@ -51,6 +52,15 @@ def coherent(findings: DataFrame) -> DataFrame:
     return rows.withColumns(new).select(*COLUMNS)
 
 
+def _apart(rows: list[dict]) -> list[dict]:
+    """Of new spans that overlap each other the first stays."""
+    kept: list[dict] = []
+    for row in rows:
+        if not kept or row["start"] >= kept[-1]["end"]:
+            kept.append(row)
+    return kept
+
+
 def variants(pages: DataFrame, findings: DataFrame, first_seq: int) -> DataFrame:
     """New findings: surnames alone, with or without an initial, where no name was found yet.
     One that several persons of the document share is nobody's, unless its initial tells."""
@@ -72,31 +82,26 @@ def variants(pages: DataFrame, findings: DataFrame, first_seq: int) -> DataFrame
         F.collect_list(F.struct("subject_key", "p.category", "p.proposal_key", "p.initial")).alias("persons"),
     )
     text = F.col("text")
-    quoted = F.concat(F.lit(r"\Q"), F.replace(F.col("family"), F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
+    quoted = F.replace(F.col("family"), F.lit("'"), F.lit(r"\E['’]\Q"))  # either apostrophe in the text
+    quoted = F.concat(F.lit(r"\Q"), F.replace(quoted, F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
     pattern = F.concat(F.lit(r"(?iu)((?<!\p{L})(?:\p{Lu}\.\s?)?"), quoted, F.lit(r"(?!\p{L}))"))
     marked = F.split(F.regexp_replace(text, pattern, F.lit("\u0001$1\u0002")), "[\u0001\u0002]")
-    places = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: i % 2 == 1),
-        lambda i: F.struct(
-            F.aggregate(F.slice(marked, 1, i), F.lit(0), lambda n, x: n + F.length(x)).alias("start"), F.get(marked, i).alias("found")
-        ),
-    )
-    seen = pages.select("doc_id", "page", "text").join(families, "doc_id").withColumn("m", F.explode(places))
-    seen = seen.where(F.col("m.found").rlike(r"^\p{Lu}"))
-    first = F.upper(F.regexp_extract("m.found", r"^(\p{Lu})\.", 1))
+    seen = pages.select("doc_id", "page", "text").join(families, "doc_id")
+    seen = seen.select("doc_id", "page", "k", "persons", F.posexplode(marked).alias("nth", "found"))
+    before = Window.partitionBy("doc_id", "page", "k").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("start", F.coalesce(F.sum(F.length("found")).over(before), F.lit(0)).cast("int"))
+    seen = seen.where((F.col("nth") % 2 == 1) & F.col("found").rlike(r"^\p{Lu}"))
+    first = F.upper(F.regexp_extract("found", r"^(\p{Lu})\.", 1))
     fitting = F.filter("persons", lambda x: x["initial"] == first)
     one = F.when(F.size("persons") == 1, F.get("persons", F.lit(0))).when(F.size(fitting) == 1, F.get(fitting, F.lit(0)))
     seen = seen.select(
-        "doc_id", "page", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.found")).alias("end"),
-        F.col("m.found").alias("text"), one.alias("one"),
+        "doc_id", "page", "start", (F.col("start") + F.length("found")).alias("end"), F.col("found").alias("text"), one.alias("one"),
     )
     taken = findings.where(person & F.col("start").isNotNull()).select("doc_id", "page", F.col("start").alias("s"), F.col("end").alias("e"))
     fresh = seen.join(taken, ["doc_id", "page"], "left").groupBy("doc_id", "page", "start", "end", "text", "one").agg(
         F.max(F.coalesce((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), F.lit(False))).alias("hit")
     )
-    # of new ones that overlap each other the first stays
-    order = Window.partitionBy("doc_id", "page").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    fresh = fresh.where("not hit").withColumn("reach", F.max("end").over(order)).where("reach is null or start >= reach")
+    fresh = folded(fresh.where("not hit"), ["doc_id", "page"], ["start", F.desc("end")], _apart)
     made = fresh.select(
         "doc_id", "page", (F.lit(first_seq) + F.col("start")).alias("seq"), "start", "end", "text",
         F.coalesce("one.category", F.lit("C1")).alias("category"), F.lit("variant").alias("detector"), F.lit("variant").alias("origin"),

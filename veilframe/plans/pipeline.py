@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.contacts import institutional
 from veilframe.operators.context import classified
 from veilframe.operators.decide import proposed
 from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared
@@ -23,15 +24,16 @@ def analysed(
     detectors: tuple[Detector, ...] = DETECTORS,
     as_of: str | None = None,
 ) -> DataFrame:
-    """Findings of pages (doc_id, page, text; is_scan, ocr_conf, n_cards if there are any),
-    with subject_no.
+    """Findings of pages (doc_id, page, text; is_scan, ocr_conf, n_cards, top, page_height if
+    there are any), with subject_no.
 
     entities: a recognizer's names (doc_id, page, start, end, score). Without a recognizer
     (None) keyword findings are neither silenced nor demoted for want of a name; a recognizer
     that found nothing is an empty table."""
     plain = {"is_scan": F.lit(False), "ocr_conf": F.lit(None).cast("double"), "n_cards": F.lit(0)}
     pages = pages.withColumns({k: v for k, v in plain.items() if k not in pages.columns})
-    pages = staged(prepared(spread(pages)).select("doc_id", "page", "text", "shadow", *plain), "pages")
+    layout = [c for c in ("top", "page_height") if c in pages.columns]
+    pages = staged(prepared(spread(pages)).select("doc_id", "page", "text", "shadow", *plain, *layout), "pages")
     found = detect(pages, detectors, as_of).unionByName(page_findings(pages), allowMissingColumns=True)
     if entities is not None:
         found = found.unionByName(name_findings(pages, entities, 100 * STRIDE), allowMissingColumns=True)
@@ -44,5 +46,6 @@ def analysed(
     rows = staged(resolved(rows), "resolved")
     if entities is not None:
         rows = demoted(pages, silenced(rows))
+    rows = staged(institutional(pages, rows), "contacts")
     rows = numbered(reconciled(rows))
     return proposed(rows, purpose) if purpose else rows

@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import validators as v
 from veilframe.functions.patterns import clean, matches
-from veilframe.operators.decide import decided
+from veilframe.operators.decide import certainty, decided
 from veilframe.operators.names import entities_of, surname
 from veilframe.operators.overlap import gaps, merged
-from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
-from veilframe.operators.report import certainty_tally
+from veilframe.operators.redact import OMISSIS, PSEUDONYM, outcomes, redacted
+from veilframe.operators.report import band_c, certainty_tally, header, treated
 from veilframe.plans.pipeline import analysed
 from veilframe.rules import fixed
-from veilframe.sources import templates as t
+from veilframe.rules.tables import CERTAINTY
+from veilframe.sources import cases, templates as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 NO_DIV = t.NAME.replace("(o_custkey DIV 10)", "(o_custkey // 10)")
@@ -151,11 +152,91 @@ def certainty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certainty_tally(found).groupBy("certainty").agg(F.sum("n").alias("n"))
 
 
+def contact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mobiles, landlines, residences, addresses, e-mails, and what is none."""
+    return _placed(analysed(cases.pages(spark, sf_dir, cases.CONTACTS), purpose="publish"))
+
+
+def identifier_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax codes, health cards, accounts, cards, documents, VAT numbers."""
+    return _placed(analysed(cases.pages(spark, sf_dir, cases.IDENTIFIERS), purpose="publish"))
+
+
+def civil_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Births, forms, marital status, households, declarants and titled names."""
+    return _placed(analysed(cases.pages(spark, sf_dir, cases.CIVIL), purpose="publish"))
+
+
+def sensitive_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword bands grown to clauses, with a name nearby or silenced and demoted without
+    (D1-D4, D25, F6, J4, J5)."""
+    pages = cases.pages(spark, sf_dir, cases.SENSITIVE)
+    return _placed(analysed(pages, entities_of(pages, cases.names(spark, sf_dir)), "publish"))
+
+
+def institutional_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of offices, companies, holders of roles and persons."""
+    pages = cases.pages(spark, sf_dir, cases.BODIES)
+    found = analysed(pages, purpose="publish")
+    return _placed(found.where(F.col("detector").isin("landline", "address", "email")))
+
+
+def letterhead_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts in the heads of pages, which are a body's only where one is named."""
+    pages = cases.pages(spark, sf_dir, cases.LETTERHEADS).withColumn("top", F.lit(820.0))
+    return _placed(analysed(pages, purpose="publish"))
+
+
+def same_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surnames with another apostrophe take the qualification of the full name."""
+    pages = cases.persons(spark, sf_dir)
+    found = analysed(pages, entities_of(pages, cases.names(spark, sf_dir, cases.FULL)), "publish")
+    return found.select(
+        "doc_id", F.col("start").cast("long").alias("start"), "text", "category", "proposal_key", "decision", F.col("subject_no").cast("long").alias("subject_no")
+    )
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity pages, dropped, and unreadable scans, to be decided."""
+    found = analysed(cases.scans(spark, sf_dir), purpose="publish")
+    told = found.select("doc_id", "page", "seq", "category", "decision", certainty(found).alias("certainty"))
+    return told.join(outcomes(found), ["doc_id", "page", "seq"]).select("doc_id", "category", "decision", "certainty", "outcome", "covered")
+
+
+def report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: pages, findings, masked, open, to be confirmed."""
+    pages = cases.pages(spark, sf_dir, cases.IDENTIFIERS)
+    made = header(pages, analysed(pages, purpose="publish"), "publish", OMISSIS)
+    return made.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_pages", "n_dropped", "n_findings", "n_masked", "n_open", "n_to_confirm")], "ready")
+
+
+def treated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked findings in order with their grades, after a confirmation of every even document (Q3, C6o)."""
+    pages = cases.pages(spark, sf_dir, cases.IDENTIFIERS)
+    even = pages.where("doc_id % 2 = 0").select(
+        "doc_id", F.lit(1).alias("step"), F.lit("confirm").alias("op"), F.lit("").alias("target"), F.lit(None).cast("string").alias("decision")
+    )
+    rows = treated(decided(analysed(pages, purpose="publish"), even))
+    return rows.select("doc_id", F.col("nr").cast("long").alias("nr"), "category", "detector", "certainty")
+
+
+def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band C by who decided, after a confirmation of every even document (Q5, C6o)."""
+    pages = cases.pages(spark, sf_dir, cases.IDENTIFIERS)
+    even = pages.where("doc_id % 2 = 0").select(
+        "doc_id", F.lit(1).alias("step"), F.lit("confirm").alias("op"), F.lit("").alias("target"), F.lit(None).cast("string").alias("decision")
+    )
+    rows = band_c(decided(analysed(pages, purpose="publish"), even))
+    return rows.groupBy("category", "proposal_key", "decision", "by").agg(F.sum("count").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         email_findings, card_findings, iban_checks, tax_code_checks, vat_checks, amounts, surnames, masked_intervals,
         payee_findings, qualified_names, private_purpose, redacted_payments, decision_log, document_findings, certainty_report,
+        contact_findings, identifier_findings, civil_findings, sensitive_findings, institutional_contacts, letterhead_contacts,
+        same_persons, page_outcomes, report_header, treated_findings, confirmations,
     )
 }
 
@@ -247,3 +328,37 @@ SELECT o_orderkey AS doc_id, concat('Si liquida a favore di ', CASE WHEN {t.AMOU
 SELECT o_orderkey AS doc_id, concat('Si liquida a favore di ', CASE WHEN o_orderkey % 4 = 0 THEN '[OMISSIS]' WHEN o_orderkey % 2 = 0 THEN {NO_DIV}
   WHEN {t.AMOUNT} <= 1000 THEN '[OMISSIS]' ELSE {NO_DIV} END, ' la somma di euro ', {t.AMOUNT}, '.') AS redacted_text FROM orders""",
 }
+
+_N = len(cases.IDENTIFIERS)
+_CATEGORY, _DECISION, _KEY = (
+    "CASE " + " ".join(f"WHEN c_custkey % {_N} = {i} THEN " + (f"'{c[k]}'" if c[k] else "NULL") for i, c in enumerate(cases.IDENTIFIERS)) + " END"
+    for k in (3, 5, 4)
+)
+_DETECTOR = "CASE " + " ".join(
+    f"WHEN c_custkey % {_N} = {i} THEN '{d}'"
+    for i, d in enumerate(("tax-code", "", "health-card", "iban", "", "bank-account", "payment-card", "", "id-document", "vat-number", "vat-number", ""))
+) + " END"
+_IDS = f"WITH f AS (SELECT c_custkey AS doc_id, {_CATEGORY} AS category, {_DECISION} AS decision, {_KEY} AS proposal_key, {_DETECTOR} AS detector FROM customer)"
+ORACLE_SQL |= {
+    "contact_findings": cases.expected(cases.CONTACTS),
+    "identifier_findings": cases.expected(cases.IDENTIFIERS),
+    "civil_findings": cases.expected(cases.CIVIL),
+    "sensitive_findings": cases.expected(cases.SENSITIVE, names_too=True),
+    "institutional_contacts": cases.expected(cases.BODIES),
+    "letterhead_contacts": cases.expected(cases.LETTERHEADS),
+    "same_persons": cases.persons_expected(),
+    "page_outcomes": """
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 2 THEN 'B4P' ELSE 'C7' END AS category, CASE WHEN c_custkey % 4 = 2 THEN 'mask' END AS decision,
+  CASE WHEN c_custkey % 4 = 2 THEN 'formal' ELSE 'statistical' END AS certainty, CASE WHEN c_custkey % 4 = 2 THEN 'dropped' ELSE 'clear' END AS outcome,
+  false AS covered FROM customer WHERE c_custkey % 4 < 3""",
+    "report_header": f"""{_IDS}
+SELECT doc_id, CAST(1 AS BIGINT) AS n_pages, CAST(0 AS BIGINT) AS n_dropped, CAST(CASE WHEN category IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_findings,
+  CAST(CASE WHEN decision = 'mask' THEN 1 ELSE 0 END AS BIGINT) AS n_masked, CAST(0 AS BIGINT) AS n_open,
+  CAST(CASE WHEN category = 'C6' THEN 1 ELSE 0 END AS BIGINT) AS n_to_confirm, coalesce(category, '') <> 'C6' AS ready FROM f""",
+    "treated_findings": f"""{_IDS}
+SELECT doc_id, CAST(1 AS BIGINT) AS nr, category, detector, CASE WHEN detector IN ({_quoted(CERTAINTY["formal"])}) THEN 'formal' ELSE 'contextual' END AS certainty
+FROM f WHERE decision = 'mask'""",
+    "confirmations": f"""{_IDS}
+SELECT category, proposal_key, decision, CASE WHEN doc_id % 2 = 0 THEN 'confirmed' ELSE 'proposed' END AS "by", count(*) AS n
+FROM f WHERE category = 'C6' GROUP BY ALL""",
+}

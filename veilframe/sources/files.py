@@ -74,7 +74,10 @@ def unwrap(data: bytes) -> tuple[bytes | None, str | None]:
     for _ in range(MOST_ENVELOPES):
         text = data.lstrip()
         if not text.startswith(b"\x30") and re.match(rb"[A-Za-z0-9+/=\s-]+\Z", text[:64]):
-            data = base64.b64decode(re.sub(rb"-----[^-]+-----|\s", b"", text))
+            try:
+                data = base64.b64decode(re.sub(rb"-----[^-]+-----|\s", b"", text))
+            except ValueError:
+                return None, "not signed data"
         try:
             if not data or data[0] != 0x30 or SIGNED_DATA not in data[:32]:
                 return None, "not signed data"
@@ -90,6 +93,8 @@ def unwrap(data: bytes) -> tuple[bytes | None, str | None]:
             data = _octets(data, *octets[:3])
         except (IndexError, StopIteration, ValueError):
             return None, "truncated"
+        except RecursionError:
+            return None, "nested too deeply"
         if data[:4] in (b"%PDF", b"\x89PNG") or data[:3] == b"\xff\xd8\xff":
             return data, None
         if SIGNED_DATA not in data[:32]:
