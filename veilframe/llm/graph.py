@@ -34,9 +34,10 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     Large star: each node hands its larger neighbours to its smallest one; small star: each
     node hands its smaller neighbours to the smallest of them. Stars only remain after a
     number of rounds that grows with the logarithm of the longest path. Minima are combined
-    before each shuffle and handed back by an equi-join, whose hot keys Spark splits; every
-    round is written to the shared folder. Links of a node with itself don't count; an empty
-    table gives an empty table."""
+    before each shuffle, written out, and handed back by an equi-join with what is read back:
+    both sides of the join are then plain scans, so that Spark splits a hot node (the centre
+    of a great star) over tasks. Every round is written to the shared folder. Links of a node
+    with itself don't count; an empty table gives an empty table."""
     edges = stage(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         name,
@@ -44,14 +45,12 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     digest = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        ).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        handed = large.join(least, "u")
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-least")
+        large = handed(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stage(large, name + "-large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), name + "-least")
         small = (
-            handed.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
+            handed(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
                 least.select("u", F.col("m").alias("v"))
             )
         ).distinct()
@@ -66,3 +65,8 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         centres.select("node", F.col("node").alias("component"))
     )
+
+
+def handed(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (u, v) with m, the least of u; both tables are read from files."""
+    return edges.join(least, "u")

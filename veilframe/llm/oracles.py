@@ -42,7 +42,7 @@ bids AS (
     list_transform(range(0, 41), lambda i: -ln((CAST('0x' || substr(md5(k || ':' || i), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)) AS bid FROM sized),
 won AS (
   SELECT *, list_position(bid, list_min(bid[1:40])) - 1 AS shard, CASE WHEN bid[41] < list_min(bid[1:40]) THEN 40 END AS new,
-    CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM documents) / {BLOCK * 40}.0) AS BIGINT)) AS block FROM bids)
+    CAST('0x' || substr(md5(k || ':' || text_crc32), 1, 8) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM documents) / {BLOCK * 40}.0) AS BIGINT)) AS block FROM bids)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, CAST(coalesce(new, shard) AS INT) AS grown_shard FROM won"""
 

@@ -34,8 +34,8 @@ def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str
 
     size is the text's UTF-8 bytes (null: none) plus 16; a null key counts as the empty
     string; rows with equal keys share a shard. Slots count from 0 in each shard without gaps:
-    a shard's rows are numbered block by block (a hash of the key), so a shard is no single
-    task however many rows it has. Other columns are not read."""
+    a shard's rows are numbered block by block (a hash of key and text), so neither a shard nor
+    a key is a single task however many rows it has. Other columns are not read."""
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     won = stage(
         docs.select(
@@ -49,7 +49,7 @@ def assign(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str
         .select(
             "key", "size", "text_crc32", F.col("won.shard").alias("shard"),
             F.when(F.col("new") < F.col("won.bid"), len(weights)).otherwise(F.col("won.shard")).alias("grown_shard"),
-            F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("long").alias("mark"),
+            F.conv(F.substring(F.md5(F.concat("k", F.lit(":"), F.col("text_crc32"))), 1, 8), 16, 10).cast("long").alias("mark"),
         ),
         "shards",
     )

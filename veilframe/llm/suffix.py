@@ -166,6 +166,12 @@ def _bucket(seeds: np.ndarray, buckets: int) -> np.ndarray:
     return ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _in_use(bucket: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The distinct values of sorted bucket numbers, and where each begins; at last the end."""
+    some, first = np.unique(bucket, return_index=True)
+    return some, [*first.tolist(), len(bucket)]
+
+
 def _once(seeds: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's distinct seeds in order, whether two of its documents have each, and how
     many runs have it (255: or more)."""
@@ -186,13 +192,12 @@ def _send_seeds(length: int, buckets: int):
             for row in _rows(batch):
                 text, _, ends = _opened(row)
                 found, _, runs = _once(_seeds(text, ends, length), ends, length)
-                cut = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))  # sorted by seed, so by bucket
-                some = np.flatnonzero(cut[1:] > cut[:-1])
+                some, cut = _in_use(_bucket(found, buckets))  # sorted by seed, so by bucket
                 seven = np.ascontiguousarray(found).view(np.uint8).reshape(-1, 8)[:, :7].copy()  # the low 48 bits
                 seven[:, 6] = runs
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some), pa.array(np.full(len(some), row["chunk"])),
-                     pa.array([seven[cut[b] : cut[b + 1]].tobytes() for b in some.tolist()], pa.binary())],
+                     pa.array([seven[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
                     ["bucket", "chunk", "seeds"],
                 )
 
@@ -247,9 +252,10 @@ def _send_runs(length: int, buckets: int):
                 seeds = _seeds(text, ends, length)
                 found, repeated, _ = _once(seeds, ends, length)
                 crowded = np.zeros(len(found), bool)
-                cut = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))
+                some, cut = _in_use(_bucket(found, buckets))
+                of = dict(zip(some.tolist(), zip(cut, cut[1:], strict=False), strict=True))
                 for mark in row["marks"] or ():
-                    a, b = cut[mark["bucket"]], cut[mark["bucket"] + 1]
+                    a, b = of[mark["bucket"]]
                     for flags, bits in ((repeated, mark["bits"]), (crowded, mark["crowd"])):
                         if bits is not None:
                             flags[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
@@ -283,9 +289,9 @@ def _send_runs(length: int, buckets: int):
                 if len(gone):  # a group of its own, which is passed on as it is
                     yield _row(-1 - row["chunk"], row["chunk"], _zip(gone, span))
                 sent = sent[np.argsort(own[sent], kind="stable")]  # by seed, so by bucket
-                cut = np.searchsorted(_bucket(own[sent], buckets), np.arange(buckets + 1))
-                for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                    p = sent[cut[b] : cut[b + 1]]
+                some, cut = _in_use(_bucket(own[sent], buckets))
+                for b, start, stop in zip(some.tolist(), cut, cut[1:], strict=False):
+                    p = sent[start:stop]
                     table = _planes(own[p].astype(np.uint32), key[p], first[p].astype(np.uint32), size[p].astype(np.uint16))
                     yield _row(b, row["chunk"], _zip(len(p).to_bytes(8, "little"), *table, *[pieces[j] for j in p.tolist()]))
 

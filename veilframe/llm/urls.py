@@ -3,19 +3,27 @@
 Parsing and rules: see parsed() and ruled(). For urls without a rule the method decides:
 
 1. Segments of a path are turned into kinds where they vary by nature (numbers, hex and
-   dates, with what is left of a file name's ending); the tree of a host has a node for each
-   prefix of the segments, up to DEPTH of them (deeper ones are one "**").
-2. From the root down, where a node's children are many and thin (over MANY distinct ones
-   with fewer than THIN urls each on average), all become one wildcard "*".
-3. Leaves are templates. Those that differ in one constant segment only (the last that is no
-   wildcard: siblings) are compared: a template whose share of bad pages does not differ
-   from that of all its siblings by SIGMA standard errors is merged with the others like it.
-4. A template's purity is the share of good pages among its labelled ones, smoothed by PRIOR
-   pages of the overall share. Purity below PURITY blocks. A page is good if its label says
-   quality 1 and not toxic; unlabelled pages count for the shape of the tree only.
-
-All of it is joins and group-bys on (host, prefix); the tree is built from distinct paths
-with counts, so a hot host is as many rows as it has paths.
+   dates, with what is left of a file name's ending). The tree of a host grows level by level
+   from its root: a node's children are the next segments of its paths.
+2. Where a node's children are many and thin (over MANY distinct ones with fewer than THIN
+   urls each on average), all become one wildcard "*".
+3. Other children merge where they are statistically alike: the share of good pages of each,
+   smoothed by PRIOR pages of the overall share, is put on the scale of its arcsine, on which
+   all shares have one standard error, and cut into bins of SIGMA errors of PRIOR pages.
+   Children of one bin become one branch ("~" and the bin), whose own children are then
+   those of all of them.
+4. Nodes with fewer than SPLIT urls are not split further; what is left of their paths is
+   "**". All other paths are followed to their ends, however deep.
+5. A template's purity is the share of good pages among its labelled ones, smoothed alike.
+   Purity below PURITY blocks. A page is good if its label says quality 1 and not toxic;
+   unlabelled pages count for the shape of the tree only.
+
+All of it is joins and group-bys; the tree is built from distinct paths with counts, and rows
+meet what becomes of their segment by (host, node, segment), so that a hot host is spread over
+its branches. What is joined to pages and paths is read from files, so that Spark splits what
+is hot even so.
+
+Labels are given for pages: a label's doc_id is taken as the page_id that it speaks of.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import stage
 
-DEPTH, MANY, THIN = 6, 20, 3.0
+MANY, THIN, SPLIT = 20, 3.0, 10
 SIGMA, PRIOR, PURITY = 1.96, 20.0, 0.5
 #: host suffix, path prefix, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -64,20 +72,48 @@ def _kind(segment: Column) -> Column:
     return F.coalesce(F.concat(kind, ending), segment)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, path, template of the distinct paths of pages (host, path, n: pages of a path)."""
+def _bin(good: Column, known: Column, base: float) -> Column:
+    share = (good + F.lit(PRIOR * base)) / (known + F.lit(PRIOR))
+    return F.floor(F.asin(F.sqrt(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))) * 2 / F.lit(SIGMA / PRIOR**0.5)).cast("int")
+
+
+def templates(paths: DataFrame, base: float) -> DataFrame:
+    """host, path, template, known, good of the distinct paths (host, path, n: pages of a path;
+    known: with a label; good: good ones). base: the overall share of good pages."""
     segments = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _kind)
-    rows = pages.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for depth in range(1, DEPTH + 1):
-        own = F.get("segments", F.lit(depth - 1))
-        rows = rows.withColumn("own", own)
-        children = rows.where("own is not null").groupBy("host", "template", "own").agg(F.sum("n").alias("n"))
+    given = ["host", "path", "n", "known", "good"]
+    rows = stage(paths.select(*given, segments.alias("segments"), F.lit("").alias("template")), "tree")
+    done, depth = [], 0
+    while True:
+        # a node that is too small, or a path that has ended, is a template
+        nodes = stage(rows.groupBy("host", "template").agg(F.sum("n").alias("urls")).where(F.col("urls") >= SPLIT).select("host", "template"), "nodes")
+        rest = F.when(F.size("segments") > depth, "/**").otherwise("")
+        ended = rows.where(F.size("segments") <= depth)
+        more = rows.where(F.size("segments") > depth)
+        small = more.join(nodes, ["host", "template"], "left_anti")
+        done += [x.select("host", "path", F.concat("template", rest).alias("template"), "known", "good") for x in (ended, small)]
+        open_ = more.join(nodes, ["host", "template"], "left_semi").withColumn("own", F.get("segments", F.lit(depth)))
+        children = stage(open_.groupBy("host", "template", "own").agg(*[F.sum(c).alias(c) for c in ("n", "known", "good")]), "children")
+        if children.isEmpty():
+            return _all(done)
         wild = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-        wild = wild.where((F.col("kinds") > MANY) & (F.col("n") < F.lit(THIN) * F.col("kinds"))).select("host", "template", F.lit(True).alias("wild"))
-        step = F.when(F.col("own").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col("own"))))
-        rows = rows.join(wild, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("wild", "own")
-    deep = F.when(F.size("segments") > DEPTH, "/**").otherwise("")
-    return rows.select("host", "path", F.concat("template", deep).alias("template"))
+        wild = stage(wild.where((F.col("kinds") > MANY) & (F.col("n") < F.lit(THIN) * F.col("kinds"))).select("host", "template", F.lit(True).alias("wild")), "wild")
+        binned = children.withColumn("bin", _bin(F.col("good"), F.col("known"), base))
+        alike = stage(binned.groupBy("host", "template", "bin").agg(F.count("*").alias("like")).where("like > 1"), "alike")
+        become = binned.join(wild, ["host", "template"], "left").join(alike, ["host", "template", "bin"], "left").select(
+            "host", "template", "own",
+            F.when(F.col("wild"), "*").when(F.col("like").isNotNull(), F.concat(F.lit("~"), F.col("bin"))).otherwise(F.col("own")).alias("step"),
+        )
+        rows = open_.join(stage(become, "steps"), ["host", "template", "own"])
+        rows = stage(rows.withColumn("template", F.concat("template", F.lit("/"), "step")).select(*given, "segments", "template"), "tree")
+        depth += 1
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    found = tables[0]
+    for one in tables[1:]:
+        found = found.unionByName(one)
+    return found
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -87,22 +123,11 @@ def judged(pages: DataFrame) -> DataFrame:
         pages.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("good").alias("known"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")),
         "paths",
     )
-    named = stage(templates(paths.select("host", "path", "n")).join(paths, ["host", "path"]), "templates")
+    base = paths.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("known")), F.lit(1.0))).first()[0]
+    named = stage(templates(paths, base), "templates")
     leaves = named.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("good").alias("good"))
-    # the last segment that is neither a kind nor a wildcard tells siblings apart
-    family = F.regexp_replace("template", r"/[^/{*][^/]*((?:/(?:[{*][^/]*)?)*)$", "/~$1")
-    leaves = leaves.withColumn("family", family)
-    all_known = leaves.groupBy("host", "family").agg(F.sum("known").alias("f_known"), F.sum("good").alias("f_good"))
-    share = F.try_divide("f_good", "f_known")
-    error = F.sqrt(F.try_divide(share * (1 - share), F.col("known")))
-    like = (F.col("known") == 0) | (F.abs(F.try_divide("good", "known") - share) <= F.lit(SIGMA) * error)
-    tested = leaves.join(all_known, ["host", "family"]).withColumn("like", F.coalesce(like, F.lit(True)))
-    merged = tested.where("like").groupBy("host", "family").agg(F.sum("known").alias("m_known"), F.sum("good").alias("m_good"))
-    total = leaves.agg(F.sum("good").alias("all_good"), F.sum("known").alias("all_known"))
-    base = total.select(F.coalesce(F.try_divide("all_good", "all_known"), F.lit(1.0)).alias("base")).first()[0]
-    known, good = (F.when(F.col("like"), F.col(f"m_{x}")).otherwise(F.col(x)) for x in ("known", "good"))
-    purity = (good + F.lit(PRIOR * base)) / (known + F.lit(PRIOR))
-    scored = tested.join(merged, ["host", "family"], "left").select("host", "template", purity.alias("purity"))
+    purity = (F.col("good") + F.lit(PRIOR * base)) / (F.col("known") + F.lit(PRIOR))
+    scored = stage(leaves.select("host", "template", purity.alias("purity")), "purity")
     return named.select("host", "path", "template").join(scored, ["host", "template"]).select(
         "host", "path", "template", "purity", F.when(F.col("purity") < PURITY, "block").otherwise("allow").alias("verdict")
     )
@@ -111,11 +136,12 @@ def judged(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict of every page; labels: doc_id (the page's key), quality,
     toxic. A page with several labels is good if all are. Null urls have the empty host and
-    path, a template like any other. Other columns are not read. Repeated rows each count."""
+    path, a template like any other. Other columns are not read. Repeated rows each count. Without
+    labels all pages are good; an empty table gives an empty table."""
     plain = parsed(pages.select(F.col(key).alias("key"), F.col(url).alias("url")))
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").alias("key")).agg(F.min(good).alias("good"))
-    found = judged(plain.join(marks, "key", "left"))
+    found = stage(judged(plain.join(marks, "key", "left")), "judged")
     rule, verdict = ruled()
     return plain.join(found.withColumnRenamed("verdict", "found"), ["host", "path"]).select(
         F.col("key").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("found")).alias("verdict"), "template", "purity"
