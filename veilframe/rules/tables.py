@@ -30,6 +30,11 @@ CATEGORIES = {
     "P": ("P", True, "mask", 0, 0),
     "M": ("M", False, "mask", 0, 0),
 }
+#: Whether a finding that is restored wants a reason; the other categories have none.
+REASON_NEEDED = {
+    "A1": "required", "A2": "required", "A3": "required", "A4": "required", "B1": "optional", "B2": "optional", "B3": "optional",
+    "B4": "optional", "B4P": "optional", "B5": "optional", "B6": "optional", "B7": "optional", "B8": "required",
+}
 PRIORITY = {"M": 5, "A": 4, "B": 3, "C": 2, "P": 1}
 DEFAULT_DECISION = {"A": "mask", "B": "mask", "M": "mask", "P": "keep"}
 PERSONS = tuple(c for c, row in CATEGORIES.items() if row[1])
