@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.patterns import let
 from veilframe.operators.geometry import BOX, box, covered, meets, share_of_run
 from veilframe.operators.overlap import gaps, merged
 
@@ -54,11 +55,16 @@ def clear_pieces(runs: DataFrame, findings: DataFrame, boxes: DataFrame) -> Data
     inner = F.transform(F.filter("spans", lambda s: (s["start"] < F.col("start") + F.col("n")) & (s["end"] > F.col("start"))), lambda s: F.struct(
         F.greatest(s["start"] - F.col("start"), F.lit(0)).alias("start"), F.least(s["end"] - F.col("start"), F.col("n")).alias("end")
     ))
-    touched = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.exists("masks", lambda b: covered(share_of_run(i / F.col("n"), (i + 1) / F.col("n")), b, TOUCH)))
+
+    def is_touched(i: Column) -> Column:
+        own = share_of_run(i / F.col("n"), (i + 1) / F.col("n"))
+        return let(own, lambda c: F.exists("masks", lambda b: covered(c, b, TOUCH)))
+
+    touched = F.filter(F.sequence(F.lit(0), F.col("n") - 1), is_touched)
     below = F.transform(touched, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
     gone = F.when(F.col("whole") & (F.size("masks") > 0), all_of_it).when(F.size("masks") > 0, F.concat(inner, below)).otherwise(inner)
-    rows = rows.withColumn("g", F.explode(gaps(merged(gone), F.col("n"))))
+    rows = rows.withColumn("g", F.explode(let(merged(gone), lambda g: gaps(g, F.col("n")))))
     text = F.substring(F.col("str"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
     return rows.where(F.trim(text) != "").select(
         "doc_id", "page", (F.col("start") + F.col("g.start")).alias("start"), (F.col("start") + F.col("g.end")).alias("end"), text.alias("text")
