@@ -13,7 +13,7 @@ from veilframe.sources.templates import FIRST
 SF = "/root/testdata/sf0.001"
 RUN = "doc_id long, page int, seg int, str string, x double, y double, w double, h double"
 #: An analysis each, so they run with the check of all queries only.
-SLOW = ("restored_findings", "spread_decisions", "sql_views")
+SLOW = ("restored_findings", "spread_decisions", "sql_views", "signature_images")
 
 
 def _texts(spark, rows, schema=RUN, reorder=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import clean, extended, java, matches, same_clause, shadow, slice_of, union
@@ -190,8 +190,9 @@ def signature_findings(images: DataFrame) -> DataFrame:
     low = F.col("y") + F.col("h") <= F.col("page_height") * 0.85
     rows = images.where(small & (F.col("w") >= 40) & (F.col("h") >= 12) & low & ~F.col("is_scan"))
     nowhere = F.lit(None).cast("int")
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y", "x", "w", "h"))
     return rows.select(
-        "doc_id", "page", F.lit(91 * STRIDE).alias("seq"), nowhere.alias("start"), nowhere.alias("end"),
+        "doc_id", "page", (F.lit(91 * STRIDE) + number).alias("seq"), nowhere.alias("start"), nowhere.alias("end"),
         F.concat(F.lit("Image "), F.round("w").cast("int"), F.lit("x"), F.round("h").cast("int")).alias("text"),
         F.lit("B6").alias("category"), F.lit("image").alias("detector"),
     )

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.operators import layer, layout, legal, manual, recognizer, scans
+from veilframe.operators import layer, layout, legal, manual, recognizer, report, scans
+from veilframe.operators.findings import constructed
 from veilframe.operators.geometry import box, joined_boxes, percent_place
 from veilframe.operators.names import entities_of
-from veilframe.operators.redact import OMISSIS, label
+from veilframe.operators.redact import OMISSIS, label, outcomes
 from veilframe.plans import sql
 from veilframe.plans.pipeline import analysed
-from veilframe.sources import cases, pages as p, templates as t
+from veilframe.sources import cases, files, pages as p, templates as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,6 +177,44 @@ def panel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(manual.panel(rows, ("C", "A", "P")).select("doc_id", "band", "seq", "nr"), "nr")
 
 
+def signature_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images low on native pages, which may be signatures."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"))
+    pages = rows.select("*", F.lit("testo della pagina").alias("text"), (F.col("doc_id") % 5 == 0).alias("is_scan"), F.lit(90.0).alias("ocr_conf"))
+    sides = {"x": "50D", "y": "CAST(650 + doc_id % 40 AS DOUBLE)", "w": "CAST(30 + doc_id % 30 AS DOUBLE)", "h": "CAST(8 + doc_id % 17 AS DOUBLE)"}
+    first = rows.withColumns({k: F.expr(v) for k, v in sides.items()})
+    second = rows.where("doc_id % 2 = 0").withColumns({k: F.lit(v) for k, v in zip("xywh", (300.0, 100.0, 90.0, 30.0))})
+    large = rows.where("doc_id % 3 = 0").withColumns({k: F.lit(v) for k, v in zip("xywh", (0.0, 0.0, 600.0, 400.0))})
+    images = first.unionByName(second).unionByName(large).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    found = analysed(pages, purpose="publish", images=images).where("detector = 'image'")
+    return found.select("doc_id", "text", "category", "decision")
+
+
+NOTES = "repeat('nota ', CAST(o_orderkey % 60 AS INT))"
+
+
+def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's table of all findings: places, kinds, outcomes, notes cut short."""
+    runs = layout.placed_runs(p.stacked(spark, sf_dir), reorder=False)
+    rows = _orders(
+        spark, sf_dir, page="1", start=START, end=STOP, text="'x'", category="CASE o_orderkey % 3 WHEN 0 THEN 'B1' WHEN 1 THEN 'A1' ELSE 'P' END",
+        detector="CASE o_orderkey % 3 WHEN 0 THEN 'tax-code' WHEN 1 THEN 'health' ELSE 'role' END", note=NOTES, seq="1L",
+        origin="CASE WHEN o_orderkey % 2 = 0 THEN 'manual' ELSE 'automatic' END",
+    )
+    found = constructed(rows).withColumn("rationale", F.when(F.col("doc_id") % 5 == 0, "atto pubblico").otherwise(""))
+    views = p.views(spark, sf_dir, 600.0, 800.0)
+    made = report.table(found, layout.span_boxes(found, runs), views, outcomes(found))
+    return _long(made.drop("page"), "nr")
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of files and the names of what is made of them."""
+    ends = ("PDF", "jpeg", "pdf.p7m", "docx", "png", "txt")
+    path = F.concat(F.lit("a/b c/atto."), F.col("c_custkey").cast("string"), F.lit("."), F.expr(t.pick(ends, f"c_custkey % {len(ends)}")))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), path.alias("path"))
+    return rows.select("id", files.kind(F.col("path")).alias("kind"), files.output_names(F.col("path"))["document"].alias("document"))
+
+
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and redacted pages as views for SQL."""
     cases.pages(spark, sf_dir, cases.CONTACTS).createOrReplaceTempView("contact_pages")
@@ -190,7 +229,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         read_pages, finding_boxes, joined_areas, area_findings, text_findings, restored_findings, spread_decisions, page_routes, recognized_words,
-        scan_kinds, clear_text, mask_labels, text_chunks, token_persons, citations, panel_order, sql_views,
+        scan_kinds, clear_text, mask_labels, text_chunks, token_persons, citations, panel_order, sql_views, signature_images,
+        findings_table, file_names,
     )
 }
 
@@ -314,4 +354,21 @@ SELECT doc_id, band, seq, row_number() OVER (PARTITION BY doc_id ORDER BY CASE b
     "sql_views": f"""
 SELECT c_custkey AS doc_id, CAST(CASE WHEN {_IS_MASKED} THEN 1 ELSE 0 END AS BIGINT) AS n_masked,
   concat({_CONTACT_TEXT[0]}, CASE WHEN {_IS_MASKED} THEN '[OMISSIS]' ELSE {_CONTACT_TEXT[1]} END, {_CONTACT_TEXT[2]}) AS redacted_text FROM customer""",
+    "signature_images": """
+WITH i AS (SELECT c_custkey AS k, 650 + c_custkey % 40 AS y, 30 + c_custkey % 30 AS w, 8 + c_custkey % 17 AS h FROM customer
+  UNION ALL SELECT c_custkey, 100, 90, 30 FROM customer WHERE c_custkey % 2 = 0)
+SELECT k AS doc_id, 'Image ' || w || 'x' || h AS text, 'B6' AS category, 'mask' AS decision FROM i WHERE w >= 40 AND h >= 12 AND y + h <= 680 AND k % 5 <> 0""",
+    "findings_table": f"""
+WITH {_SPANS}, f AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, o_orderkey % 2 = 0 AS by_hand, {NOTES} AS note, o_orderkey % 5 = 0 AS why FROM orders),
+placed AS (SELECT o_orderkey AS k, min(i) AS i, min_by(a, i) AS a FROM spans WHERE a < b GROUP BY 1),
+n AS (SELECT *, concat_ws('; ', CASE WHEN by_hand AND note <> '' THEN note END, CASE WHEN why THEN 'reason: atto pubblico' END) AS told FROM f)
+SELECT n.k AS doc_id, CAST(1 AS BIGINT) AS nr,
+  CAST(floor((50.0 + 5 * a) / 600 * 100 + 0.5) AS INT) || '% / ' || CAST(floor((800.0 - 711 + 14 * i) / 800 * 100 + 0.5) AS INT) || '%' AS place,
+  ['B1', 'A1', 'P'][c + 1] || CASE WHEN by_hand THEN ' (manual)' ELSE '' END AS kind,
+  CASE WHEN by_hand THEN 'manual' WHEN c = 0 THEN 'formal' ELSE 'statistical' END AS certainty, ['B', 'A', 'P'][c + 1] AS band,
+  CASE WHEN c = 2 THEN 'clear' ELSE 'masked' END AS outcome, false AS modified,
+  CASE WHEN length(told) > 220 THEN substr(told, 1, 217) || '…' ELSE told END AS note FROM n JOIN placed USING (k)""",
+    "file_names": """
+SELECT c_custkey AS id, ['pdf', 'image', 'signed', 'office', 'image', 'other'][c_custkey % 6 + 1] AS kind,
+  'atto.' || c_custkey || ['', '', '', '.docx', '', '.txt'][c_custkey % 6 + 1] || '_redacted.pdf' AS document FROM customer""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.operators.contacts import institutional
 from veilframe.operators.context import classified
 from veilframe.operators.decide import proposed
-from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared
+from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared, signature_findings
 from veilframe.operators.findings import constructed
 from veilframe.operators.names import name_findings
 from veilframe.operators.overlap import resolved
@@ -23,18 +23,23 @@ def analysed(
     purpose: str | None = None,
     detectors: tuple[Detector, ...] = DETECTORS,
     as_of: str | None = None,
+    images: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of pages (doc_id, page, text; is_scan, ocr_conf, n_cards, top, page_height if
     there are any), with subject_no.
 
     entities: a recognizer's names (doc_id, page, start, end, score). Without a recognizer
     (None) keyword findings are neither silenced nor demoted for want of a name; a recognizer
-    that found nothing is an empty table."""
+    that found nothing is an empty table. images (doc_id, page, x, y, w, h, page_width,
+    page_height) of pages that are no scans may be signatures."""
     plain = {"is_scan": F.lit(False), "ocr_conf": F.lit(None).cast("double"), "n_cards": F.lit(0)}
     pages = pages.withColumns({k: v for k, v in plain.items() if k not in pages.columns})
     layout = [c for c in ("top", "page_height") if c in pages.columns]
     pages = staged(prepared(spread(pages)).select("doc_id", "page", "text", "shadow", *plain, *layout), "pages")
     found = detect(pages, detectors, as_of).unionByName(page_findings(pages), allowMissingColumns=True)
+    if images is not None:
+        signed = signature_findings(images.drop("is_scan").join(pages.select("doc_id", "page", "is_scan"), ["doc_id", "page"]))
+        found = found.unionByName(signed, allowMissingColumns=True)
     if entities is not None:
         found = found.unionByName(name_findings(pages, entities, 100 * STRIDE), allowMissingColumns=True)
     rows = staged(classified(pages, staged(resolved(constructed(found)), "found")), "classified")

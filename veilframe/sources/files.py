@@ -32,6 +32,12 @@ def base_name(path: Column) -> Column:
     return F.regexp_replace(name, r"(?i)\.(?:pdf|jpe?g|png)\z", "")
 
 
+def output_names(path: Column) -> Column:
+    """struct<document, report>: the names of what is made of a file."""
+    base = base_name(path)
+    return F.struct(F.concat(base, F.lit("_redacted.pdf")).alias("document"), F.concat(base, F.lit("_report.pdf")).alias("report"))
+
+
 def magic(content: Column) -> Column:
     """pdf, png, jpeg or null by the first bytes."""
     start = F.hex(F.substring(content, 1, 8))
