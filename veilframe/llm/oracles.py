@@ -46,6 +46,43 @@ won AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, size, text_crc32) - 1 AS slot, CAST(coalesce(new, shard) AS INT) AS grown_shard FROM won"""
 
+_HASHES = "coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"
+_ESCAPED = f"length({{0}}) + length({{0}}) - length(replace({{0}}, chr(92), '')) + {_HASHES} + (length({{0}}) - length(replace({{0}}, '</turn>', ''))) // 7"
+
+CHAT = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, i, x, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, x)),
+said AS (SELECT *, CASE WHEN r = 'assistant' THEN t ELSE '' END AS learnt,
+    {_ESCAPED.format("r")} + length(r) - length(replace(r, ':' || chr(10), chr(10))) + {_ESCAPED.format("t")} + 14 AS n FROM given)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(sum(length(learnt)) AS BIGINT) AS loss_chars, sha256(string_agg(learnt, '' ORDER BY turn, r, t)) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id"""
+
+DIVERGENCE = """
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+occ AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS ln FROM occ GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT grp.lang, grp.source, term, ln, coalesce(n, 0) AS n FROM grp JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+tot AS (SELECT lang, source, sum(n) AS big, sum(ln) AS lbig, count(*) AS v FROM cells GROUP BY ALL),
+p AS (SELECT lang, source, term, n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (big + 5 * v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (ln + 5)) // (lbig + 5 * v) AS BIGINT) AS q FROM cells JOIN tot USING (lang, source)),
+far AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+pairs AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far ON far.lang = x.lang AND far.source = x.source AND far.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 #: op9 in SQL repeats each document once for each of its windows: too slow on whole tables, so
 #: tests hold that query against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op2_embeddings": EMBEDDINGS, "op5_shards": SHARDS}
+ORACLE_SQL: dict[str, str] = {"op2_embeddings": EMBEDDINGS, "op5_shards": SHARDS, "op11_chat": CHAT, "op12_divergence": DIVERGENCE}
