@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x{A0}\x{FEFF}\p{Z}]"
 #: Marks around a match, and between what leads to it and itself; texts have blanks instead.
 OPEN, LEAD, CLOSE = "\u0001", "\u0004", "\u0002"
+#: Pieces of a marked text that one fold takes.
+CHUNK = 256
 
 
 def java(pattern: str, ignore_case: bool) -> str:
@@ -92,8 +94,17 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
         )
 
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(pieces, begin, step, lambda state: state["found"])
+
+    def chunks_of(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, CHUNK))
+
+    def chunk(state: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("found")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["found"], F.array(d["found"])).alias("found")))
+
+    # an array grows by a copy of itself, so no growing one is longer than a chunk or the number of chunks
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<lead:int,start:int,end:int,text:string>>>").alias("found"))
+    return F.flatten(F.aggregate(chunks_of(pieces), begin, chunk, lambda s: s["found"]))
 
 
 #: Abbreviations whose dot does not end a sentence (fixed values).

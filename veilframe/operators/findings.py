@@ -32,6 +32,13 @@ def is_person(category: Column) -> Column:
     return category.isin([k for k, row in CATEGORIES.items() if row[1]])
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df, or an error where a row has no doc_id or page: joins would lose what is found there,
+    and its text would stay in the clear."""
+    known = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    return df.where(F.when(known, True).otherwise(F.raise_error(F.lit("a page has no doc_id or no number")).cast("boolean")))
+
+
 def default_decision(band: Column) -> Column:
     """mask for bands A, B and M, keep for P, null (to be decided) for C."""
     return looked_up(band, DEFAULT_DECISION)

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.findings import COLUMNS
-from veilframe.plans.folds import folded
+from veilframe.plans.folds import islands
 from veilframe.rules.tables import PERSONS, PRIORITY
 
 
 def _resolve(rows: list[dict]) -> list[dict]:
-    """One page's spans by start and number: an ordered sweep in which a kept span may grow.
+    """Spans of a page by start and number: an ordered sweep in which a kept span may grow.
     Spans that end before the present one starts leave the sweep."""
     kept: dict[int, dict] = {}
     open_: list[int] = []  # numbers of kept spans that may still be met, latest last
@@ -53,7 +53,7 @@ def resolved(findings: DataFrame) -> DataFrame:
     inside the other goes if its band is no stronger; spans of equally strong bands that
     overlap in part become their union; names and other data never displace each other; other
     overlaps stay. Findings without a place stay as they are."""
-    return folded(findings.select(*COLUMNS), ["doc_id", "page"], ["start", "seq"], _resolve)
+    return islands(findings.select(*COLUMNS), ["start", "seq"], _resolve)
 
 
 def merged(intervals: Column, touching: bool = True) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import slice_of
-from veilframe.operators.findings import is_person
+from veilframe.operators.findings import is_person, keyed
 from veilframe.operators.overlap import gaps, merged
 
 FULL, OMISSIS, PSEUDONYM = "full", "omissis", "pseudonym"
@@ -28,7 +28,9 @@ def dropped_pages(findings: DataFrame) -> DataFrame:
 
 def redacted(pages: DataFrame, findings: DataFrame, mode: str = OMISSIS) -> DataFrame:
     """doc_id, page, redacted_text of the pages that are not dropped. Spans that overlap
-    are masked as one, with the label of the first; spans that only touch have their own labels."""
+    are masked as one, with the label of the first; spans that only touch have their own labels.
+    Keys that are null are an error."""
+    pages, findings = keyed(pages), keyed(findings)
     spans = findings.where("decision = 'mask' and start is not null").withColumn("label", label(mode))
     spans = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "seq", "label"))).alias("spans"))
     rows = pages.select("doc_id", "page", "text").join(dropped_pages(findings), ["doc_id", "page"], "left_anti").join(spans, ["doc_id", "page"], "left")
@@ -49,6 +51,7 @@ def redacted(pages: DataFrame, findings: DataFrame, mode: str = OMISSIS) -> Data
 def outcomes(findings: DataFrame) -> DataFrame:
     """doc_id, page, seq, outcome: dropped, masked or clear, and whether a masked span covers a
     clear one."""
+    findings = keyed(findings)
     gone = dropped_pages(findings).withColumn("gone", F.lit(True))
     rows = findings.join(gone, ["doc_id", "page"], "left")
     masks = findings.where("decision = 'mask' and start is not null").select(

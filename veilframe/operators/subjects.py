@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.patterns import BLANK, matches, slice_of
 from veilframe.functions.validators import name_key
 from veilframe.operators.findings import COLUMNS, constructed, is_person, looked_up
 from veilframe.operators.names import surname
-from veilframe.plans.folds import folded
+from veilframe.operators.silence import swept
+from veilframe.plans.folds import islands
 from veilframe.rules import fixed
 from veilframe.rules.tables import WEIGHTS
 
@@ -61,6 +63,40 @@ def _apart(rows: list[dict]) -> list[dict]:
     return kept
 
 
+#: Characters between the parts of a surname of several words, at most.
+SPACE = 256
+
+
+def _places(pages: DataFrame, families: DataFrame) -> DataFrame:
+    """doc_id, page, start, found, k, persons: where pages have a surname of their document (doc_id,
+    family, k, persons), with the initial before it if there is one; found begins with a capital.
+
+    Words of pages meet the first words of surnames by document and word; only surnames of
+    several words look at the text again, which then comes once for all places of its page."""
+    word = r"\p{L}+"
+    families = families.withColumn("word", F.lower(F.regexp_extract("family", word, 0)))
+    named = pages.select("doc_id", "page", "text").join(families.select("doc_id").distinct(), "doc_id", "left_semi")
+    text = F.col("text")
+    # capitals, and words after a capital and a dot
+    words = matches(text, r"(?<!\p{L})(?:\p{Lu}\p{L}*|(?<=\p{Lu}\.|\p{Lu}\.\s)\p{L}+)(?!\p{L})")
+    lead = F.transform(words, lambda m: F.struct(m["start"].alias("at"), m["text"].alias("own"), slice_of(text, m["start"] - 4, m["start"]).alias("lead")))
+    rows = named.select("doc_id", "page", F.explode(lead).alias("m")).select("doc_id", "page", "m.at", "m.own", "m.lead", F.lower("m.own").alias("word"))
+    rows = rows.join(families, ["doc_id", "word"])
+    single = F.lower("family") == F.col("word")
+    short = rows.where(single).select("doc_id", "page", "at", "lead", "own", "k", "persons")
+    # the rest of the surname, with either apostrophe and any blanks
+    quoted = F.replace(F.replace(F.col("family"), F.lit("'"), F.lit(r"\E['’]\Q")), F.lit(" "), F.lit(r"\E" + BLANK + r"+\Q"))
+    pattern = F.concat(F.lit(r"(?iu)^\Q"), quoted, F.lit(r"\E(?!\p{L})"))
+    each = F.struct("at", "lead", pattern.alias("pattern"), (F.length("family") + F.when(F.col("family").contains(" "), SPACE).otherwise(1)).alias("n"), "k", "persons")
+    by_page = rows.where(~single).groupBy("doc_id", "page").agg(F.collect_list(each).alias("hits")).join(named, ["doc_id", "page"])
+    own = lambda h: F.regexp_substr(slice_of(text, h["at"], h["at"] + h["n"]), h["pattern"])
+    told = F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["lead"].alias("lead"), own(h).alias("own"), h["k"].alias("k"), h["persons"].alias("persons")))
+    long = by_page.select("doc_id", "page", F.explode(told).alias("h")).select("doc_id", "page", "h.*").where("own is not null")
+    both = short.unionByName(long).withColumn("initial", F.regexp_extract("lead", r"(?<!\p{L})\p{L}\." + BLANK + r"?\z", 0))
+    found = F.concat("initial", "own")
+    return both.select("doc_id", "page", (F.col("at") - F.length("initial")).alias("start"), found.alias("found"), "k", "persons").where(found.rlike(r"^\p{Lu}"))
+
+
 def variants(pages: DataFrame, findings: DataFrame, first_seq: int) -> DataFrame:
     """New findings: surnames alone, with or without an initial, where no name was found yet.
     One that several persons of the document share is nobody's, unless its initial tells."""
@@ -81,27 +117,15 @@ def variants(pages: DataFrame, findings: DataFrame, first_seq: int) -> DataFrame
         F.min(F.struct("p.page", "p.start", "p.family"))["family"].alias("family"),
         F.collect_list(F.struct("subject_key", "p.category", "p.proposal_key", "p.initial")).alias("persons"),
     )
-    text = F.col("text")
-    quoted = F.replace(F.col("family"), F.lit("'"), F.lit(r"\E['’]\Q"))  # either apostrophe in the text
-    quoted = F.concat(F.lit(r"\Q"), F.replace(quoted, F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
-    pattern = F.concat(F.lit(r"(?iu)((?<!\p{L})(?:\p{Lu}\.\s?)?"), quoted, F.lit(r"(?!\p{L}))"))
-    marked = F.split(F.regexp_replace(text, pattern, F.lit("\u0001$1\u0002")), "[\u0001\u0002]")
-    seen = pages.select("doc_id", "page", "text").join(families, "doc_id")
-    seen = seen.select("doc_id", "page", "k", "persons", F.posexplode(marked).alias("nth", "found"))
-    before = Window.partitionBy("doc_id", "page", "k").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumn("start", F.coalesce(F.sum(F.length("found")).over(before), F.lit(0)).cast("int"))
-    seen = seen.where((F.col("nth") % 2 == 1) & F.col("found").rlike(r"^\p{Lu}"))
-    first = F.upper(F.regexp_extract("found", r"^(\p{Lu})\.", 1))
+    seen = _places(pages, families)
+    first = F.upper(F.regexp_extract("found", r"^(\p{L})\.", 1))
     fitting = F.filter("persons", lambda x: x["initial"] == first)
     one = F.when(F.size("persons") == 1, F.get("persons", F.lit(0))).when(F.size(fitting) == 1, F.get(fitting, F.lit(0)))
-    seen = seen.select(
-        "doc_id", "page", "start", (F.col("start") + F.length("found")).alias("end"), F.col("found").alias("text"), one.alias("one"),
-    )
-    taken = findings.where(person & F.col("start").isNotNull()).select("doc_id", "page", F.col("start").alias("s"), F.col("end").alias("e"))
-    fresh = seen.join(taken, ["doc_id", "page"], "left").groupBy("doc_id", "page", "start", "end", "text", "one").agg(
-        F.max(F.coalesce((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), F.lit(False))).alias("hit")
-    )
-    fresh = folded(fresh.where("not hit"), ["doc_id", "page"], ["start", F.desc("end")], _apart)
+    seen = seen.select("doc_id", "page", "start", (F.col("start") + F.length("found")).alias("end"), F.col("found").alias("text"), one.alias("one"))
+    taken = findings.where(person & F.col("start").isNotNull()).select("doc_id", "page", "start", "end")
+    # of the names that begin before a place's end, does one end behind its start?
+    fresh = swept(seen, F.col("end"), taken, F.col("start"), False).where("before is null or before <= start").drop("before", "after")
+    fresh = islands(fresh, ["start", F.desc("end")], _apart)
     made = fresh.select(
         "doc_id", "page", (F.lit(first_seq) + F.col("start")).alias("seq"), "start", "end", "text",
         F.coalesce("one.category", F.lit("C1")).alias("category"), F.lit("variant").alias("detector"), F.lit("variant").alias("origin"),

@@ -9,7 +9,7 @@ from veilframe.operators.contacts import institutional
 from veilframe.operators.context import classified
 from veilframe.operators.decide import proposed
 from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared, signature_findings
-from veilframe.operators.findings import constructed
+from veilframe.operators.findings import constructed, keyed
 from veilframe.operators.names import name_findings
 from veilframe.operators.overlap import resolved
 from veilframe.operators.silence import demoted, silenced
@@ -31,11 +31,17 @@ def analysed(
     entities: a recognizer's names (doc_id, page, start, end, score). Without a recognizer
     (None) keyword findings are neither silenced nor demoted for want of a name; a recognizer
     that found nothing is an empty table. images (doc_id, page, x, y, w, h, page_width,
-    page_height) of pages that are no scans may be signatures."""
+    page_height) of pages that are no scans may be signatures.
+
+    Null keys and two pages of one doc_id and number are errors: neither could be told apart
+    when spans and texts meet again."""
     plain = {"is_scan": F.lit(False), "ocr_conf": F.lit(None).cast("double"), "n_cards": F.lit(0)}
     pages = pages.withColumns({k: v for k, v in plain.items() if k not in pages.columns})
     layout = [c for c in ("top", "page_height") if c in pages.columns]
-    pages = staged(prepared(spread(pages)).select("doc_id", "page", "text", "shadow", *plain, *layout), "pages")
+    pages = staged(prepared(spread(keyed(pages))).select("doc_id", "page", "text", "shadow", *plain, *layout), "pages")
+    twice = pages.groupBy("doc_id", "page").count().where("count > 1").first()
+    if twice:
+        raise ValueError(f"two pages are doc_id {twice['doc_id']}, page {twice['page']}")
     found = detect(pages, detectors, as_of).unionByName(page_findings(pages), allowMissingColumns=True)
     if images is not None:
         signed = signature_findings(images.drop("is_scan").join(pages.select("doc_id", "page", "is_scan"), ["doc_id", "page"]))

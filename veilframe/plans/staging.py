@@ -28,8 +28,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table with fewer bytes than this for each core may come in too few tasks.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many tasks as there are cores: few bytes of text can be long work. A
-    table that has them already is not shuffled."""
+    """A small table in as many tasks as there are cores: few bytes of text can be long work. The
+    planner's estimate tells, so nothing is run for it; a large table comes in tasks enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df

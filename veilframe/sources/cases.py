@@ -38,7 +38,7 @@ IDENTIFIERS: tuple[Case, ...] = (
     ("Accredito sul conto corrente n. ", digits(10), " postale.", "B2", "B2", "mask"),
     ("Pagato con ", "'4111 1111 1111 1111'", " oggi.", "B2", "B2", "mask"),
     ("Pagato con ", "'4111 1111 1111 1112'", " oggi.", None, None, None),
-    ("Esibisce il passaporto n. ", f"concat('AX', {digits(7)})", " in originale.", "B4", "B4", "mask"),
+    ("Esibisce il passaporto n. ", f"concat('AX', {digits(7)})", ", in originale.", "B4", "B4", "mask"),
     ("P. IVA ", "'00743110157'", " della società ALFA.", "C6", "C6_company", "keep"),
     ("P. IVA ", "'00743110157'", " in atti.", "C6", "C6", "mask"),
     ("P. IVA ", "'00743110158'", " in atti.", None, None, None),
