@@ -71,13 +71,29 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     The matches are marked by one replacement of the whole text, whose pieces then alternate
     between text outside and matches; their lengths give the places. Look-around sees the
     text as it is."""
+    return places(marked(text, pattern, ignore_case))
+
+
+def marked(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """The text with marks around all matches of a pattern."""
     at = _group(pattern)
     if at is None:
-        marked = F.regexp_replace(text, java(f"({pattern})", ignore_case), f"{OPEN}{LEAD}$1{CLOSE}")
-    else:
-        a, b = at
-        grouped = f"({pattern[:a]})({pattern[a + 1 : b]})({pattern[b + 1 :]})"
-        marked = F.regexp_replace(text, java(grouped, ignore_case), f"{OPEN}$1{LEAD}$2{CLOSE}$3")
+        return F.regexp_replace(text, java(f"({pattern})", ignore_case), f"{OPEN}{LEAD}$1{CLOSE}")
+    a, b = at
+    grouped = f"({pattern[:a]})({pattern[a + 1 : b]})({pattern[b + 1 :]})"
+    return F.regexp_replace(text, java(grouped, ignore_case), f"{OPEN}$1{LEAD}$2{CLOSE}$3")
+
+
+def last_place(text: Column, pattern: str, ignore_case: bool = True, place: str = "start") -> Column:
+    """Where the last match (its group, if it has one) starts or ends, -1 if there is none."""
+    mark = {"start": LEAD, "end": CLOSE}[place]
+    found = marked(text, pattern, ignore_case)
+    behind = F.length(F.translate(F.substring_index(found, mark, -1), OPEN + LEAD + CLOSE, ""))
+    return F.when(F.contains(found, F.lit(mark)), F.length(text) - behind).otherwise(-1)
+
+
+def places(text: Column) -> Column:
+    """The matches that a marked text tells: see matches()."""
     empty = F.array().cast("array<struct<lead:int,start:int,end:int,text:string>>")
 
     def step(state: Column, piece: Column) -> Column:
@@ -93,7 +109,7 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
             F.when(is_match & (found != ""), F.concat(state["found"], F.array(row))).otherwise(state["found"]).alias("found"),
         )
 
-    pieces = F.split(marked, f"[{OPEN}{CLOSE}]")
+    pieces = F.split(text, f"[{OPEN}{CLOSE}]")
 
     def chunks_of(p: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, CHUNK))

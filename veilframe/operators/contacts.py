@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import let, matches, slice_of, union
+from veilframe.functions.patterns import last_place, let, slice_of, union
 from veilframe.functions.validators import institutional_domain, personal_domain
 from veilframe.operators.findings import COLUMNS, band_of, default_decision, looked_up
 from veilframe.rules import fixed
@@ -22,11 +22,6 @@ BODY = f"(?:{fixed.COMPANY_CONTEXT}|{fixed.INSTITUTION_CONTEXT})"
 ROLE_NOTE = "role in the context"
 
 
-def _last(text: Column, pattern: str, place: str = "start") -> Column:
-    """The place of the last match, -1 if there is none."""
-    return F.coalesce(F.try_element_at(matches(text, pattern, True), F.lit(-1))[place], F.lit(-1))
-
-
 def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
@@ -78,16 +73,16 @@ def institutional(pages: DataFrame, findings: DataFrame) -> DataFrame:
         "doc_id", "page", F.explode(F.transform("contacts", facts)).alias("c"),
         F.substring(t, 1, ZONE_TEXT).alias("head"), F.substring(t, F.greatest(F.length(t) - ZONE_TEXT, F.lit(0)) + 1, F.lit(ZONE_TEXT)).alias("foot"),
     )
-    impersonal = _last(F.col("c.line"), fixed.PERSONAL_CONTEXT) < 0
+    impersonal = last_place(F.col("c.line"), fixed.PERSONAL_CONTEXT) < 0
     provider = F.col("c.email") & personal_domain(F.col("c.text"))
     official = F.when(F.col("c.email"), institutional_domain(F.col("c.text"))).otherwise(impersonal)
     zone = F.when(F.col("c.upper"), F.col("head")).otherwise(F.col("foot"))
-    lettered = F.col("c.outer") & impersonal & (_last(zone, BODY) >= 0)
+    lettered = F.col("c.outer") & impersonal & (last_place(zone, BODY) >= 0)
 
     def blocked(block: Column) -> Column:
         places = F.struct(
-            _last(block, BODY).alias("body"), _last(block, union(fixed.NATURAL_PERSON), "end").alias("natural"),
-            _last(block, fixed.PERSONAL_CONTEXT).alias("personal"),
+            last_place(block, BODY).alias("body"), last_place(block, union(fixed.NATURAL_PERSON), place="end").alias("natural"),
+            last_place(block, fixed.PERSONAL_CONTEXT).alias("personal"),
         )
         return let(places, lambda p: (p["body"] >= 0) & (p["natural"] < p["body"]) & (p["personal"] < p["body"]))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import clean, extended, java, matches, same_clause, shadow, slice_of, union
+from veilframe.functions.patterns import clean, extended, java, last_place, marked, matches, places, same_clause, shadow, slice_of, union
 from veilframe.functions.validators import VALIDATORS, birth_date, iban, iban_length, name_key
 from veilframe.operators.names import trimmed
 from veilframe.plans.staging import staged
@@ -48,12 +48,6 @@ def prepared(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", clean(F.col("text"))).withColumn("shadow", shadow(F.col("text")))
 
 
-def _last(pattern: str, text: Column) -> Column:
-    """Where the last match begins, -1 if there is none."""
-    found = matches(text, pattern, True)
-    return F.coalesce(F.try_element_at(found, F.lit(-1))["start"], F.lit(-1))
-
-
 def _vat_context(text: Column, shadowed: Column, lead: Column, end: Column) -> Column:
     """person, company or null: whom a VAT number belongs to, by the nearest words around."""
     company = f"(?:{fixed.COMPANY_CONTEXT}|{fixed.INSTITUTION_CONTEXT})"
@@ -63,7 +57,7 @@ def _vat_context(text: Column, shadowed: Column, lead: Column, end: Column) -> C
     def follows(pattern: str) -> Column:
         return F.exists(matches(after, pattern, True), lambda m: same_clause(shadowed, end, end + m["start"], 1))
 
-    person_before, company_before, company_after = _last(person, before), _last(company, before), follows(company)
+    person_before, company_before, company_after = last_place(before, person), last_place(before, company), follows(company)
     is_person = follows(person) | ((person_before >= 0) & (person_before > company_before) & ~company_after)
     return F.when(is_person, "person").when(company_after | (company_before >= 0), "company")
 
@@ -72,31 +66,33 @@ def _vat_context(text: Column, shadowed: Column, lead: Column, end: Column) -> C
 WINDOW = 240
 
 
-def found(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
-    """All matches in pages (doc_id, page, text, shadow): detector number d, base, and places
-    lead, start, end counted from base, in the window of text and shadow that begins there."""
-
-    def tagged(n: int):
-        return lambda m: F.struct(F.lit(n).alias("d"), *[m[c].alias(c) for c in ("lead", "start", "end")])
-
-    every = F.concat(*[F.transform(matches(F.col("text"), d.pattern, d.ignore_case), tagged(i)) for i, d in enumerate(detectors)])
-    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(every).alias("m"))
-    base = F.greatest(F.col("m.lead") - WINDOW, F.lit(0))
-    last = F.col("m.end") + WINDOW
-    return rows.select(
-        "doc_id", "page", "m.d", base.alias("base"), *[(F.col(f"m.{c}") - base).alias(c) for c in ("lead", "start", "end")],
-        slice_of(F.col("text"), base, last).alias("text"), slice_of(F.col("shadow"), base, last).alias("shadow"),
-    )
-
-
-def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None) -> DataFrame:
-    """Columns for constructed() of every match of the detectors in pages (doc_id, page, text,
-    shadow): validated, account numbers cut to their country's length, names trimmed, keyword
-    spans grown to their clause. Matches are found in one pass over the pages and kept with
-    their surroundings; the rest works on those."""
-    rows = staged(found(pages, detectors), "matches")
-    text, shadowed, start, end = F.col("text"), F.col("shadow"), F.col("start"), F.col("end")
-    own = slice_of(text, start, end)
+@dataclass(frozen=True)
+class Steps:
+    """Detection of spans as projections, one after the other: for DataFrames (detect) and for SQL
+    (plans.sql). Columns refer to those of the step before; the first has text and shadow."""
+
+    #: An array of struct<d, lead, start, end>: all matches, by the number of their detector.
+    every: Column
+    #: After every is exploded as m: the match in a window of text and shadow that begins at base.
+    window: dict[str, Column]
+    #: What takes several looks at the surroundings, worked out once, and which rows go on.
+    looks: dict[str, Column]
+    going: Column
+    #: Places as they end up.
+    placed: dict[str, Column]
+    own: Column
+    valid: Column
+    #: The columns of a finding; places count from the text's beginning.
+    out: dict[str, Column]
+
+
+def steps(detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None) -> Steps:
+    def of_detector(n: Column) -> Column:
+        """Matches of detector n: one expression for all detectors, one marked text at a time."""
+        text = F.lit(None).cast("string")
+        for i, d in reversed(list(enumerate(detectors))):
+            text = F.when(n == i, marked(F.col("text"), d.pattern, d.ignore_case)).otherwise(text)
+        return F.transform(places(text), lambda m: F.struct(n.alias("d"), *[m[c].alias(c) for c in ("lead", "start", "end")]))
 
     def kind(x: Detector) -> str:
         if x.name.startswith("name-"):
@@ -115,23 +111,24 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
             made = F.when(F.col("d").isin([i for i, x in enumerate(values) if x == v]), v).otherwise(made)
         return made if len(set(values)) > 1 else F.lit(values[0])
 
-    # what takes several looks at the surroundings is worked out once and kept
+    text, shadowed, start, end = F.col("text"), F.col("shadow"), F.col("start"), F.col("end")
+    base = F.greatest(F.col("m.lead") - WINDOW, F.lit(0))
+    last = F.col("m.end") + WINDOW
+    window = {
+        "d": F.col("m.d"), "base": base, **{c: F.col(f"m.{c}") - base for c in ("lead", "start", "end")},
+        "text": slice_of(text, base, last), "shadow": slice_of(shadowed, base, last),
+    }
+    own = slice_of(text, start, end)
     grown = extended(text, shadowed, start, end, by_detector(lambda x: CATEGORIES[x.category][3]), by_detector(lambda x: CATEGORIES[x.category][4]))
-    name = trimmed(text, start, end, F.lit(0.0))
     # an account number may have swallowed the words after it
-    places = F.filter(F.sequence(F.lit(1), F.length(own)), lambda i: ~F.substring(own, i, F.lit(1)).rlike(r"\s"))
-    cut = F.get(places, iban_length(own) - 1)
-    rows = rows.withColumns({
+    filled = F.filter(F.sequence(F.lit(1), F.length(own)), lambda i: ~F.substring(own, i, F.lit(1)).rlike(r"\s"))
+    looks = {
         "grown": F.when(of("clause"), grown),
-        "named": F.when(of("name"), name),
-        "cut": F.when(of("iban"), F.when(~iban(own), start + cut)),
+        "named": F.when(of("name"), trimmed(text, start, end, F.lit(0.0))),
+        "cut": F.when(of("iban"), F.when(~iban(own), start + F.get(filled, iban_length(own) - 1))),
         "context": F.when(of("vat_number"), _vat_context(text, shadowed, F.col("lead"), end)),
-    })
-    rows = staged(rows, "surroundings").where(~of("name") | F.col("named").isNotNull())
-    rows = rows.withColumns({
-        "start": F.coalesce("grown.start", "named.start", "start"), "end": F.coalesce("grown.end", "named.end", "cut", "end"),
-    })
-    rows = rows.withColumn("own", own)
+    }
+    placed = {"start": F.coalesce("grown.start", "named.start", "start"), "end": F.coalesce("grown.end", "named.end", "cut", "end")}
     checks = {k: VALIDATORS[k] for k in ("tax_code", "luhn", "personal_email", "iban", "vat_number")}
     checks["birth_date"] = lambda x: birth_date(x, as_of)
     valid = F.lit(True)
@@ -141,14 +138,33 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of:
     whose = F.col("context")
     note = F.when(whose == "person", "VAT number in the context of a natural person")
     note = note.when(whose == "company", "VAT number in the context of a company or body").otherwise("")
-    return rows.where(valid).select(
-        "doc_id", "page", (F.col("d").cast("long") * STRIDE + F.col("base") + start).alias("seq"),
-        (F.col("base") + start).alias("start"), (F.col("base") + end).alias("end"), F.col("own").alias("text"),
-        F.when(whose == "person", "B1").otherwise(by_detector(lambda x: x.category)).alias("category"),
-        by_detector(lambda x: x.name).alias("detector"), note.alias("note"),
-        F.when(whose == "company", "C6_company").alias("proposal_key"),
-        F.when(of("name"), name_key(F.col("named.name"))).alias("subject_key"),
-    )
+    out = {
+        "seq": F.col("d").cast("long") * STRIDE + F.col("base") + start,
+        "start": F.col("base") + start, "end": F.col("base") + end, "text": F.col("own"),
+        "category": F.when(whose == "person", "B1").otherwise(by_detector(lambda x: x.category)),
+        "detector": by_detector(lambda x: x.name), "note": note,
+        "proposal_key": F.when(whose == "company", "C6_company"),
+        "subject_key": F.when(of("name"), name_key(F.col("named.name"))),
+    }
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(detectors) - 1)), of_detector))
+    return Steps(every, window, looks, ~of("name") | F.col("named").isNotNull(), placed, own, valid, out)
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None) -> DataFrame:
+    """Columns for constructed() of every match of the detectors in pages (doc_id, page, text,
+    shadow): validated, account numbers cut to their country's length, names trimmed, keyword
+    spans grown to their clause. Matches are found in one pass over the pages and kept with
+    their surroundings; the rest works on those."""
+    by = steps(detectors, as_of)
+    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(by.every).alias("m"))
+    rows = staged(rows.select("doc_id", "page", *_named(by.window)), "matches")
+    rows = staged(rows.withColumns(by.looks), "surroundings").where(by.going)
+    rows = rows.withColumns(by.placed).withColumn("own", by.own)
+    return rows.where(by.valid).select("doc_id", "page", *_named(by.out))
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
