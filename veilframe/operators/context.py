@@ -51,11 +51,11 @@ def _bridged(text: Column) -> Column:
 CELL = 512
 
 
-def _keywords(pages: DataFrame) -> DataFrame:
+def _keywords(pages: DataFrame, kinds: dict) -> DataFrame:
     """Every keyword of pages with what surrounds it, which begins at base."""
 
     def words(kind: str) -> Column:
-        pattern, radius, lines, _ = KINDS[kind]
+        pattern, radius, lines, _ = kinds[kind]
         return F.transform(
             matches(F.col("text"), f"({pattern})" if kind != "amount" else f"(?:{pattern.replace('(' + chr(92) + 'd', '(?:' + chr(92) + 'd')})", True),
             lambda m: F.struct(
@@ -64,14 +64,14 @@ def _keywords(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(F.concat(*[words(k) for k in KINDS])).alias("k"))
+    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(F.concat(*[words(k) for k in kinds])).alias("k"))
     base, last = F.greatest(F.col("k.k_start") - F.col("k.radius") - 1, F.lit(0)), F.col("k.k_end") + F.col("k.radius") + 2
     return rows.select(
         "doc_id", "page", "k.*", base.alias("base"), slice_of(F.col("text"), base, last).alias("text"), slice_of(F.col("shadow"), base, last).alias("shadow")
     )
 
 
-def _pairs(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pairs(pages: DataFrame, names: DataFrame, kinds: dict) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of a keyword and a name near it in the same clause; and for each name
     whether private bodies are near and whether it is a representative's.
 
@@ -81,7 +81,7 @@ def _pairs(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = places.withColumn("n_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
     reach_a, reach_b = F.greatest(F.col("k_start") - F.col("radius"), F.lit(0)), F.col("k_end") + F.col("radius")
     first, last = F.floor(reach_a / CELL), F.floor(reach_b / CELL)
-    keyed = _keywords(pages).withColumn("k_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+    keyed = _keywords(pages, kinds).withColumn("k_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
     both = keyed.join(placed, ["doc_id", "page", "cell"]).where(F.col("cell") == F.greatest("k_first", "n_first"))
     distance = F.greatest(F.col("n_start") - F.col("k_end"), F.col("k_start") - F.col("n_end"), F.lit(0))
     both = both.withColumns({
@@ -119,11 +119,11 @@ def _take(rows: list[dict]) -> list[dict]:
     return kept
 
 
-def associated(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def associated(pages: DataFrame, names: DataFrame, kinds: dict = KINDS) -> tuple[DataFrame, DataFrame]:
     """kind, word of each keyword at the name it belongs to: the nearest one, a keyword at one
     name only. Without exclusive names that is the first pair of each keyword; where a name
     too takes one keyword only (roles), pairs are taken in order, page by page."""
-    pairs, flags = _pairs(pages, names)
+    pairs, flags = _pairs(pages, names, kinds)
     pairs = staged(pairs, "pairs")
     first = Window.partitionBy("doc_id", "page", "kind", "k_start").orderBy("score", "n_start", "seq")
     free = pairs.where("kind <> 'role'").withColumn("nth", F.row_number().over(first)).where("nth = 1")
@@ -131,12 +131,12 @@ def associated(pages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame
     return free.drop("nth").unionByName(roles), flags
 
 
-def classified(pages: DataFrame, findings: DataFrame) -> DataFrame:
+def classified(pages: DataFrame, findings: DataFrame, kinds: dict = KINDS) -> DataFrame:
     """Findings with names of category C1 qualified by their context: minor (B8), third party
     (B7), holder of a public role (P), contractor, payee above or below the threshold or with
     a health context (C2), in this order."""
     names = findings.where("category = 'C1' and start is not null")
-    taken, flags = associated(pages, names)
+    taken, flags = associated(pages, names, kinds)
     best = taken.groupBy("doc_id", "page", "seq").pivot("kind", list(KINDS)).agg(F.min(F.struct("score", "k_start", "word"))["word"])
     facts = flags.join(best, ["doc_id", "page", "seq"], "left")
     rows = findings.join(facts, ["doc_id", "page", "seq"], "left")

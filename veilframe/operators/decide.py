@@ -9,11 +9,17 @@ from veilframe.operators.findings import looked_up
 from veilframe.rules.tables import CERTAINTY, purposes
 
 
-def proposed(findings: DataFrame, purpose: str) -> DataFrame:
-    """Undecided findings of band C with the purpose's proposal and its reason."""
-    rules = purposes(findings.sparkSession).where(F.col("purpose") == purpose)
+def proposed(findings: DataFrame, purpose: str, rules: DataFrame | None = None) -> DataFrame:
+    """Undecided findings of band C with the purpose's proposal and its reason. rules (purpose,
+    proposal_key, decision, reason) stand beside the given purposes; of two for one key theirs
+    counts, so a user's purpose may be new or may change a given one."""
+    given = purposes(findings.sparkSession)
+    if rules is not None:
+        rules = rules.select(*given.columns).dropDuplicates(["purpose", "proposal_key"])
+        given = given.join(rules, ["purpose", "proposal_key"], "left_anti").unionByName(rules)
+    rules = given.where(F.col("purpose") == purpose)
     rules = rules.select("proposal_key", F.col("decision").alias("to"), F.col("reason").alias("why"))
-    rows = findings.join(F.broadcast(rules), "proposal_key", "left")  # a dozen rows of rules
+    rows = findings.join(rules, "proposal_key", "left")
     open_ = (F.col("band") == "C") & F.col("decision").isNull()
     takes = open_ & F.col("to").isNotNull()
     return rows.withColumns({

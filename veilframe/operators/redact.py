@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import slice_of
 from veilframe.operators.findings import is_person, keyed
+from veilframe.operators.geometry import covered
 from veilframe.operators.overlap import gaps, merged
+from veilframe.operators.silence import swept
 
+#: Fixed value: points that a drawn mask goes beyond its rectangle on each side.
+MARGIN = 1.2
+#: Points of a side of the cells by which rectangles meet.
+CELL = 64.0
 FULL, OMISSIS, PSEUDONYM = "full", "omissis", "pseudonym"
 
 
@@ -54,11 +60,42 @@ def outcomes(findings: DataFrame) -> DataFrame:
     findings = keyed(findings)
     gone = dropped_pages(findings).withColumn("gone", F.lit(True))
     rows = findings.join(gone, ["doc_id", "page"], "left")
-    masks = findings.where("decision = 'mask' and start is not null").select(
-        "doc_id", "page", F.col("seq").alias("m_seq"), F.col("start").alias("m_start"), F.col("end").alias("m_end")
-    )
-    over = rows.where("start is not null and (decision is null or decision <> 'mask')").join(masks, ["doc_id", "page"])
-    over = over.where("m_start < end and start < m_end").select("doc_id", "page", "seq").distinct().withColumn("covered", F.lit(True))
+    masks = findings.where("decision = 'mask' and start is not null").select("doc_id", "page", "start", "end")
+    clear = rows.where("start is not null and (decision is null or decision <> 'mask')").select("doc_id", "page", "seq", "start", "end")
+    # of the masks that begin before its end, does one end behind its start?
+    over = swept(clear, F.col("end"), masks, F.col("start"), False).where("before > start").select("doc_id", "page", "seq").distinct()
+    over = over.withColumn("covered", F.lit(True))
     rows = rows.join(over, ["doc_id", "page", "seq"], "left")
     outcome = F.when(F.col("gone"), "dropped").when(F.col("decision") == "mask", "masked").otherwise("clear")
     return rows.select("doc_id", "page", "seq", outcome.alias("outcome"), F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def _celled(boxes: DataFrame, margin: float) -> DataFrame:
+    """Rectangles (x, y, w, h) grown by margin, once for each cell that they touch."""
+    x, y, w, h = F.col("x") - margin, F.col("y") - margin, F.col("w") + 2 * margin, F.col("h") + 2 * margin
+
+    def cells(at, size):
+        return F.explode(F.sequence(F.floor(at / CELL), F.floor((at + size) / CELL)))
+
+    rows = boxes.withColumns({"x": x, "y": y, "w": w, "h": h}).withColumn("cx", cells(F.col("x"), F.col("w")))
+    return rows.withColumn("cy", cells(F.col("y"), F.col("h")))
+
+
+def box_outcomes(findings: DataFrame, boxes: DataFrame) -> DataFrame:
+    """outcomes() of findings by where they stand on the page: boxes (doc_id, page, seq, x, y, w, h)
+    are their rectangles, one or more each. A finding in the clear counts as covered where another
+    one's mask, as it is drawn, covers one of its rectangles by more than the tolerance of
+    geometry.covered; on dropped pages nothing is covered. Rectangles meet by cells of the page."""
+    findings, boxes = keyed(findings), keyed(boxes)
+    gone = dropped_pages(findings).withColumn("gone", F.lit(True))
+    rows = findings.select("doc_id", "page", "seq", "decision").join(gone, ["doc_id", "page"], "left")
+    placed = boxes.join(rows, ["doc_id", "page", "seq"]).where("gone is null")
+    rectangle = F.struct("x", "y", "w", "h")
+    masks = _celled(placed.where("decision = 'mask'").select("doc_id", "page", "x", "y", "w", "h"), MARGIN)
+    clear = _celled(placed.where("decision is null or decision <> 'mask'").select("doc_id", "page", "seq", "x", "y", "w", "h"), 0.0)
+    met = clear.select("doc_id", "page", "cx", "cy", "seq", rectangle.alias("own")).join(masks.select("doc_id", "page", "cx", "cy", rectangle.alias("mask")), ["doc_id", "page", "cx", "cy"])
+    over = met.where(covered(F.col("own"), F.col("mask"))).select("doc_id", "page", "seq").distinct().withColumn("covered", F.lit(True))
+    outcome = F.when(F.col("gone"), "dropped").when(F.col("decision") == "mask", "masked").otherwise("clear")
+    told = rows.select("doc_id", "page", "seq", outcome.alias("outcome")).join(over, ["doc_id", "page", "seq"], "left")
+    note = F.when(F.col("covered"), "covered, in whole or in part, by another mask").when(F.col("outcome") == "dropped", "page dropped").otherwise("")
+    return told.select("doc_id", "page", "seq", "outcome", F.coalesce("covered", F.lit(False)).alias("covered"), note.alias("note"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.contacts import institutional
-from veilframe.operators.context import classified
+from veilframe.operators.context import KINDS, classified
 from veilframe.operators.decide import proposed
 from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared, signature_findings
 from veilframe.operators.findings import constructed, keyed
@@ -24,6 +24,8 @@ def analysed(
     detectors: tuple[Detector, ...] = DETECTORS,
     as_of: str | None = None,
     images: DataFrame | None = None,
+    purposes: DataFrame | None = None,
+    kinds: dict = KINDS,
 ) -> DataFrame:
     """Findings of pages (doc_id, page, text; is_scan, ocr_conf, n_cards, top, page_height if
     there are any), with subject_no.
@@ -31,7 +33,8 @@ def analysed(
     entities: a recognizer's names (doc_id, page, start, end, score). Without a recognizer
     (None) keyword findings are neither silenced nor demoted for want of a name; a recognizer
     that found nothing is an empty table. images (doc_id, page, x, y, w, h, page_width,
-    page_height) of pages that are no scans may be signatures.
+    page_height) of pages that are no scans may be signatures. purposes: a user's table beside
+    the given ones (see proposed); detectors and kinds may come from tables (see rules.user).
 
     Null keys and two pages of one doc_id and number are errors: neither could be told apart
     when spans and texts meet again."""
@@ -48,15 +51,15 @@ def analysed(
         found = found.unionByName(signed, allowMissingColumns=True)
     if entities is not None:
         found = found.unionByName(name_findings(pages, entities, 100 * STRIDE), allowMissingColumns=True)
-    rows = staged(classified(pages, staged(resolved(constructed(found)), "found")), "classified")
+    rows = staged(classified(pages, staged(resolved(constructed(found)), "found"), kinds), "classified")
     rows = staged(coherent(reconciled(rows)), "coherent")
     more = staged(variants(pages, rows, 200 * STRIDE), "variants")
     if not more.isEmpty():
-        rows = staged(classified(pages, rows.unionByName(more)), "classified")
+        rows = staged(classified(pages, rows.unionByName(more), kinds), "classified")
         rows = coherent(rows)
     rows = staged(resolved(rows), "resolved")
     if entities is not None:
         rows = demoted(pages, silenced(rows))
     rows = staged(institutional(pages, rows), "contacts")
     rows = numbered(reconciled(rows))
-    return proposed(rows, purpose) if purpose else rows
+    return proposed(rows, purpose, purposes) if purpose else rows
