@@ -234,3 +234,20 @@ def test_documents(spark):
     rows = QUERIES["op13_periodic"](spark, SF).collect()
     assert {r.doc_id: (r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) for r in rows} == expected
     assert sum(e[0] for e in expected.values()) > 10
+
+
+# ---- mixing: the order of rows
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    from veilframe.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), " ".join(rng.choice("abcdef") for _ in range(rng.choice([3, 5, 60]))), rng.choice(["s", "t", None]), {"k": i % 2}) for i in range(300)]
+    schema = "doc_id long, text string, source string, more map<string,int>"
+    taken = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, schema).repartition(1 + 3 * (seed - 1))
+        taken.append(Counter((r.doc_id, r.text, r.source, r.copies) for r in mixing.mix(df).collect()))
+    assert taken[0] == taken[1] and sum(taken[0].values()) == 300

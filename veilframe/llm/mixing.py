@@ -12,7 +12,7 @@ documents keep their part of the mix). No rate is over cap:
 with x the log of a document's size (shifted and scaled). The dual has a multiplier t for each
 source and one, lam, for the length (with a small ridge, as it may be infeasible beside the
 cap); r = min(exp(t + lam * x), cap) is a document's exponential tilt. Each Newton iteration
-sums gradient and Hessian over all documents, source by source. The Hessian is an arrow: the
+sums gradient and Hessian over all documents, source by source (from counts by source and size). The Hessian is an arrow: the
 sources' part is diagonal, so lam's step is one quotient of sums over the sources, which is all
 that reaches the driver, and each source's step follows in the table of sources. Sums are
 of whole numbers (words times 2^16), so that they don't depend on the order of rows. Sources
@@ -73,7 +73,8 @@ def _rate(size: Column, t: Column, lam: Column, cap: int) -> Column:
 
 
 def _grains(x: Column) -> Column:
-    return F.sum(F.round(x * F.lit(float(GRAIN))).cast("long"))
+    """The sum over documents, which stand together by size, n of each."""
+    return F.sum(F.round(x * F.lit(float(GRAIN))).cast("long") * F.col("n"))
 
 
 def usable(rows: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
@@ -91,7 +92,9 @@ def usable(rows: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
 
 def balanced(rows: DataFrame, aims: DataFrame, cap: int = CAP) -> tuple[DataFrame, float]:
     """source, t of the sources below their cap, and lam: the dual's maximum. rows: own, size;
-    aims: as of usable()."""
+    aims: as of usable(). Documents of one source and size have one rate, so they are counted
+    once and the iterations go over the counts."""
+    rows = stage(rows.groupBy("own", "size").agg(F.count("*").alias("n")), "sizes")
     size, x = F.col("size"), _length(F.col("size"))
     open_ = (F.col("target") > 0) & (F.col("target") < F.col("usable") * F.lit(cap - 1e-9))
     tilts = stage(aims.where(open_).select("source", "target", "usable", "most", F.round(F.ln(F.col("target") / F.col("usable")), 12).alias("t")), "tilts")
@@ -133,14 +136,19 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     size: a column with the number of words, if it is known. Null texts have size 0 and are
     taken like any other of their source; null is a source of its own; repeated rows each
     count. Sources without words have target 0 and are not taken. Columns of docs with the
-    four names above are replaced. An empty table gives an empty table."""
+    four names above are replaced. Two rows of one id and size that differ elsewhere are told apart
+    by a hash of the row (maps aside), so the order of the input changes nothing. An empty table
+    gives an empty table."""
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(source).alias("own"),
         (F.coalesce(F.col(size), F.lit(0)).cast("long") if size else words(F.col(text))).alias("size"),
         F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"),
     )
-    order = [F.col("size").desc(), F.md5("key"), F.col("key")]
+    # two rows of one id and size: whatever else they hold tells which is first, not their place in the input
+    told = [f.name for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    sized = sized.withColumn("mark", F.xxhash64(*[F.col(f"row.`{c}`") for c in told]))
+    order = [F.col("size").desc(), F.md5("key"), F.col("key"), F.col("mark")]
     rows = stage(sized.repartitionByRange(F.col("own").asc_nulls_last(), *order).withColumn("_range", F.spark_partition_id()), "mixed")
     aims = stage(targets(rows.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"))), "targets")
     aims = stage(usable(rows.select("own", "size"), aims), "usable")
@@ -158,7 +166,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         inside = Window.partitionBy("source", "_range").orderBy(*order)
         return met.withColumns({"cum": F.sum("part").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "nth": F.row_number().over(inside)})
 
-    narrow = rated(rows.select("own", "size", "key", "_range"), aims).select("source", "_range", "nth", "size", "target", "whole", "part", "cum")
+    narrow = rated(rows.select("own", "size", "key", "mark", "_range"), aims).select("source", "_range", "nth", "size", "target", "whole", "part", "cum")
     narrow = stage(narrow, "rates")
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = narrow.groupBy("source", "_range").agg(F.sum("part").alias("sum")).withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0)))
