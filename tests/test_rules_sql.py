@@ -199,9 +199,55 @@ def test_rectangles(spark):
 @pytest.mark.parametrize("name", sorted(rule_queries.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
-    for table in ("customer", "orders"):
+    for table in ("customer", "orders", "documents"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = rule_queries.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in sorted(df.columns))
     expected = db.sql(f"SELECT {columns} FROM ({rule_queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in sorted(df.columns)) for r in df.collect()))) == sorted(map(str, expected))
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    from veilframe.sources import files
+
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (100).to_bytes(4) + (50).to_bytes(4)
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xff\xc4\0\3x\xff\xc2\0\x0b\x08" + (30).to_bytes(2) + (60).to_bytes(2) + b"\1\1\1\1"
+    for name, data in {"a.pdf": b"%PDF-1", "b/c.png": png, "d.JPG": jpeg, "lie.pdf": png, "e.p7m": b"nothing", "f.odp": b"x", "g": b"?", "broken.png": b"text", "cut.jpg": b"\xff\xd8\xff\xc0\0"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = {r.path.rpartition("/")[2]: r for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert {n: (r.kind, r.found, r.error) for n, r in rows.items()} == {
+        "a.pdf": ("pdf", "pdf", None), "c.png": ("image", "png", None), "d.JPG": ("image", "jpeg", None), "lie.pdf": ("pdf", "png", None), "e.p7m": ("signed", None, "not signed data"),
+        "f.odp": ("office", None, "to be saved as pdf first"), "g": ("other", None, "not recognised"), "broken.png": ("image", None, "not recognised"), "cut.jpg": ("image", "jpeg", None),
+    }
+    assert (rows["c.png"].page_width, rows["c.png"].page_height) == (841.89, 841.89 / 2)
+    assert (rows["d.JPG"].page_width, rows["d.JPG"].page_height) == (841.89, 841.89 / 2)
+    assert rows["cut.jpg"].page_width is None and "content" not in rows["a.pdf"]
+    nothing = spark.createDataFrame([(None, None, "application/pdf")], "path string, content binary, mime string")
+    assert [(r.kind, r.error) for r in files.opened(nothing, "mime").collect()] == [("pdf", "not recognised")]
+
+
+def test_whole_report(spark, tmp_path):
+    from veilframe.operators import rendered as r
+
+    rows = [(1, 1, 0, 0, 4, "C1"), (1, 1, 1, 9, 12, "C6"), (1, 2, 0, None, None, "B4P"), (1, 3, 0, 5, 6, "A1"), (1, 3, 1, 0, 4, "C1"), (1, 3, 2, 4, 6, "P")]
+    new = {"decision": F.expr("CASE WHEN page = 3 AND seq = 0 THEN 'keep' WHEN category = 'C6' THEN NULL ELSE coalesce(decision, 'mask') END"), "modified": F.expr("page = 3 AND seq = 0"), "proposed": F.expr("category = 'C1'")}
+    found = made(spark, rows).withColumns(new).withColumns({"subject_no": F.expr("CASE WHEN category = 'C1' THEN 2 - seq END"), "rationale": F.lit("public")})
+    pages = spark.createDataFrame([(1, 1, True, 90.0), (1, 2, True, None), (1, 3, False, None), (7, 1, None, None)], "doc_id long, page int, is_scan boolean, ocr_conf double")
+    cited = spark.createDataFrame([(1, 2, "Law B", "art. 2"), (1, 1, "Law A", "art. 1")], "doc_id long, nr int, title string, ref string")
+    reports = r.rendered(pages, found, r.Settings("private", "pseudonym", dpi=300), cited)
+    got = {x.doc_id: x.report.split("\n") for x in reports.collect()}
+    assert got[1] == [
+        "# Report of treatment", "made: none", "document: 1", "pages: 3", "dropped pages: 2", "kind: mixed", "quality: good", "purpose: private", "body: none", "mode: pseudonym",
+        "dots an inch: 300", f"rules: {r.RULES_VERSION}", "## Findings", "1 | page 1 | C1 | d | statistical | masked", "2 | page 1 | C6 | d | statistical | clear",
+        "3 | page 2 | B4P | d | statistical | dropped", "4 | page 3 | C1 | d | statistical | masked", "5 | page 3 | P | d | statistical | clear", "6 | page 3 | A1 | d | statistical | clear, changed",
+        "## Decisions of band C", "page 1 | C1 | [SUBJECT 2] | mask (proposed)", 'page 1 | C6 | "xxx" | open', "page 3 | C1 | [SUBJECT 1] | mask (proposed)",
+        "## Restored", 'page 3 | A1 (band A) | "x" | public', "## Persons", "[SUBJECT 1], [SUBJECT 2]", "## Sources", "Law A: art. 1", "Law B: art. 2", "## Statement", r.STATEMENT,
+    ]
+    assert got[7][3:7] == ["pages: 1", "dropped pages: none", "kind: native", "quality: none"] and got[7].count("none") == 5
+    assert (r.default_mode("publish"), r.default_mode("private"), r.Settings(None).masked) == ("omissis", "full", "full")
+    for bad in ({"dpi": 72}, {"mode": "blur"}):
+        with pytest.raises(ValueError):
+            r.Settings(**bad)
+    r.write_reports(reports, str(tmp_path / "out"), 4)
+    assert {x.doc_id for x in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 7}

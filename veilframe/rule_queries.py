@@ -1,4 +1,4 @@
-"""Queries over SQL functions, users' rules, drawing operators and rectangles, and their SQL."""
+"""Queries over SQL functions, users' rules, drawing operators, rectangles, files and reports, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from veilframe import queries as q
 from veilframe.operators.images import image_boxes
 from veilframe.operators.redact import box_outcomes
+from veilframe.operators.rendered import RULES_VERSION, STATEMENT, Settings, rendered
 from veilframe.operators.scans import page_routes
 from veilframe.plans.pipeline import analysed
 from veilframe.plans.sql import register_functions
 from veilframe.rules import user
+from veilframe.rules.tables import CERTAINTY
 from veilframe.sources import cases
+from veilframe.sources.files import opened
 
 # ---- SQL functions
 
@@ -143,11 +146,71 @@ f AS (SELECT doc_id, seq, CASE WHEN gone THEN 'dropped' WHEN seq = 2 THEN 'maske
 SELECT doc_id, CAST(seq AS BIGINT) AS seq, outcome, covered,
   CASE WHEN covered THEN 'covered, in whole or in part, by another mask' WHEN outcome = 'dropped' THEN 'page dropped' ELSE '' END AS note FROM f"""
 
-QUERIES = {f.__name__: f for f in (sql_spans, document_spans, sql_checks, custom_rules, image_places, drawn_routes, covered_areas)}
+# ---- files: envelopes around documents' texts
+
+
+def _value(tag: str, body: str) -> str:
+    """SQL for the hex digits of a value with four bytes of length."""
+    return f"concat('{tag}84', lpad(hex(length({body}) DIV 2), 8, '0'), {body})"
+
+
+def signed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made of documents: plain, in a signed envelope, a detached one, a broken one, an
+    image, an office file, and what is none; opened again (S1, S3, S4)."""
+    text = "hex(encode(concat('%PDF-1.4\n', coalesce(text, '')), 'UTF-8'))"
+    octets = _value("A0", _value("04", text))
+    content = _value("30", f"concat('06092A864886F70D010701', {octets})")
+
+    def signed(inner: str) -> str:
+        return _value("30", "concat('06092A864886F70D010702', " + _value("A0", _value("30", f"concat('0201013100', {inner})")) + ")")
+
+    detached = signed(_value("30", "'06092A864886F70D010701'"))
+    png = "concat('89504E470D0A1A0A0000000D49484452', lpad(hex(1 + doc_id % 50), 8, '0'), lpad(hex(1 + doc_id % 70), 8, '0'))"
+    digits = f"CASE doc_id % 7 WHEN 0 THEN {text} WHEN 1 THEN {signed(content)} WHEN 2 THEN {detached} WHEN 3 THEN substr({signed(content)}, 1, 60) WHEN 4 THEN {png} ELSE {text} END"
+    ending = "element_at(array('.pdf', '.pdf.p7m', '.PDF.P7M', '.p7m', '.png', '', '.bin'), CAST(doc_id % 7 + 1 AS INT))"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.expr(f"concat('/in/atto', doc_id, {ending})").alias("path"), F.expr(f"unhex({digits})").alias("content"),
+        F.when(F.col("doc_id") % 7 == 5, "application/vnd.oasis.opendocument.text").alias("mime"),
+    )
+    made = opened(rows, "mime")
+    sha = F.when(F.col("found") == "pdf", F.sha2("document", 256))
+    return made.select("doc_id", "kind", "found", "error", sha.alias("sha256"), F.round("page_width", 6).alias("page_width"), F.round("page_height", 6).alias("page_height"))
+
+
+SIGNED_DOCUMENTS = """
+WITH d AS (SELECT doc_id, doc_id % 7 AS k, 1 + doc_id % 50 AS w, 1 + doc_id % 70 AS h, sha256('%PDF-1.4' || chr(10) || coalesce(text, '')) AS sha FROM documents)
+SELECT doc_id, ['pdf', 'signed', 'signed', 'signed', 'image', 'office', 'other'][k + 1] AS kind,
+  ['pdf', 'pdf', NULL, NULL, 'png', 'pdf', 'pdf'][k + 1] AS found,
+  [NULL, NULL, 'detached', 'truncated', NULL, 'to be saved as pdf first', 'not recognised'][k + 1] AS error,
+  CASE WHEN k IN (0, 1, 5, 6) THEN sha END AS sha256,
+  CASE WHEN k = 4 THEN round(CASE WHEN w >= h THEN 841.89 ELSE 841.89::DOUBLE * w / h END, 6) END AS page_width,
+  CASE WHEN k = 4 THEN round(CASE WHEN h >= w THEN 841.89 ELSE 841.89::DOUBLE * h / w END, 6) END AS page_height FROM d"""
+
+# ---- whole reports
+
+
+def rendered_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each document, from the header to the statement (Q1-Q8, K2, C10o)."""
+    pages = cases.pages(spark, sf_dir, cases.IDENTIFIERS)
+    return rendered(pages, analysed(pages, purpose="publish"), Settings("publish", body="Comune di Esempio", made_at="2026-01-01"))
+
+
+RENDERED_REPORTS = f"""{q._IDS.replace("FROM customer)", f", {cases.chosen(cases.IDENTIFIERS)} AS text FROM customer)")}
+SELECT doc_id, concat_ws(chr(10), '# Report of treatment', 'made: 2026-01-01', 'document: ' || doc_id, 'pages: 1', 'dropped pages: none', 'kind: native', 'quality: none',
+  'purpose: publish', 'body: Comune di Esempio', 'mode: omissis', 'dots an inch: 200', 'rules: {RULES_VERSION}', '## Findings',
+  CASE WHEN category IS NULL THEN 'none' ELSE '1 | page 1 | ' || category || ' | ' || detector || ' | ' ||
+    CASE WHEN detector IN ({q._quoted(CERTAINTY["formal"])}) THEN 'formal' ELSE 'contextual' END || ' | ' || CASE WHEN decision = 'mask' THEN 'masked' ELSE 'clear' END END,
+  '## Decisions of band C',
+  CASE WHEN proposal_key = 'C6' THEN 'page 1 | C6 | (masked text) | mask (proposed) | VAT number of unknown nature'
+    WHEN proposal_key = 'C6_company' THEN 'page 1 | C6 | "' || text || '" | keep (proposed) | VAT number in the context of a company or body | VAT number of a company or body' ELSE 'none' END,
+  '## Restored', 'none', '## Persons', 'none', '## Statement', '{STATEMENT}') AS report FROM f"""
+
+QUERIES = {f.__name__: f for f in (sql_spans, document_spans, sql_checks, custom_rules, image_places, drawn_routes, covered_areas, signed_documents, rendered_reports)}
 ORACLE_SQL = {
     "sql_spans": f'SELECT doc_id, start, "end", text, category FROM ({cases.expected(cases.CONTACTS)})',
     "sql_checks": f"""
 SELECT id, i.valid AS iban, t.valid AS tax_code, v.valid AS vat_number
 FROM ({q.ORACLE_SQL["iban_checks"]}) i JOIN ({q.ORACLE_SQL["tax_code_checks"]}) t USING (id) JOIN ({q.ORACLE_SQL["vat_checks"]}) v USING (id)""",
     "custom_rules": CUSTOM_RULES, "image_places": IMAGE_PLACES, "drawn_routes": DRAWN_ROUTES, "covered_areas": COVERED_AREAS,
+    "signed_documents": SIGNED_DOCUMENTS, "rendered_reports": RENDERED_REPORTS,
 }

@@ -7,22 +7,28 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # ---- fixed values: the object identifier of signed data, and office file endings
 SIGNED_DATA = bytes.fromhex("06092a864886f70d010702")
-OFFICE = ("doc", "docx", "odt", "rtf", "xls", "xlsx", "ods", "ppt", "pptx")
+OFFICE = ("doc", "docx", "odt", "rtf", "xls", "xlsx", "ods", "ppt", "pptx", "odp", "txt")
+OFFICE_TYPES = "officedocument|opendocument|msword|ms-excel|ms-powerpoint|rtf|text/plain"
+# the long side of a page made of an image, in points
+LONG_SIDE = 841.89
 # ---- end of fixed values
 MOST_ENVELOPES = 4
 
 
-def kind(path: Column) -> Column:
-    """pdf, image, signed, office or other, by the file's ending."""
-    low = F.lower(path)
+def kind(path: Column, mime: Column | None = None) -> Column:
+    """pdf, image, signed, office or other, by the file's ending or, where that tells nothing, by
+    its media type if one is known."""
+    low, media = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(mime if mime is not None else F.lit(""), F.lit("")))
     return (
-        F.when(low.endswith(".p7m"), "signed").when(low.endswith(".pdf"), "pdf").when(low.rlike(r"\.(?:jpe?g|png)\z"), "image")
-        .when(low.rlike(r"\.(?:" + "|".join(OFFICE) + r")\z"), "office").otherwise("other")
+        F.when(low.endswith(".p7m"), "signed").when(low.endswith(".pdf") | (media == "application/pdf"), "pdf")
+        .when(low.rlike(r"\.(?:jpe?g|png)\z") | media.isin("image/jpeg", "image/png"), "image")
+        .when(low.rlike(r"\.(?:" + "|".join(OFFICE) + r")\z") | media.rlike(OFFICE_TYPES), "office").otherwise("other")
     )
 
 
@@ -118,12 +124,61 @@ def unwrapped(files: DataFrame, content: str = "content") -> DataFrame:
             columns = [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "inner", "error"])
 
-    from pyspark.sql.types import StructType
-
     schema = StructType(list(files.schema.fields)).add("inner", "binary").add("error", "string")
     return files.mapInArrow(run, schema)
 
 
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height in pixels that a PNG's or JPEG's own bytes tell."""
+    if data[:4] == b"\x89PNG" and len(data) >= 24:
+        return int.from_bytes(data[16:20]), int.from_bytes(data[20:24])
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data):
+        if data[at] != 0xFF:
+            return None
+        mark = data[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):  # the frame's header
+            return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
+        alone = mark in (0x01, 0xFF) or 0xD0 <= mark <= 0xD8  # no length follows; 0xff fills
+        at += 1 if mark == 0xFF else 2 if alone else 2 + max(2, int.from_bytes(data[at + 2 : at + 4]))
+    return None
+
+
+def opened(files: DataFrame, mime: str | None = None) -> DataFrame:
+    """Files (path, content and more) as documents: kind by name and media type (a column's name),
+    document (what a signed envelope holds, else the content), found (pdf, png, jpeg by its first
+    bytes: names may lie), page_width and page_height of an image's page, and error: why there is
+    no document. An image's longer side is that of a sheet, the other in proportion."""
+    rows = files.withColumn("kind", kind(F.col("path"), F.col(mime) if mime else None))
+    # envelopes only go through the unpacking
+    signed = F.when(F.col("kind") == "signed", F.col("content"))
+    schema = StructType(list(rows.schema.fields)).add("document", "binary").add("error", "string").add("px", "integer").add("py", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for own, content in zip(batch["_signed"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                document, error = (content, None) if own is None else unwrap(own)
+                made.append((document, error, *((document and image_size(document)) or (None, None))))
+            added = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int32(), pa.int32()))]
+            kept = batch.drop_columns(["_signed"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], schema.names)
+
+    rows = rows.withColumn("_signed", signed).mapInArrow(run, schema).withColumn("found", magic(F.col("document")))
+    whole = (F.col("px") > 0) & (F.col("py") > 0)
+    side = lambda own, other: F.when(whole, F.when(F.col(own) >= F.col(other), LONG_SIDE).otherwise(LONG_SIDE * F.col(own) / F.col(other)))
+    fits = F.when(F.col("kind") == "image", F.col("found").isin("png", "jpeg")).when(F.col("kind").isin("pdf", "signed"), F.col("found").isNotNull()).otherwise(False)
+    error = F.coalesce("error", F.when(~F.coalesce(fits, F.lit(False)), F.when(F.col("kind") == "office", "to be saved as pdf first").otherwise("not recognised")))
+    return rows.withColumns({"page_width": side("px", "py"), "page_height": side("py", "px"), "error": error}).drop("px", "py")
+
+
+def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """The files of a folder and those below, opened: path, length, modificationTime and what
+    opened() adds; the raw content stays behind. Spark leaves out files without any bytes."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return opened(read).drop("content")
+
+
 def segments(pages: DataFrame, top: float = 700.0) -> DataFrame:
     """One text run for each line that is not blank: 11 points high, 14 points below the one
     before, 5.5 points for each character; start is its place in the page's text."""
