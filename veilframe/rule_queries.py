@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import queries as q
+from veilframe.operators.decide import decided
+from veilframe.operators.findings import constructed
 from veilframe.operators.images import image_boxes
+from veilframe.operators.legal import citation_counts
+from veilframe.operators.names import name_findings
 from veilframe.operators.redact import box_outcomes
 from veilframe.operators.rendered import RULES_VERSION, STATEMENT, Settings, rendered
+from veilframe.operators.report import pseudonyms, restored
 from veilframe.operators.scans import page_routes
+from veilframe.operators.subjects import numbered
+from veilframe.page_queries import CITES, CITING, _values
 from veilframe.plans.pipeline import analysed
 from veilframe.plans.sql import register_functions
 from veilframe.rules import user
@@ -205,12 +212,99 @@ SELECT doc_id, concat_ws(chr(10), '# Report of treatment', 'made: 2026-01-01', '
     WHEN proposal_key = 'C6_company' THEN 'page 1 | C6 | "' || text || '" | keep (proposed) | VAT number in the context of a company or body | VAT number of a company or body' ELSE 'none' END,
   '## Restored', 'none', '## Persons', 'none', '## Statement', '{STATEMENT}') AS report FROM f"""
 
-QUERIES = {f.__name__: f for f in (sql_spans, document_spans, sql_checks, custom_rules, image_places, drawn_routes, covered_areas, signed_documents, rendered_reports)}
+# ---- what single rules and decisions do
+
+
+def form_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residences and addresses in the fields of forms."""
+    return q._placed(analysed(cases.pages(spark, sf_dir, cases.FORMS), purpose="publish"))
+
+
+def work_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hardship and employment, grown to their clauses and proposed by the purpose."""
+    return q._placed(analysed(cases.pages(spark, sf_dir, cases.WORK), purpose="publish"))
+
+
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recognizer's names by score: 0.55 at least, 0.9 without a capital."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, name = F.col("c_custkey"), F.expr(cases.NAME)
+    own = F.when(key % 4 < 2, name).otherwise(F.lower(name))
+    score = F.element_at(F.array(*map(F.lit, (0.5499, 0.55, 0.8999, 0.9))), (key % 4 + 1).cast("int"))
+    pages = rows.select(key.alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("Oggi "), own, F.lit(" abita qui.")).alias("text"))
+    entities = rows.select(key.alias("doc_id"), F.lit(1).alias("page"), F.lit(5).alias("start"), (F.lit(5) + F.length(own)).alias("end"), score.alias("score"))
+    return name_findings(pages, entities, 0).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "text")
+
+
+def _order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two findings for each order: one of band C, one of band B, under the customer's key."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("category")) for i, c in enumerate(("C1", "B7"))])).alias("f")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", each)
+    text = F.concat(F.lit("persona "), (F.col("o_orderkey") % 5).cast("string"))
+    return constructed(rows.select(
+        F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), (2 * F.col("o_orderkey") + F.col("f.i")).alias("seq"), F.lit(0).alias("start"), F.length(text).alias("end"),
+        text.alias("text"), "f.category", F.lit("recognizer").alias("detector"), text.alias("subject_key"),
+    ))
+
+
+def finding_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding kept, then masked again, and all of one person's (C4o, C5o)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    one = orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("step"), F.lit("finding").alias("op"), F.concat(F.lit("1:"), 2 * F.col("o_orderkey")).alias("target"), F.lit("keep").alias("decision"))
+    again = orders.where("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("doc_id"), F.lit(2).alias("step"), F.lit("finding").alias("op"), F.concat(F.lit("1:"), 2 * F.col("o_orderkey")).alias("target"), F.lit("mask").alias("decision"))
+    person = orders.select("o_custkey").distinct().select(F.col("o_custkey").alias("doc_id"), F.lit(3).alias("step"), F.lit("subject").alias("op"), F.lit("persona 3").alias("target"), F.lit("keep").alias("decision"))
+    rows = decided(_order_findings(spark, sf_dir), one.unionAll(again).unionAll(person))
+    return rows.select("doc_id", "seq", "category", "decision", "confirmed", "modified")
+
+
+def restored_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that users left in the clear against the default, by document (Q5)."""
+    rows = _order_findings(spark, sf_dir).withColumns({"decision": F.expr("CASE WHEN seq % 3 = 0 THEN 'keep' ELSE decision END"), "modified": F.expr("seq % 3 = 0 AND category = 'B7'")})
+    return restored(rows).select("doc_id", "page", "seq", "category", "detector")
+
+
+def person_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the persons that are masked in a document."""
+    rows = numbered(_order_findings(spark, sf_dir).withColumn("decision", F.expr("CASE WHEN subject_key = 'persona 4' THEN 'keep' ELSE 'mask' END")))
+    return pseudonyms(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("subject_no").cast("long").alias("sum"))
+
+
+def citation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons told apart and passages cited, by document."""
+    cites = spark.createDataFrame(CITES, "of string, source string, key string")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = rows.select(F.col("o_custkey").alias("doc_id"), F.expr(CITING).alias("category"), (F.col("o_orderkey") % 3).alias("subject_no"))
+    made = citation_counts(found, cites)
+    return made.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_subjects", "n_passages")])
+
+
+_F = """f AS (SELECT o_custkey AS doc_id, o_orderkey AS k, 2 * o_orderkey + i AS seq, ['C1', 'B7'][i + 1] AS category, 'persona ' || (o_orderkey % 5) AS who
+  FROM orders, (VALUES (0), (1)) AS v(i))"""
+FINDING_DECISIONS = f"""
+WITH {_F}, d AS (SELECT *, CASE WHEN who = 'persona 3' THEN 'keep' WHEN category = 'C1' AND k % 6 = 0 THEN 'mask' WHEN category = 'C1' AND k % 2 = 0 THEN 'keep' END AS new FROM f)
+SELECT doc_id, seq, category, coalesce(new, CASE WHEN category = 'B7' THEN 'mask' END) AS decision, new IS NOT NULL AS confirmed,
+  coalesce(category = 'B7' AND new = 'keep', false) AS modified FROM d"""
+RESTORED_LIST = f"WITH {_F} SELECT doc_id, CAST(1 AS INT) AS page, seq, category, 'recognizer' AS detector FROM f WHERE seq % 3 = 0 AND category = 'B7'"
+PERSON_LABELS = f"""
+WITH {_F}, w AS (SELECT doc_id, who, min(seq) AS s FROM f GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS nr FROM w)
+SELECT doc_id, count(*) AS n, CAST(sum(nr) AS BIGINT) AS sum FROM n WHERE who <> 'persona 4' GROUP BY doc_id"""
+CITATION_TOTALS = f"""
+WITH cites(of_, source, key) AS (VALUES {_values(CITES)}), o AS (SELECT o_custkey AS doc_id, o_orderkey % 3 AS s, {CITING} AS of_ FROM orders)
+SELECT doc_id, count(DISTINCT s) AS n_subjects, count(DISTINCT CASE WHEN cites.key IS NOT NULL THEN cites.source || '/' || cites.key END) AS n_passages
+FROM o LEFT JOIN cites USING (of_) GROUP BY doc_id"""
+NAME_SCORES = f"""
+WITH n AS (SELECT c_custkey AS doc_id, c_custkey % 4 AS k, {cases.NAME} AS name FROM customer)
+SELECT doc_id, CAST(5 AS BIGINT) AS start, CAST(5 + length(name) AS BIGINT) AS "end", CASE WHEN k < 2 THEN name ELSE lower(name) END AS text FROM n WHERE k IN (1, 3)"""
+
+QUERIES = {f.__name__: f for f in (sql_spans, document_spans, sql_checks, custom_rules, image_places, drawn_routes, covered_areas, signed_documents, rendered_reports,
+    form_findings, work_findings, name_scores, finding_decisions, restored_list, person_labels, citation_totals)}
 ORACLE_SQL = {
     "sql_spans": f'SELECT doc_id, start, "end", text, category FROM ({cases.expected(cases.CONTACTS)})',
     "sql_checks": f"""
 SELECT id, i.valid AS iban, t.valid AS tax_code, v.valid AS vat_number
 FROM ({q.ORACLE_SQL["iban_checks"]}) i JOIN ({q.ORACLE_SQL["tax_code_checks"]}) t USING (id) JOIN ({q.ORACLE_SQL["vat_checks"]}) v USING (id)""",
     "custom_rules": CUSTOM_RULES, "image_places": IMAGE_PLACES, "drawn_routes": DRAWN_ROUTES, "covered_areas": COVERED_AREAS,
+    "form_findings": cases.expected(cases.FORMS), "work_findings": cases.expected(cases.WORK), "name_scores": NAME_SCORES,
+    "finding_decisions": FINDING_DECISIONS, "restored_list": RESTORED_LIST, "person_labels": PERSON_LABELS, "citation_totals": CITATION_TOTALS,
     "signed_documents": SIGNED_DOCUMENTS, "rendered_reports": RENDERED_REPORTS,
 }

@@ -52,6 +52,20 @@ CIVIL: tuple[Case, ...] = (
     ("Vista la nota del sig. ", NAME, " in atti.", "C1", "C1", "mask"),
     ("nata a ", "concat('Messina\nil 02/03/', CAST(1950 + c_custkey % 50 AS STRING))", "\nprovincia ME", "B5", "B5", "mask"),
 )
+#: Fields of forms.
+FORMS: tuple[Case, ...] = (
+    ("Cognome e nome\nresidente in ", f"concat('Torre', {KEY})", "\nprovincia", "B3", "B3", "mask"),
+    ("Dati del dichiarante\nvia ", f"concat('Colle ', {pick(LAST, 'c_custkey % 7')})", "\ntelefono", "B3", "B3", "mask"),
+    ("Dati del dichiarante\nvia ", f"lower(concat('Colle ', {pick(LAST, 'c_custkey % 7')}))", "\ntelefono", None, None, None),
+)
+#: Economic hardship and employment, which are to be decided.
+WORK: tuple[Case, ...] = (
+    ("Nota; ", "'stato di bisogno'", "; fine", "C4", "C4", "mask"),
+    ("Nota; ", "'emergenza abitativa del nucleo'", "; fine", "C4", "C4", "mask"),
+    ("Nota; ", "'sanzione disciplinare'", "; fine", "C5", "C5", "mask"),
+    ("Nota; ", "'periodo di aspettativa'", "; fine", "C5", "C5", "mask"),
+    ("Nota; ", "'lavoro ordinario'", "; fine", None, None, None),
+)
 #: With a person beside them (a recognizer's name), and without.
 SENSITIVE: tuple[Case, ...] = (
     ("{}\n", "'presenta invalidità civile al cento per cento'", ";", "A1", "A1", "mask"),
