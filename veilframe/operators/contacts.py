@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.patterns import last_place, let, slice_of, union
 from veilframe.functions.validators import institutional_domain, personal_domain
 from veilframe.operators.findings import COLUMNS, band_of, default_decision, looked_up
+from veilframe.operators.geometry import BOX
 from veilframe.rules import fixed
 from veilframe.rules.tables import CATEGORIES
 
@@ -26,21 +27,29 @@ def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
-def institutional(pages: DataFrame, findings: DataFrame) -> DataFrame:
+def is_contact() -> Column:
+    """Findings that may be a body's."""
+    return F.col("detector").isin(list(CONTACTS)) & (F.col("band") == "B") & F.col("start").isNotNull()
+
+
+def institutional(pages: DataFrame, findings: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Findings whose landlines, addresses and e-mails (band B, with a place) become P where they
     belong to a body: beside the holder of a public role, in a head or foot that names a body, or
     in the block of a company or body that is not a natural person's.
 
     Addresses at personal mail providers and contacts in a personal context stay as they are.
-    Pages may have top (of their first line) and page_height; else they are taken as plain text."""
+    Where contacts stand is told by boxes (doc_id, page, seq, boxes: see layout.span_boxes) and the
+    pages' page_height. Without boxes, pages are taken as plain text, whose first line is at top."""
     plain = {"top": F.lit(TOP), "page_height": F.lit(PAGE_HEIGHT)}
     geometry = [(F.col(c) if c in pages.columns else v).cast("double").alias(c) for c, v in plain.items()]
-    contact = F.col("detector").isin(list(CONTACTS)) & (F.col("band") == "B") & F.col("start").isNotNull()
     holder = (F.col("category") == "P") & F.col("note").startswith(ROLE_NOTE) & F.col("start").isNotNull()
     roles = findings.where(holder).groupBy("doc_id", "page").agg(F.collect_list(F.struct("start", "end")).alias("roles"))
-    own = findings.where(contact).groupBy("doc_id", "page").agg(
-        F.collect_list(F.struct("seq", "start", "end", "text", F.col("detector") == "email")).alias("contacts")
-    )
+    found = findings.where(is_contact()).select("doc_id", "page", "seq", "start", "end", "text", "detector")
+    if boxes is not None:
+        found = found.join(boxes.select("doc_id", "page", "seq", "boxes"), ["doc_id", "page", "seq"], "left")
+    else:
+        found = found.withColumn("boxes", F.lit(None).cast(f"array<{BOX}>"))
+    own = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct("seq", "start", "end", "text", F.col("detector") == "email", "boxes")).alias("contacts"))
     rows = pages.select("doc_id", "page", F.col("text").alias("t"), *geometry).join(own, ["doc_id", "page"]).join(roles, ["doc_id", "page"], "left")
     t, none = F.col("t"), F.array().cast("array<struct<start:int,end:int>>")
 
@@ -61,12 +70,19 @@ def institutional(pages: DataFrame, findings: DataFrame) -> DataFrame:
     def facts(c: Column) -> Column:
         before = slice_of(t, F.lit(0), c["start"])
         first = _breaks(before)
-        lines = F.sequence(first, first + _breaks(slice_of(t, c["start"], c["end"])))
+        if boxes is not None:
+            placed = F.coalesce(c["boxes"], F.array().cast(f"array<{BOX}>"))
+            above = lambda b: b["y"] > F.col("page_height") * (1 - HEAD)
+            below = lambda b: b["y"] + b["h"] < F.col("page_height") * FOOT
+            outer, upper = F.forall(placed, lambda b: above(b) | below(b)), F.forall(placed, above)
+        else:
+            lines = F.sequence(first, first + _breaks(slice_of(t, c["start"], c["end"])))
+            outer, upper = F.forall(lines, lambda i: high(i) | low(i)), F.forall(lines, high)
         return F.struct(
             c["seq"].alias("seq"), c["text"].alias("text"), c["col5"].alias("email"), near(c).alias("near"),
             F.substring_index(before, "\n", -1).alias("line"),
             let(F.substring_index(before, "\n", -4), lambda x: F.substring(x, F.greatest(F.length(x) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT))).alias("block"),
-            F.forall(lines, lambda i: high(i) | low(i)).alias("outer"), F.forall(lines, high).alias("upper"),
+            outer.alias("outer"), upper.alias("upper"),
         )
 
     seen = rows.select(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.operators.contacts import institutional
+from veilframe.operators.contacts import institutional, is_contact
 from veilframe.operators.context import KINDS, classified
 from veilframe.operators.decide import proposed
 from veilframe.operators.detect import DETECTORS, STRIDE, Detector, detect, page_findings, prepared, signature_findings
 from veilframe.operators.findings import constructed, keyed
+from veilframe.operators.layout import span_boxes
 from veilframe.operators.names import name_findings
 from veilframe.operators.overlap import resolved
 from veilframe.operators.silence import demoted, silenced
@@ -26,6 +27,7 @@ def analysed(
     images: DataFrame | None = None,
     purposes: DataFrame | None = None,
     kinds: dict = KINDS,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of pages (doc_id, page, text; is_scan, ocr_conf, n_cards, top, page_height if
     there are any), with subject_no.
@@ -34,7 +36,8 @@ def analysed(
     (None) keyword findings are neither silenced nor demoted for want of a name; a recognizer
     that found nothing is an empty table. images (doc_id, page, x, y, w, h, page_width,
     page_height) of pages that are no scans may be signatures. purposes: a user's table beside
-    the given ones (see proposed); detectors and kinds may come from tables (see rules.user).
+    the given ones (see proposed); runs: the placed runs that the texts were read from (see
+    layout.placed_runs), which tell where contacts stand; detectors and kinds may come from tables (see rules.user).
 
     Null keys and two pages of one doc_id and number are errors: neither could be told apart
     when spans and texts meet again."""
@@ -60,6 +63,7 @@ def analysed(
     rows = staged(resolved(rows), "resolved")
     if entities is not None:
         rows = demoted(pages, silenced(rows))
-    rows = staged(institutional(pages, rows), "contacts")
+    boxes = span_boxes(rows.where(is_contact()), runs) if runs is not None else None
+    rows = staged(institutional(pages, rows, boxes), "contacts")
     rows = numbered(reconciled(rows))
     return proposed(rows, purpose, purposes) if purpose else rows

@@ -9,6 +9,7 @@ from veilframe import queries as q
 from veilframe.operators.decide import decided
 from veilframe.operators.findings import constructed
 from veilframe.operators.images import image_boxes
+from veilframe.operators.layout import page_texts, placed_runs
 from veilframe.operators.legal import citation_counts
 from veilframe.operators.names import name_findings
 from veilframe.operators.redact import box_outcomes
@@ -19,6 +20,7 @@ from veilframe.operators.subjects import numbered
 from veilframe.page_queries import CITES, CITING, _values
 from veilframe.plans.pipeline import analysed
 from veilframe.plans.sql import register_functions
+from veilframe.plans.staging import staged
 from veilframe.rules import user
 from veilframe.rules.tables import CERTAINTY
 from veilframe.sources import cases
@@ -296,8 +298,31 @@ NAME_SCORES = f"""
 WITH n AS (SELECT c_custkey AS doc_id, c_custkey % 4 AS k, {cases.NAME} AS name FROM customer)
 SELECT doc_id, CAST(5 AS BIGINT) AS start, CAST(5 + length(name) AS BIGINT) AS "end", CASE WHEN k < 2 THEN name ELSE lower(name) END AS text FROM n WHERE k IN (1, 3)"""
 
+# ---- contacts by where they stand
+
+
+def column_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts at the top of a second column, which the text has last: in the head of a page that
+    names a body, below the head, and in the head of a page that names none (J8)."""
+    k = F.col("c_custkey")
+    heading = F.when(k % 3 == 2, "Curriculum vitae").otherwise("Comune di Esempio")
+    contact = F.concat(F.lit("tel. 090 "), F.lpad(k.cast("string"), 7, "0"))
+    lines = [(0, heading, 50, F.lit(700.0))] + [(i, F.lit(f"riga di testo {i}"), 50, F.lit(700.0 - 14 * i)) for i in range(1, 10)]
+    lines += [(10, contact, 400, F.when(k % 3 == 1, 500.0).otherwise(800.0))]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), t.alias("str"), F.lit(float(x)).alias("x"), y.alias("y")) for s, t, x, y in lines])).alias("r")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("doc_id"), F.lit(1).alias("page"), each).select("doc_id", "page", "r.*")
+    runs = staged(placed_runs(rows.withColumns({"w": 5.5 * F.length("str"), "h": F.lit(11.0)}), reorder=False), "runs")
+    return q._placed(analysed(page_texts(runs), purpose="publish", runs=runs))
+
+
+COLUMN_CONTACTS = """
+SELECT c_custkey AS doc_id, CAST(CASE WHEN c_custkey % 3 = 2 THEN 16 ELSE 17 END + 1 + 9 * 16 + 5 AS BIGINT) AS start,
+  CAST(CASE WHEN c_custkey % 3 = 2 THEN 16 ELSE 17 END + 1 + 9 * 16 + 16 AS BIGINT) AS "end", '090 ' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS text,
+  CASE WHEN c_custkey % 3 = 0 THEN 'P' ELSE 'B3' END AS category, CASE WHEN c_custkey % 3 = 0 THEN 'P' ELSE 'B3' END AS proposal_key,
+  CASE WHEN c_custkey % 3 = 0 THEN 'keep' ELSE 'mask' END AS decision FROM customer"""
+
 QUERIES = {f.__name__: f for f in (sql_spans, document_spans, sql_checks, custom_rules, image_places, drawn_routes, covered_areas, signed_documents, rendered_reports,
-    form_findings, work_findings, name_scores, finding_decisions, restored_list, person_labels, citation_totals)}
+    form_findings, work_findings, name_scores, finding_decisions, restored_list, person_labels, citation_totals, column_contacts)}
 ORACLE_SQL = {
     "sql_spans": f'SELECT doc_id, start, "end", text, category FROM ({cases.expected(cases.CONTACTS)})',
     "sql_checks": f"""
@@ -306,5 +331,6 @@ FROM ({q.ORACLE_SQL["iban_checks"]}) i JOIN ({q.ORACLE_SQL["tax_code_checks"]})
     "custom_rules": CUSTOM_RULES, "image_places": IMAGE_PLACES, "drawn_routes": DRAWN_ROUTES, "covered_areas": COVERED_AREAS,
     "form_findings": cases.expected(cases.FORMS), "work_findings": cases.expected(cases.WORK), "name_scores": NAME_SCORES,
     "finding_decisions": FINDING_DECISIONS, "restored_list": RESTORED_LIST, "person_labels": PERSON_LABELS, "citation_totals": CITATION_TOTALS,
+    "column_contacts": COLUMN_CONTACTS,
     "signed_documents": SIGNED_DOCUMENTS, "rendered_reports": RENDERED_REPORTS,
 }
