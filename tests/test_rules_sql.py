@@ -1,5 +1,6 @@
 """Sweeps, islands and word joins against plain versions; users' rules, SQL functions, drawing operators."""
 
+import os
 import random
 import re
 
@@ -21,7 +22,8 @@ from veilframe.plans.pipeline import analysed
 from veilframe.plans.sql import register_functions
 from veilframe.rules import user
 
-SF = "/root/testdata/sf0.001"
+#: Queries are held against SQL on these tables.
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def made(spark, rows):

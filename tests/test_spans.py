@@ -1,5 +1,6 @@
 """The span engine: validators, interval algebra, cases of acts, and queries against DuckDB."""
 
+import os
 import random
 
 import duckdb
@@ -16,7 +17,8 @@ from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
 from veilframe.plans.pipeline import analysed
 from veilframe.sources import files
 
-SF = "/root/testdata/sf0.001"
+#: Queries are held against SQL on these tables.
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 #: text, names, expected (text, category, proposal key, decision), texts that stay
 CASES = [

@@ -127,8 +127,8 @@ def places(text: Column) -> Column:
 ABBREVIATIONS = (
     "n nn art artt c co d l lgs dott sig prot rif all cap pag tel cell fax ss ing avv geom arch rag prof"
 ).split()
-#: A dot that ends a sentence.
-FINAL_DOT = r"(?iu)(?<!\p{L}\.\p{L})(?<!(?:^|[\s\x{A0}\p{Z}])(?:" + "|".join(ABBREVIATIONS) + r"))\.(?=[\s\x{A0}\p{Z}]|\z)"
+#: A dot that ends a sentence; what stands before it is looked at where there is a dot only.
+FINAL_DOT = r"(?iu)\.(?=[\s\x{A0}\p{Z}]|\z)(?<!\p{L}\.\p{L}\.)(?<!(?:^|[\s\x{A0}\p{Z}])(?:" + "|".join(ABBREVIATIONS) + r")\.)"
 STOP = "\u0003"
 
 
