@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from veilframe.functions import patterns, validators
+from veilframe.operators import layout
 from veilframe.operators.names import entities_of
 from veilframe.operators.overlap import _resolve
 from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
@@ -141,11 +142,19 @@ def test_envelopes(spark):
     assert [got[i][1] for i in range(2, 8)] == ["detached", "truncated", "not signed data", "not signed data", "no document inside", "not signed data"]
 
 
-def test_boxes(spark):
-    pages = spark.createDataFrame([(1, 1, "ab cd\n\nef gh")], "doc_id long, page int, text string")
-    findings = spark.createDataFrame([(1, 1, 0, 3, 9)], "doc_id long, page int, seq long, start int, end int")
-    got = sorted((r.x, r.y, r.w) for r in files.boxes(findings, files.segments(pages)).collect())
-    assert got == [(50.0, 672.0, 11.0), (66.5, 700.0, 11.0)]
+def test_plain_text_as_runs(spark):
+    texts = ["ab cd\n\nef gh", "\n \n x\n\t\n\ny \n", "", None, "\n\n", "a\r\nb"]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id long, page int, text string")
+    runs = files.segments(pages)
+    got = sorted((r.doc_id, r.seg, r.str, r.y, r.w) for r in runs.collect())
+    assert got == [(0, 0, "ab cd\n", 700.0, 27.5), (0, 2, "ef gh", 672.0, 27.5), (1, 2, " x\n\n", 672.0, 11.0), (1, 5, "y \n", 630.0, 11.0), (5, 0, "a\r", 700.0, 11.0), (5, 1, "b", 686.0, 5.5)]
+    placed = layout.placed_runs(runs, reorder=False)
+    assert {r.doc_id: r.text for r in layout.page_texts(placed).collect()} == {0: "ab cd\n\nef gh", 1: " x\n\n\ny \n", 5: "a\r\nb"}
+    findings = spark.createDataFrame([(0, 1, 0, 3, 9)], "doc_id long, page int, seq long, start int, end int")
+    found = [(round(b.x, 2), b.y, round(b.w, 2)) for r in layout.span_boxes(findings, placed).collect() for b in r.boxes]
+    # the line feed has its share of the first run's width
+    assert sorted(found) == [(50.0, 672.0, 11.0), (63.75, 700.0, 13.75)]
+    assert {r.y for r in files.segments(pages, files.HEAD).where("doc_id = 0").collect()} == {820.0, 792.0}
 
 
 def test_stream(spark, tmp_path):

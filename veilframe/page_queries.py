@@ -135,6 +135,40 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer.mask_modes(found, layout.span_boxes(found, runs)).select("doc_id", "mask_mode", "no_room")
 
 
+def _document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
+    return layout.placed_runs(files.segments(pages))
+
+
+def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as runs of lines, read back to pages of text."""
+    runs = _document_runs(spark, sf_dir)
+    read = layout.page_texts(runs).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+    return read.join(runs.groupBy("doc_id").agg(F.count("*").alias("n_runs")), "doc_id")
+
+
+def _line_findings(runs: DataFrame) -> DataFrame:
+    """A finding in every third run of a page: up to 8 characters from its second on."""
+    rows = runs.where("place % 3 = 1 and length(str) > 2")
+    stop = F.col("start") + F.least(F.length("str") - 1, F.lit(9))
+    return rows.select("doc_id", "page", F.col("place").cast("long").alias("seq"), (F.col("start") + 1).alias("start"), stop.alias("end"), F.lit("mask").alias("decision"))
+
+
+def document_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of findings in the lines of whole documents, in hundredths of a point."""
+    runs = _document_runs(spark, sf_dir)
+    rows = layout.span_boxes(_line_findings(runs), runs).select("doc_id", "seq", F.explode("boxes").alias("b"))
+    return rows.select("doc_id", "seq", *[F.round(F.col(f"b.{c}") * 100).cast("long").alias(c) for c in "xywh"])
+
+
+def document_clear_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What masks in every third line leave of whole documents."""
+    runs = _document_runs(spark, sf_dir)
+    found = _line_findings(runs)
+    rows = layer.clear_pieces(runs, found, layout.span_boxes(found, runs))
+    return _long(rows.select("doc_id", "start", "end", F.md5("text").alias("digest")), "start", "end")
+
+
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in pieces for a recognizer."""
     pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
@@ -229,7 +263,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         read_pages, finding_boxes, joined_areas, area_findings, text_findings, restored_findings, spread_decisions, page_routes, recognized_words,
-        scan_kinds, clear_text, mask_labels, text_chunks, token_persons, citations, panel_order, sql_views, signature_images,
+        scan_kinds, clear_text, mask_labels, document_pages, document_boxes, document_clear_text, text_chunks, token_persons, citations, panel_order, sql_views, signature_images,
         findings_table, file_names,
     )
 }
@@ -283,7 +317,32 @@ _CONTACT_TEXT = {
 }
 _IS_MASKED = f"c_custkey % {len(cases.CONTACTS)} IN ({', '.join(str(n) for n, c in enumerate(cases.CONTACTS) if c[5] == 'mask')})"
 
+_BLANK = "regexp_full_match(s, '[\\x{09}-\\x{0D}\\x{20}\\x{A0}\\x{2028}\\x{2029}\\x{FEFF}]*')"
+#: Runs of documents: place, str, n characters, w, y, and start of each run in its page's text.
+_LINES = f"""lines AS (SELECT doc_id, CAST(i AS BIGINT) AS i, l[i + 1] AS s, len(l) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(len(l))) AS u(i)),
+shown AS (SELECT doc_id, i, s || repeat(chr(10), CAST(coalesce(lead(i) OVER d, n) - i - 1 AS BIGINT)) AS str, greatest(1.0, 5.5 * length(s)) AS w, 700 - 14 * i AS y
+  FROM lines WHERE NOT {_BLANK} WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT *, row_number() OVER d - 1 AS place, length(str) AS n, CAST(sum(length(str) + 1) OVER d AS BIGINT) - length(str) - 1 AS start
+  FROM shown WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+found AS (SELECT *, 1 AS a, least(n - 1, 9) AS b FROM runs WHERE place % 3 = 1 AND n > 2 AND trim(substr(str, 2, least(n - 2, 8))) <> '')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "document_pages": f"""
+WITH {_LINES}, t AS (SELECT doc_id, count(*) AS n_runs, string_agg(str, chr(10) ORDER BY place) AS text FROM runs GROUP BY doc_id),
+-- an underscore stays between letters or digits only
+u AS (SELECT doc_id, n_runs, regexp_replace(regexp_replace(text, '(^|[^\\p{{L}}\\p{{N}}])_', '\\1 ', 'g'), '_([^\\p{{L}}\\p{{N}}]|$)', ' \\1', 'g') AS text FROM t)
+SELECT doc_id, n_runs, length(text) AS n_chars, md5(text) AS digest FROM u""",
+    "document_boxes": f"""
+WITH {_LINES} SELECT doc_id, place AS seq, CAST(round(100 * (50 + w * a / n)) AS BIGINT) AS x, CAST(100 * y AS BIGINT) AS y,
+  CAST(round(100 * (w * (b - a) / n)) AS BIGINT) AS w, CAST(1100 AS BIGINT) AS h FROM found""",
+    "document_clear_text": f"""
+WITH {_LINES},
+-- the mask is 1.2 points wider on both sides; a character goes that it touches by more than 0.05
+cut AS (SELECT r.doc_id, r.start, r.str, r.n, f.a - CAST(ceil(1.15 * r.n / r.w) AS BIGINT) AS a, f.b + CAST(ceil(1.15 * r.n / r.w) AS BIGINT) AS b
+  FROM runs r LEFT JOIN found f USING (doc_id, place)),
+pieces AS (SELECT doc_id, start, str, unnest(CASE WHEN a IS NULL THEN [[0, n]] ELSE [[0, greatest(a, 0)], [least(b, n), n]] END) AS g FROM cut)
+SELECT doc_id, start + g[1] AS start, start + g[2] AS "end", md5(substr(str, g[1] + 1, g[2] - g[1])) AS digest FROM pieces
+WHERE trim(substr(str, g[1] + 1, g[2] - g[1])) <> ''""",
     "read_pages": f"""
 WITH {_RUNS}, shown AS (SELECT o_orderkey, i, CASE WHEN i = 0 THEN '' WHEN i % 2 = 0 THEN chr(10) WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END
   || 'voce ' || i || CASE WHEN (o_orderkey + i) % 2 = 0 THEN '     ' ELSE ' a_bc' END AS part FROM runs)

@@ -179,27 +179,26 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return opened(read).drop("content")
 
 
-def segments(pages: DataFrame, top: float = 700.0) -> DataFrame:
-    """One text run for each line that is not blank: 11 points high, 14 points below the one
-    before, 5.5 points for each character; start is its place in the page's text."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = pages.select("doc_id", "page", F.posexplode(lines).alias("line", "str"), lines.alias("lines"))
-    start = F.aggregate(F.slice("lines", 1, F.col("line")), F.lit(0), lambda n, x: n + F.length(x) + 1)
-    return rows.where("trim(str) <> ''").select(
-        "doc_id", "page", "line", "str", start.alias("start"), F.lit(50.0).alias("x"), (F.lit(top) - 14.0 * F.col("line")).alias("y"),
-        F.greatest(F.lit(1.0), 5.5 * F.length("str")).alias("w"), F.lit(11.0).alias("h"),
-    )
+#: Where the first line of a plain text stands: below a page's head, or in it.
+BODY, HEAD = 700.0, 820.0
+BLANK = r"^[\x09-\x0D\x20\u00A0\u2028\u2029\uFEFF]*$"
+
 
+def segments(pages: DataFrame, top: float = BODY) -> DataFrame:
+    """Plain text (doc_id, page, text) as runs for layout: one for each line that is not blank,
+    11 points high, 14 points below the line before, 5.5 points for each character, 1 at least.
 
-def boxes(findings: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, page, seq, x, y, w, h: a rectangle for each text run that a finding touches, its
-    share of the run's width by characters."""
-    met = findings.where("start is not null").select("doc_id", "page", "seq", F.col("start").alias("a"), F.col("end").alias("b"))
-    n = F.length("str")
-    met = met.join(runs, ["doc_id", "page"]).where((F.col("start") < F.col("b")) & (F.col("start") + n > F.col("a")))
-    first = F.greatest(F.col("a") - F.col("start"), F.lit(0))
-    last = F.least(F.col("b") - F.col("start"), n)
-    part = F.trim(F.substring("str", first + 1, last - first))
-    return met.where(part != "").select(
-        "doc_id", "page", "seq", (F.col("x") + F.col("w") * first / n).alias("x"), "y", (F.col("w") * (last - first) / n).alias("w"), "h"
-    )
+    A blank line moves on as any other and leaves a line feed at the end of the run before, so
+    that paragraphs stay apart; blank lines before the first run leave nothing. Null and blank
+    texts have no run. seg counts the page's lines, blank ones too."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    shown = F.filter(F.transform(lines, lambda s, i: F.struct(i.alias("seg"), s.alias("line"))), lambda r: ~r["line"].rlike(BLANK))
+    rows = pages.select("doc_id", "page", F.size(lines).alias("n"), shown.alias("shown"))
+    after = lambda i: F.coalesce(F.get("shown", i + 1)["seg"], F.col("n"))
+    runs = F.transform("shown", lambda r, i: F.struct(r["seg"], r["line"], (after(i) - r["seg"] - 1).alias("blank")))
+    rows = rows.select("doc_id", "page", F.explode(runs).alias("r")).select("doc_id", "page", "r.*")
+    return rows.select(
+        "doc_id", "page", "seg", F.concat("line", F.repeat(F.lit("\n"), F.col("blank"))).alias("str"),
+        F.lit(50.0).alias("x"), (F.lit(top) - 14.0 * F.col("seg")).alias("y"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"),
+        F.greatest(F.lit(1.0), 5.5 * F.length("line")).alias("w"), F.lit(11.0).alias("h"), F.lit(True).alias("line_end"),
+    )
