@@ -165,6 +165,33 @@ def test_stream(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["347 1234567"]
 
 
+def test_stream_of_runs(spark, tmp_path):
+    from veilframe.plans.staging import shared_dir
+    from veilframe.streaming.ingest import analyse_stream, pages_stream, runs_stream
+
+    place = {k: str(tmp_path / k) for k in ("in", "out", "clear", "c")}
+    names = spark.createDataFrame([(1, "Mario Rossi"), (2, "Anna Verdi")], "doc_id long, name string")
+    texts = [(1, 1, "Si liquida a favore di Mario Rossi\nla somma di euro 500,00."), (2, 1, "Il RUP Anna Verdi.\ncell 347 1234567")]
+    staged_before = _staged(spark, shared_dir(spark))
+    for row in texts:
+        runs = files.segments(spark.createDataFrame([row], "doc_id long, page int, text string"))
+        runs.drop("line_end").coalesce(1).write.mode("append").parquet(place["in"])
+        query = analyse_stream(runs_stream(spark, place["in"]), place["out"], place["c"], "publish", lambda pages: entities_of(pages, names), place["clear"])
+        query.awaitTermination()
+    found = {(r.doc_id, r.batch, r.text, r.decision) for r in spark.read.parquet(place["out"]).collect()}
+    assert {(1, 0, "Mario Rossi", "mask"), (2, 1, "Anna Verdi", "keep"), (2, 1, "347 1234567", "mask")} <= found
+    left = {r.doc_id: r.redacted_text for r in spark.read.parquet(place["clear"]).collect()}
+    assert "Mario" not in left[1] and left[2].startswith("Il RUP Anna Verdi.") and "347" not in left[2]
+    assert _staged(spark, shared_dir(spark)) == staged_before
+    with pytest.raises(ValueError):
+        analyse_stream(pages_stream(spark, place["in"]), place["out"], place["c"], clear=place["clear"])
+
+
+def _staged(spark, place):
+    folder = place.removeprefix("file://") + "/spans"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
 SPANS = sorted(__spark_entry__.spans.ORACLE_SQL)
 
 

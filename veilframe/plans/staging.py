@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at its end, errors or not, so what is made of them must
+    have been written by then. One inside another has a folder of its own."""
+    place = f"{shared_dir(spark)}/spans/{uuid.uuid4().hex}"
+    token = _scratch.set(place)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once and read again: later steps neither repeat its work nor carry its plan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spans/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark) + '/spans'}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
