@@ -83,7 +83,7 @@ def test_templates_and_purity(spark):
 def plain_verdicts(table, marks):
     """Templates and verdicts by the rules of the module, host by host, without Spark."""
     import re
-    from math import asin, floor, sqrt
+    from math import sqrt
 
     def kind(x):
         name, ending = re.match(r"[^.]*", x)[0], (re.search(r"(\.[a-z]{1,5})\Z", x) or [""])[0]
@@ -110,7 +110,16 @@ def plain_verdicts(table, marks):
         for r in more:
             children[r[1][depth]].append(r)
         wild = len(children) > urls.MANY and len(more) < urls.THIN * len(children)
-        bins = {c: floor(asin(sqrt(score(rs))) * 2 / (urls.SIGMA / urls.PRIOR**0.5)) for c, rs in children.items()}
+        def evidence(rs):
+            return score(rs), sum(k in marks for k, _ in rs) + urls.PRIOR
+
+        bins, number, last = {}, 0, None
+        for c in sorted(children, key=lambda c: evidence(children[c])):
+            share, n = evidence(children[c])
+            if last:
+                mean = (last[0] * last[1] + share * n) / (last[1] + n)
+                number += share - last[0] > urls.ERRORS * sqrt(mean * (1 - mean) * (1 / last[1] + 1 / n))
+            bins[c], last = number, (share, n)
         count, merged_ = Counter(bins.values()), defaultdict(list)
         for c, rs in children.items():
             merged_["*" if wild else f"~{bins[c]}" if count[bins[c]] > 1 else c] += rs
@@ -130,6 +139,19 @@ def plain_verdicts(table, marks):
     return out
 
 
+def test_branches_merge_by_their_evidence(spark):
+    # two branches with shares 0.4 and 0.6: few pages do not tell them apart, many do
+    for each, one in ((10, True), (400, False)):
+        rows = [(b * each + i, f"http://h.example.com/{'ab'[b]}/{i}", int(i % 10 < (4, 6)[b])) for b in (0, 1) for i in range(each)]
+        pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+        labels = spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int")
+        found = urls.judge(pages, labels).collect()
+        heads = {r.template.split("/")[1] for r in found}
+        assert heads == ({"~0"} if one else {"a", "b"})
+        if not one:
+            assert {(r.path[1], r.verdict) for r in found} == {("a", "block"), ("b", "allow")}
+
+
 def test_url_tree_against_brute_force(spark):
     rng = random.Random(7)
     table, marks = [], {}

@@ -7,11 +7,12 @@ Parsing and rules: see parsed() and ruled(). For urls without a rule the method
    from its root: a node's children are the next segments of its paths.
 2. Where a node's children are many and thin (over MANY distinct ones with fewer than THIN
    urls each on average), all become one wildcard "*".
-3. Other children merge where they are statistically alike: the share of good pages of each,
-   smoothed by PRIOR pages of the overall share, is put on the scale of its arcsine, on which
-   all shares have one standard error, and cut into bins of SIGMA errors of PRIOR pages.
-   Children of one bin become one branch ("~" and the bin), whose own children are then
-   those of all of them.
+3. Other children merge where they are statistically alike. Each has a share of good pages,
+   smoothed by PRIOR pages of the overall share. Sorted by it, neighbours stay together while
+   they differ by no more than ERRORS standard errors of the difference of two shares, of
+   known + PRIOR pages each: thin branches merge easily, well-known ones only if they are
+   equal. Children that stay together become one branch ("~" and its number from the worst),
+   whose own children are then those of all of them.
 4. Nodes with fewer than SPLIT urls are not split further; what is left of their paths is
    "**". All other paths are followed to their ends, however deep.
 5. A template's purity is the share of good pages among its labelled ones, smoothed alike.
@@ -21,20 +22,21 @@ Parsing and rules: see parsed() and ruled(). For urls without a rule the method
 All of it is joins and group-bys; the tree is built from distinct paths with counts, and rows
 meet what becomes of their segment by (host, node, segment), so that a hot host is spread over
 its branches. What is joined to pages and paths is read from files, so that Spark splits what
-is hot even so.
+is hot even so. Neighbours are told apart among a node's distinct pairs of counts, which are few:
+a node with K labelled pages has at most about K ** (2/3) of them.
 
 Labels are given for pages: a label's doc_id is taken as the page_id that it speaks of.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import stage
 
 MANY, THIN, SPLIT = 20, 3.0, 10
-SIGMA, PRIOR, PURITY = 1.96, 20.0, 0.5
+ERRORS, PRIOR, PURITY = 1.0, 20.0, 0.5
 #: host suffix, path prefix, verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -72,9 +74,21 @@ def _kind(segment: Column) -> Column:
     return F.coalesce(F.concat(kind, ending), segment)
 
 
-def _bin(good: Column, known: Column, base: float) -> Column:
-    share = (good + F.lit(PRIOR * base)) / (known + F.lit(PRIOR))
-    return F.floor(F.asin(F.sqrt(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))) * 2 / F.lit(SIGMA / PRIOR**0.5)).cast("int")
+def _branches(children: DataFrame, base: float) -> DataFrame:
+    """host, template, good, known, branch (a number within the node, from the worst share) and
+    like, the number of children in that branch."""
+    node, n = ["host", "template"], F.col("known") + F.lit(PRIOR)
+    pairs = children.groupBy(*node, "good", "known").agg(F.count("*").alias("m"))
+    pairs = pairs.withColumns({"share": (F.col("good") + F.lit(PRIOR * base)) / n, "n": n})
+    order = Window.partitionBy(*node).orderBy("share", "n")
+    far = pairs.withColumns({"s": F.lag("share").over(order), "k": F.lag("n").over(order)})
+    mean = (F.col("s") * F.col("k") + F.col("share") * F.col("n")) / (F.col("k") + F.col("n"))
+    error = F.sqrt(mean * (1 - mean) * (1 / F.col("k") + 1 / F.col("n")))
+    fresh = F.coalesce(F.col("share") - F.col("s") > ERRORS * error, F.lit(False))
+    told = far.withColumn("fresh", fresh.cast("int"))
+    told = told.withColumn("branch", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    like = F.sum("m").over(Window.partitionBy(*node, "branch"))
+    return told.select(*node, "good", "known", "branch", like.alias("like"))
 
 
 def templates(paths: DataFrame, base: float) -> DataFrame:
@@ -98,11 +112,10 @@ def templates(paths: DataFrame, base: float) -> DataFrame:
             return _all(done)
         wild = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
         wild = stage(wild.where((F.col("kinds") > MANY) & (F.col("n") < F.lit(THIN) * F.col("kinds"))).select("host", "template", F.lit(True).alias("wild")), "wild")
-        binned = children.withColumn("bin", _bin(F.col("good"), F.col("known"), base))
-        alike = stage(binned.groupBy("host", "template", "bin").agg(F.count("*").alias("like")).where("like > 1"), "alike")
-        become = binned.join(wild, ["host", "template"], "left").join(alike, ["host", "template", "bin"], "left").select(
+        branches = stage(_branches(children, base), "branches")
+        become = children.join(wild, ["host", "template"], "left").join(branches, ["host", "template", "good", "known"]).select(
             "host", "template", "own",
-            F.when(F.col("wild"), "*").when(F.col("like").isNotNull(), F.concat(F.lit("~"), F.col("bin"))).otherwise(F.col("own")).alias("step"),
+            F.when(F.col("wild"), "*").when(F.col("like") > 1, F.concat(F.lit("~"), F.col("branch"))).otherwise(F.col("own")).alias("step"),
         )
         rows = open_.join(stage(become, "steps"), ["host", "template", "own"])
         rows = stage(rows.withColumn("template", F.concat("template", F.lit("/"), "step")).select(*given, "segments", "template"), "tree")
