@@ -137,7 +137,8 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(1).alias("page"), "text")
-    return layout.placed_runs(files.segments(pages))
+    # lines stand in their order already: no fold, and what joins by page keeps the partitions
+    return layout.placed_runs(files.segments(pages), reorder=False)
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
