@@ -60,7 +60,12 @@ def clear_pieces(runs: DataFrame, findings: DataFrame, boxes: DataFrame) -> Data
         own = share_of_run(i / F.col("n"), (i + 1) / F.col("n"))
         return let(own, lambda c: F.exists("masks", lambda b: covered(c, b, TOUCH)))
 
-    touched = F.filter(F.sequence(F.lit(0), F.col("n") - 1), is_touched)
+    # a lying run's characters under no mask's width, one more on each side, need no look
+    share = lambda at: F.when((F.col("dx") == 1) & (F.col("dy") == 0), F.try_divide((at - F.col("x")) * F.col("n"), F.col("w")))
+    within = lambda i, other: F.least(F.greatest(F.coalesce(i, other), F.lit(0)), F.col("n") - 1).cast("int")
+    low = within(F.floor(share(F.array_min(F.transform("masks", lambda b: b["x"])))) - 1, F.lit(0))
+    high = within(F.ceil(share(F.array_max(F.transform("masks", lambda b: b["x"] + b["w"])))) + 1, F.col("n") - 1)
+    touched = F.filter(F.sequence(low, F.greatest(low, high)), is_touched)
     below = F.transform(touched, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
     gone = F.when(F.col("whole") & (F.size("masks") > 0), all_of_it).when(F.size("masks") > 0, F.concat(inner, below)).otherwise(inner)
