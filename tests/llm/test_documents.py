@@ -105,6 +105,28 @@ def test_simhash(spark, docs, empty, monkeypatch, cell):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_homes_of_one_anchor_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 16)
+    # one home for all, as they differ in the last 18 bits only: pairs one bit apart, other texts four or more
+    words = []
+    for w in range(0, 1 << 16, 3):
+        if len(words) < 100 and all((w ^ v).bit_count() > 3 for v in words):
+            words.append(w)
+    pairs = [(w << 46, w << 46 | 1 << 62) for w in words]
+    fps = np.array([x for p in pairs for x in p], np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.linked(nodes).collect()}
+    assert len(pairs) > 20 and found == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+
+
+def test_simhash_counts_the_highest_bit(spark):
+    base = 0x0123456789ABCDEF
+    prints = [base, base ^ 1 << 63 ^ 1, base ^ 1 << 63 ^ 1 << 40 ^ 1 << 20]
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
+    found = {tuple(sorted((r.a, r.b))) for r in simhash.linked(spark.createDataFrame(rows, "fp long, node long")).collect()}
+    assert found == {(0, 1)}
+
+
 def test_simhash_of_a_tight_ball(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 16)
     base = 0x0123456789ABCDEF

@@ -14,9 +14,9 @@ sent home, and homes are compared with replicas anchor by anchor on all 64 bits.
 missed: the covering is exact.
 
 Scale. Equal fingerprints are one node, whatever their number. An anchor's rows are cut into
-cells of bounded size (blocks of homes times blocks of replicas, from counts of the crowded
-anchors), so that one crowded anchor is many tasks and no task holds more than two blocks of
-it. A cell yields a spanning forest of its links, never all pairs, and components are
+cells of bounded size (blocks of homes times blocks of replicas, homes among them, from counts
+of the crowded anchors), so that one crowded anchor is many tasks and no task holds more than
+two blocks of it. A cell yields a spanning forest of its links, never all pairs, and components are
 found by alternating stars.
 """
 
@@ -159,6 +159,7 @@ def _compare(threshold: int):
     """Links inside each cell of a partition that is sorted by anchor, cell."""
 
     def links(anchor, cell, home, fp, node) -> tuple[list[int], list[int]]:
+        fp = fp.view(np.uint64)  # bits of a negative number would be counted in its absolute value
         cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])) + 1
         firsts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
         at = np.cumsum(np.concatenate(([0], home)))
@@ -216,6 +217,8 @@ def linked(nodes: DataFrame, threshold: int = 2) -> DataFrame:
         placed.join(crowded, "anchor", "left")
         .withColumn("hb", F.coalesce("hb", F.lit(1)))
         .withColumn("nb", F.coalesce("nb", F.lit(1)))
+        # homes in different blocks meet as home and replica, so each is both where there are several
+        .withColumn("home", F.explode(F.when(F.col("home") & (F.col("hb") > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array("home"))))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("nb"))))
         .withColumn(  # a home meets each block of replicas, a replica each block of homes
             "other", F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("nb")).otherwise(F.col("hb")).cast("int") - 1))
