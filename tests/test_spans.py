@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from veilframe.functions import patterns, validators
 from veilframe.operators import layout
+from veilframe.operators.detect import detect, prepared
 from veilframe.operators.names import entities_of
 from veilframe.operators.overlap import _resolve
 from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
@@ -205,3 +206,9 @@ def test_query_agrees_with_sql(spark, name):
     columns = ", ".join(f'"{c}"' for c in names)
     expected = db.sql(f"SELECT {columns} FROM ({__spark_entry__.spans.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, expected))
+
+
+def test_house_numbers_of_any_length(spark):
+    rows = spark.createDataFrame([(n, 1, f"Consegna in via Garibaldi {10**n}, piano terra.") for n in range(8)], "doc_id long, page int, text string")
+    found = {r.doc_id: r.text for r in detect(prepared(rows)).where("detector = 'address'").collect()}
+    assert found == {n: f"via Garibaldi {10**n}" for n in range(8)}
