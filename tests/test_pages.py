@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilframe import page_queries
 from veilframe.operators import geometry, layer, layout, legal, manual, recognizer, scans
+from veilframe.sources import files
 from veilframe.sources.templates import FIRST
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +171,8 @@ def test_queries_agree_with_sql(spark, name):
     columns = [d[0] for d in told.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(map(repr, told.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_plain_text_is_an_office_file_where_it_is_asked_for(spark):
+    row = spark.range(1).select(files.kind(F.lit("a.txt")).alias("whole"), files.kind(F.lit("a.txt"), office=files.OFFICE_ONLY).alias("only"), files.kind(F.lit("a.odp"), office=files.OFFICE_ONLY).alias("odp")).first()
+    assert tuple(row) == ("office", "other", "office")

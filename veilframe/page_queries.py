@@ -243,11 +243,11 @@ def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of files and the names of what is made of them."""
+    """Kinds of files and the names of what is made of them, plain text being no office file here."""
     ends = ("PDF", "jpeg", "pdf.p7m", "docx", "png", "txt")
     path = F.concat(F.lit("a/b c/atto."), F.col("c_custkey").cast("string"), F.lit("."), F.expr(t.pick(ends, f"c_custkey % {len(ends)}")))
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), path.alias("path"))
-    return rows.select("id", files.kind(F.col("path")).alias("kind"), files.output_names(F.col("path"))["document"].alias("document"))
+    return rows.select("id", files.kind(F.col("path"), office=files.OFFICE_ONLY).alias("kind"), files.output_names(F.col("path"))["document"].alias("document"))
 
 
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 # ---- fixed values: the object identifier of signed data, and office file endings
 SIGNED_DATA = bytes.fromhex("06092a864886f70d010702")
 OFFICE = ("doc", "docx", "odt", "rtf", "xls", "xlsx", "ods", "ppt", "pptx", "odp", "txt")
+#: Office endings without plain text, which segments() takes as it is.
+OFFICE_ONLY = OFFICE[:-1]
 OFFICE_TYPES = "officedocument|opendocument|msword|ms-excel|ms-powerpoint|rtf|text/plain"
 # the long side of a page made of an image, in points
 LONG_SIDE = 841.89
@@ -21,14 +23,14 @@ LONG_SIDE = 841.89
 MOST_ENVELOPES = 4
 
 
-def kind(path: Column, mime: Column | None = None) -> Column:
+def kind(path: Column, mime: Column | None = None, office: tuple[str, ...] = OFFICE) -> Column:
     """pdf, image, signed, office or other, by the file's ending or, where that tells nothing, by
-    its media type if one is known."""
+    its media type if one is known. office: the endings of files that are to be saved as pdf first."""
     low, media = F.lower(F.coalesce(path, F.lit(""))), F.lower(F.coalesce(mime if mime is not None else F.lit(""), F.lit("")))
     return (
         F.when(low.endswith(".p7m"), "signed").when(low.endswith(".pdf") | (media == "application/pdf"), "pdf")
         .when(low.rlike(r"\.(?:jpe?g|png)\z") | media.isin("image/jpeg", "image/png"), "image")
-        .when(low.rlike(r"\.(?:" + "|".join(OFFICE) + r")\z") | media.rlike(OFFICE_TYPES), "office").otherwise("other")
+        .when(low.rlike(r"\.(?:" + "|".join(office) + r")\z") | media.rlike(OFFICE_TYPES), "office").otherwise("other")
     )
 
 
