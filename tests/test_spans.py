@@ -17,6 +17,7 @@ from veilframe.operators.names import entities_of
 from veilframe.operators.overlap import _resolve
 from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
 from veilframe.plans.pipeline import analysed
+from veilframe.plans.staging import staged
 from veilframe.sources import files
 
 #: Queries are held against SQL on these tables.
@@ -212,3 +213,10 @@ def test_house_numbers_of_any_length(spark):
     rows = spark.createDataFrame([(n, 1, f"Consegna in via Garibaldi {10**n}, piano terra.") for n in range(8)], "doc_id long, page int, text string")
     found = {r.doc_id: r.text for r in detect(prepared(rows)).where("detector = 'address'").collect()}
     assert found == {n: f"via Garibaldi {10**n}" for n in range(8)}
+
+
+def test_few_bytes_of_many_rows_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(400_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit("Il sig. Mario Rossi abita qui. " * 8).alias("text"))
+    pages = staged(rows.coalesce(1), "many")
+    plan = pages.join(pages.select("doc_id", F.col("text").alias("t")), "doc_id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

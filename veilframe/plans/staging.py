@@ -40,9 +40,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Texts and findings that repeat take up to this many times their bytes in a file.
+COMPRESSED = 100.0
+
+
+def sized(spark: SparkSession) -> float:
+    """Has the planner take a file as COMPRESSED times its bytes (a session setting, which is only
+    ever raised), else a file of few bytes and millions of rows is sent whole to driver and
+    executors. Gives the factor in force."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(name)) < COMPRESSED:
+        spark.conf.set(name, str(COMPRESSED))
+    return float(spark.conf.get(name))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once and read again: later steps neither repeat its work nor carry its plan."""
     spark = df.sparkSession
+    sized(spark)
     path = f"{_scratch.get() or shared_dir(spark) + '/spans'}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,5 +71,6 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table in as many tasks as there are cores: few bytes of text can be long work. The
     planner's estimate tells, so nothing is run for it; a large table comes in tasks enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    factor = sized(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / factor
     return df.repartition(cores) if size < SMALL * cores else df
