@@ -176,3 +176,11 @@ def test_queries_agree_with_sql(spark, name):
 def test_plain_text_is_an_office_file_where_it_is_asked_for(spark):
     row = spark.range(1).select(files.kind(F.lit("a.txt")).alias("whole"), files.kind(F.lit("a.txt"), office=files.OFFICE_ONLY).alias("only"), files.kind(F.lit("a.odp"), office=files.OFFICE_ONLY).alias("odp")).first()
     assert tuple(row) == ("office", "other", "office")
+
+
+def test_images_are_not_multiplied_by_the_columns_they_reach(spark):
+    views = spark.sql("SELECT 1L AS doc_id, 1 AS page, 0D AS left, 0D AS low, 400D AS width, 400D AS height")
+    images = spark.sql("SELECT 1L AS doc_id, 1 AS page, CAST(10 * id AS DOUBLE) AS x, 0D AS y, 20D AS w, 10D AS h FROM range(3)")
+    made = scans.image_cover(views, images)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.cover, r.largest) for r in made.collect()] == [(4 / 1600, 200 / 160000)]

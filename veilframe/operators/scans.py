@@ -31,11 +31,13 @@ def image_cover(views: DataFrame, images: DataFrame) -> DataFrame:
         for a, s, o, w in (("x", "w", "left", "width"), ("y", "h", "low", "height"))
     ]
     met = met.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1, "share": sides[0] * sides[1] / (F.col("width") * F.col("height"))})
-    columns = F.when((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")), F.sequence("x0", F.col("x1") - 1))
-    rows = met.select("doc_id", "page", "share", bits.alias("bits"), F.explode_outer(columns).alias("column"))
-    rows = rows.groupBy("doc_id", "page", "column").agg(F.bit_or(F.when(F.col("column").isNotNull(), F.col("bits"))).alias("bits"), F.max("share").alias("share"))
-    cells = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
-    return rows.groupBy("doc_id", "page").agg((cells / (GRID * GRID)).alias("cover"), F.max("share").alias("largest"))
+    seen = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    met = met.select("doc_id", "page", "share", *[F.when(seen, F.col(c)).alias(c) for c in ("x0", "x1")], bits.alias("bits"))
+    # one row for each page, with a number for each column of the grid: images are not multiplied by the columns they reach
+    drawn = [F.bit_or(F.when((F.col("x0") <= i) & (F.col("x1") > i), F.col("bits"))).alias(f"c{i}") for i in range(GRID)]
+    rows = met.groupBy("doc_id", "page").agg(*drawn, F.max("share").alias("largest"))
+    cells = F.aggregate(F.array(*[F.col(f"c{i}") for i in range(GRID)]), F.lit(0).cast("long"), lambda n, c: n + F.coalesce(F.bit_count(c), F.lit(0)))
+    return rows.select("doc_id", "page", (cells / (GRID * GRID)).alias("cover"), "largest")
 
 
 def page_routes(views: DataFrame, runs: DataFrame, images: DataFrame) -> DataFrame:
