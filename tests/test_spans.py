@@ -2,6 +2,7 @@
 
 import os
 import random
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from veilframe.functions import patterns, validators
 from veilframe.operators import layout
-from veilframe.operators.detect import detect, prepared
+from veilframe.operators.detect import DETECTORS, detect, prepared
 from veilframe.operators.names import entities_of
 from veilframe.operators.overlap import _resolve
 from veilframe.operators.redact import OMISSIS, PSEUDONYM, redacted
@@ -220,3 +221,31 @@ def test_few_bytes_of_many_rows_are_not_broadcast(spark, tmp_path):
     pages = staged(rows.coalesce(1), "many")
     plan = pages.join(pages.select("doc_id", F.col("text").alias("t")), "doc_id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_quick_looks_lose_no_match(spark):
+    """Detectors find the same with what tells where to look as without."""
+    heads = {
+        "legge": "legge n. 104/92", "art": "art. 3, comma 1, legge 104", "equo": "equo indennizzo", "TSO": "TSO", "HIV": "hiv", "autosuff": "non autosufficiente", "vedent": "non vedenti",
+        "asm": "asma", "asmatic": "asmatica", "cure": "cure mediche", "genetic": "dati genetici", "test": "test genetico", "DNA": "DNA", "biometric": "dato biometrico", "vita": "vita sessuale",
+        "sesso": "attribuzione di sesso", "etni": "etnie", "RSU": "RSU", "CGIL": "CGIL", "UIL": "uil", "NURSIND": "NURSIND", "citazione": "atto di citazione", "precetto": "atto di precetto",
+        "TAR": "TAR", "RG": "R.G. n. 12/2020", "ISEE": "ISEE", "casa": "casa famiglia", "buon": "buoni spesa", "odd": "ſfratto", "dotless": "ınvalidità", "dotted": "İCTUS", "kelvin": "parKinson",
+    }
+    lists = [x.removeprefix(r"\b").split("[")[0].split("(")[0].split("\\")[0] for d in DETECTORS for x in d.words]
+    texts = [f"{a}{w}{b}" for w in [*heads.values(), *lists] for a, b in (("Qui ", " oggi."), ("é", "è"), ("", ""))]
+    texts += [f"La {w.upper()} ieri" for w in heads.values()]
+    texts += [
+        "80380 00000 11111 22222", "IT60X0542811101000000123456", "c/c n. 1234567", "c. c. postale 1234567", "4111 1111 1111 1111", "333 1234567", "TEL. 090 1234567", "A.B@gmail.com",
+        "RESIDENTE in Roma", "via Roma n. 12", "C. I. n. AB1234567", "NATA a Roma il 01/02/1970;", "nato a Roma\n il 01/02/1970", "residente in Roma\n", "\n via Roma\n", "DATA DI NASCITA: marzo", "Vedova",
+        "stato civile: libero", "NUCLEO familiare di 3 persone", "Il sottoscritto Mario Rossi", "ISTANTE Anna De Bianchi", "Signora Bianchi", "Dott.ssa Anna Bianchi", "Dr. Rossi", "p. iva: IT 00743110157",
+        "licenziamento", "MOROSITÀ", "RSSMRA70A01H501S",
+    ]
+    pages = prepared(spark.createDataFrame([(i, 1, x) for i, x in enumerate(texts)], "doc_id long, page int, text string"))
+    plain = tuple(replace(d, literals=(), digit=False, words=()) for d in DETECTORS)
+    found = [{tuple(r) for r in detect(pages, d).select("doc_id", "start", "end", "detector").collect()} for d in (plain, DETECTORS)]
+    assert found[0] == found[1]
+    assert {d.name for d in DETECTORS} == {d for *_, d in found[0]}
+    assert all(d.literals or d.digit or d.words or d.name == "tax-code" for d in DETECTORS)
+    # a text that does not hold what a detector wants is not looked at
+    idle = tuple(replace(d, literals=("@@@",), digit=False, words=()) for d in DETECTORS)
+    assert detect(pages.where("not contains(text, 'ſ') and not contains(text, 'ı') and not contains(text, 'İ')"), idle).isEmpty()

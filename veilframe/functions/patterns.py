@@ -27,6 +27,24 @@ def union(patterns: tuple[str, ...], bounded: bool = False) -> str:
     return r"(?<![\p{L}\p{N}])" + found + r"(?![\p{L}\p{N}])" if bounded else found
 
 
+#: Characters that count as i or s where case is ignored, but that lower-casing leaves.
+ODD_LETTERS = "ıİſ"
+#: Letters of a word that are compared first.
+BEGIN = 5
+
+
+def stems(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """The letters that each pattern begins with, up to BEGIN, in small letters. A pattern must
+    begin with as many letters, none of them optional."""
+    found = [re.match(rf"([A-Za-z]{{{BEGIN}}})(?![?*{{])", p) for p in patterns]
+    return tuple(dict.fromkeys(m[1].lower() for m in found))
+
+
+def beginnings(low: Column) -> Column:
+    """The first letters of all words of a text in small letters, three at least and BEGIN at most."""
+    return F.regexp_extract_all(low, F.lit(f"([a-z]{{3,{BEGIN}}})[a-z]*+"), 1)
+
+
 def _group(pattern: str) -> tuple[int, int] | None:
     """Where the capturing group of a pattern opens and closes."""
     depth, inside, begin, at = 0, False, None, 0
@@ -109,8 +127,6 @@ def places(text: Column) -> Column:
             F.when(is_match & (found != ""), F.concat(state["found"], F.array(row))).otherwise(state["found"]).alias("found"),
         )
 
-    pieces = F.split(text, f"[{OPEN}{CLOSE}]")
-
     def chunks_of(p: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, CHUNK))
 
@@ -120,7 +136,8 @@ def places(text: Column) -> Column:
 
     # an array grows by a copy of itself, so no growing one is longer than a chunk or the number of chunks
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<lead:int,start:int,end:int,text:string>>>").alias("found"))
-    return F.flatten(F.aggregate(chunks_of(pieces), begin, chunk, lambda s: s["found"]))
+    # a text is marked and cut once, however often its pieces are named
+    return let(F.split(text, f"[{OPEN}{CLOSE}]"), lambda p: F.flatten(F.aggregate(chunks_of(p), begin, chunk, lambda s: s["found"])))
 
 
 #: Abbreviations whose dot does not end a sentence (fixed values).

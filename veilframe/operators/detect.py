@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import clean, extended, java, last_place, marked, matches, places, same_clause, shadow, slice_of, union
+from veilframe.functions.patterns import ODD_LETTERS, OPEN, beginnings, clean, extended, java, last_place, let, marked, matches, places, same_clause, shadow, slice_of, stems, union
 from veilframe.functions.validators import VALIDATORS, birth_date, iban, iban_length, name_key
 from veilframe.operators.names import trimmed
 from veilframe.plans.staging import staged
@@ -22,10 +24,52 @@ class Detector:
     pattern: str
     ignore_case: bool = True
     validator: str | None = None
+    #: What a text must hold, else the pattern is not looked for: one of the literals, in small
+    #: letters; a digit; a word that begins like one of words (BEGIN letters, three make a word).
+    literals: tuple[str, ...] = ()
+    digit: bool = False
+    words: tuple[str, ...] = ()
+
+
+#: Patterns of the lists that do not begin with enough letters, by what a match of them holds.
+SHORT = {
+    r"(?:legge|l\.|ex": "104", r"art\.?\s*3": "104", r"equo": "inden", r"\bTSO\b": "tso", r"\bHIV\b": "hiv", r"non\s+auto": "autos", r"non\s+vede": "veden",
+    r"asm(?:a|atic": ("asma", "asmat"), r"cure": "medic", r"dat[oi]\s+gene": "genet", r"test\s+gene": "genet", r"\bDNA\b": "dna", r"dat[oi]\s+biom": "biome",
+    r"vita": "sessu", r"(?:rettificazione|": "sesso", r"etni[ae]": ("etnia", "etnie"), r"\bRSU\b": "rsu",
+    r"\b(?:CGIL|CISL": ("cgil", "cisl", "uil", "ugl", "usb", "cobas", "fials", "nursi", "dicca", "csa"),
+    r"atto\s+di\s+cita": "citaz", r"atto\s+di\s+prec": "prece", r"\bTAR\b": "tar", r"\bR\.?\s?G": "", r"\bISEE\b": "isee",
+    r"casa": "famig", r"buon[oi]\s+spesa": "spesa",
+}
 
 
 def _listed(name: str, category: str, words: tuple[str, ...]) -> Detector:
-    return Detector(name, category, union(words, bounded=True))
+    short = {w: next((v for k, v in SHORT.items() if w.startswith(k)), None) for w in words}
+    given = [x for v in short.values() if v is not None for x in (v if isinstance(v, tuple) else (v,))]
+    begun = stems(tuple(w.removeprefix(r"\b") for w, v in short.items() if v is None))
+    return Detector(name, category, union(words, bounded=True), words=begun + tuple(v for v in given if v.isalpha()), digit=any(not v.isalpha() for v in given))
+
+
+#: Parts that each match of a fixed pattern has, quick to look for.
+HOLDS: dict[str, dict] = {
+    "health-card": {"literals": ("80380",)},
+    "email": {"literals": ("@",)},
+    "residence": {"literals": ("residente", "domiciliat", "abitante", "dimorante")},
+    "birth": {"literals": ("nato", "nata", "nascit")},
+    "residence-form": {"literals": ("residente", "domiciliat")},
+    "address-form": {"literals": ("via", "piazza", "corso", "largo", "vicolo", "contrada", "c.da", "strada", "localit", "frazione")},
+    "birth-date": {"literals": ("nascita",)},
+    "marital-status": {"words": ("coniu", "celib", "nubil", "vedov", "divor", "separ", "stato")},
+    "household": {"literals": ("nucleo",)},
+    "name-declarant": {"literals": ("sottoscritt", "dichiarante", "richiedente", "istante", "interessat")},
+    "name-titled": {"literals": ("sig.", "signor", "dott.", "dr.", "ing.", "arch.", "avv.", "geom.", "rag.", "prof.")},
+    **{k: {"digit": True} for k in (
+        "iban", "bank-account", "payment-card", "mobile", "landline", "address", "id-document", "birth-date-form", "vat-number",
+    )},
+}
+
+
+def _fixed(name: str, category: str, pattern: str, ignore_case: bool, validator: str | None) -> Detector:
+    return Detector(name, category, pattern.replace("{NAME_WORD}", fixed.NAME_WORD), ignore_case, validator, **HOLDS.get(name, {}))
 
 
 DETECTORS = (
@@ -33,11 +77,11 @@ DETECTORS = (
     _listed("genetic-biometric", "A2", fixed.GENETIC_BIOMETRIC),
     _listed("sexual-life", "A3", fixed.SEXUAL_LIFE),
     _listed("origin-beliefs", "A4", fixed.ORIGIN_BELIEFS),
-    *(Detector(n, c, p.replace("{NAME_WORD}", fixed.NAME_WORD), i, v) for n, c, p, i, v in fixed.PATTERNS[:-1]),
+    *(_fixed(*row) for row in fixed.PATTERNS[:-1]),
     _listed("judicial", "C3", fixed.JUDICIAL),
     _listed("hardship", "C4", fixed.HARDSHIP),
     _listed("employment", "C5", fixed.EMPLOYMENT),
-    Detector(*fixed.PATTERNS[-1]),
+    _fixed(*fixed.PATTERNS[-1]),
 )
 #: Numbers of findings by detector: place of the detector times STRIDE, then by place.
 STRIDE = 100_000_000
@@ -87,12 +131,25 @@ class Steps:
 
 
 def steps(detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None) -> Steps:
-    def of_detector(n: Column) -> Column:
+    def worth(x: Detector, seen: Column) -> Column | None:
+        """Whether the text may hold a match of x, by what is quick to look for."""
+        tests = [F.contains(seen["low"], F.lit(v)) for v in x.literals]
+        if x.digit:
+            tests.append(seen["digit"])
+        if x.words:
+            tests.append(F.arrays_overlap(seen["words"], F.array(*map(F.lit, x.words))))
+        return reduce(or_, tests, seen["odd"]) if tests else None
+
+    def of_detector(n: Column, seen: Column) -> Column:
         """Matches of detector n: one expression for all detectors, one marked text at a time."""
         text = F.lit(None).cast("string")
-        for i, d in reversed(list(enumerate(detectors))):
-            text = F.when(n == i, marked(F.col("text"), d.pattern, d.ignore_case)).otherwise(text)
-        return F.transform(places(text), lambda m: F.struct(n.alias("d"), *[m[c].alias(c) for c in ("lead", "start", "end")]))
+        for i, x in reversed(list(enumerate(detectors))):
+            own, fits = marked(F.col("text"), x.pattern, x.ignore_case), worth(x, seen)
+            text = F.when(n == i, own if fits is None else F.when(fits, own)).otherwise(text)
+        # most texts have no match of most detectors: nothing to cut then
+        found = let(text, lambda t: F.when(F.contains(t, F.lit(OPEN)), places(t)))
+        each = F.transform(found, lambda m: F.struct(n.alias("d"), *[m[c].alias(c) for c in ("lead", "start", "end")]))
+        return F.coalesce(each, F.array().cast("array<struct<d:int,lead:int,start:int,end:int>>"))
 
     def kind(x: Detector) -> str:
         if x.name.startswith("name-"):
@@ -146,7 +203,18 @@ def steps(detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None)
         "proposal_key": F.when(whose == "company", "C6_company"),
         "subject_key": F.when(of("name"), name_key(F.col("named.name"))),
     }
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(detectors) - 1)), of_detector))
+    numbers = F.sequence(F.lit(0), F.lit(len(detectors) - 1))
+    listed = tuple(dict.fromkeys(w for x in detectors for w in x.words))
+    no_words = F.array().cast("array<string>")
+
+    def words(low: Column) -> Column:
+        """The beginnings of the text's words that some detector looks for."""
+        return F.array_intersect(beginnings(low), F.array(*map(F.lit, listed))) if listed else no_words
+
+    seen = let(F.lower("text"), lambda low: F.struct(
+        low.alias("low"), F.col("text").rlike("[0-9]").alias("digit"), words(low).alias("words"), F.col("text").rlike(f"[{ODD_LETTERS}]").alias("odd")
+    ))
+    every = let(seen, lambda s: F.flatten(F.transform(numbers, lambda n: of_detector(n, s))))
     return Steps(every, window, looks, ~of("name") | F.col("named").isNotNull(), placed, own, valid, out)
 
 
