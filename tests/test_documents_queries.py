@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from veilframe import queries
+import duckdb
+
+from veilframe import page_queries, queries
 
 #: text, (what is found, category); no recognizer, so nothing is demoted for want of a name
 DOCUMENTS = [
@@ -28,3 +30,17 @@ def test_all_detectors_run_over_documents(spark, tmp_path):
     graded = queries.certainty_report(spark, str(tmp_path)).collect()
     assert sum(r.n for r in graded) == sum(expected.values())
     assert len(graded) > 1 and {r.certainty for r in graded} <= {"formal", "contextual", "statistical"}
+
+
+def test_masks_over_blanks_agree_with_sql(spark, tmp_path):
+    """A mask over blanks only is none, and a piece of any of Unicode's blanks is no piece."""
+    wide = "\u2003" * 9
+    texts = ["a\nb         c\nd", f"a\nb{wide}c\nd", f"a\nbcdefghijk   \nd\n{wide}\n{wide}", "a\nb  \n\n\nc\nd", f"a\nbcdefghij{wide}\n{wide}\nx", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("document_clear_text", "document_boxes"):
+        told = db.execute(page_queries.ORACLE_SQL[name])
+        columns = [d[0] for d in told.description]
+        rows = page_queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(told.fetchall()) == sorted(tuple(r[c] for c in columns) for r in rows), name

@@ -11,6 +11,8 @@ from veilframe.operators.overlap import gaps, merged
 
 PAD, TOUCH = 1.2, 0.05
 SPANS = "array<struct<start:int,end:int>>"
+#: A piece of blanks only; Unicode's blanks count, line feeds do not.
+BLANK = r"^\p{Zs}*\z"
 #: Half of a letter's height is taken as its width, as there are no fonts.
 LETTER = 0.5
 
@@ -71,6 +73,6 @@ def clear_pieces(runs: DataFrame, findings: DataFrame, boxes: DataFrame) -> Data
     gone = F.when(F.col("whole") & (F.size("masks") > 0), all_of_it).when(F.size("masks") > 0, F.concat(inner, below)).otherwise(inner)
     rows = rows.withColumn("g", F.explode(let(merged(gone), lambda g: gaps(g, F.col("n")))))
     text = F.substring(F.col("str"), F.col("g.start") + 1, F.col("g.end") - F.col("g.start"))
-    return rows.where(F.trim(text) != "").select(
+    return rows.where(~text.rlike(BLANK)).select(
         "doc_id", "page", (F.col("start") + F.col("g.start")).alias("start"), (F.col("start") + F.col("g.end")).alias("end"), text.alias("text")
     )
