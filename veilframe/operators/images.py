@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.plans.folds import listed
+
 SAVE, RESTORE, FORM, FORM_END, TRANSFORM, IMAGE = "save", "restore", "form", "form_end", "transform", "image"
 Matrix = tuple[float, float, float, float, float, float]
 PLAIN: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -16,7 +18,8 @@ PLAIN: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 def product(m: Matrix, n: Matrix) -> Matrix:
     """The map that applies n, then m."""
     a, b, c, d, e, f = m
-    return (a * n[0] + c * n[1], b * n[0] + d * n[1], a * n[2] + c * n[3], b * n[2] + d * n[3], a * n[4] + c * n[5] + e, b * n[4] + d * n[5] + f)
+    g, h, i, j, k, l, *_ = n  # noqa: E741
+    return (a * g + c * h, b * g + d * h, a * i + c * j, b * i + d * j, a * k + c * l + e, b * k + d * l + f)
 
 
 def painted(ops: DataFrame) -> DataFrame:
@@ -29,21 +32,28 @@ def painted(ops: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now, kept = None, PLAIN, []
         for batch in batches:
-            rows = []
-            for doc, page, seq, op, m in zip(*(batch[c].to_pylist() for c in ("doc_id", "page", "seq", "op", "m")), strict=True):
-                if (doc, page) != at:
+            # the numbers of all maps at once: lists row by row take far longer to become Python's
+            maps = batch["m"]
+            sizes, values = listed(maps.value_lengths().fill_null(0)), listed(maps.flatten())
+            images, drawn, end = [], [], 0
+            columns = (listed(batch[c]) for c in ("doc_id", "page", "op"))
+            for n, (doc, page, op, size) in enumerate(zip(*columns, sizes, strict=True)):
+                end += size
+                if at is None or page != at[1] or doc != at[0]:
                     at, now, kept = (doc, page), PLAIN, []
-                if op in (SAVE, FORM):
+                if op == IMAGE:
+                    images.append(n)
+                    drawn += now
+                elif op == SAVE or op == FORM:
                     kept.append(now)
-                elif op in (RESTORE, FORM_END):
+                elif op == RESTORE or op == FORM_END:
                     now = kept.pop() if kept else PLAIN
-                if op in (TRANSFORM, FORM) and m:
-                    now = product(now, tuple(m))
-                if op == IMAGE:
-                    rows.append((doc, page, seq, list(now)))
-            names = ("doc_id", "page", "seq", "m")
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                if size and (op == TRANSFORM or op == FORM):
+                    now = product(now, values[end - size : end])
+            rows = batch.select(["doc_id", "page", "seq"]).take(pa.array(images, pa.int64()))
+            ends = pa.array(range(0, len(drawn) + 1, len(PLAIN)), pa.int32())
+            made = pa.ListArray.from_arrays(ends, pa.array(drawn, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, made], ["doc_id", "page", "seq", "m"])
 
     known = ops.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), F.col("seq").cast("long"), "op", F.col("m").cast("array<double>"))
     sorted_ = known.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "seq")

@@ -10,6 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def listed(column: pa.Array | pa.ChunkedArray) -> list:
+    """column.to_pylist(), for plain kinds by way of numpy, which is many times as fast."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    plain = pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain and not column.null_count else column.to_pylist()
+
+
+def dicts(batch: pa.RecordBatch | pa.Table) -> list[dict]:
+    """batch.to_pylist(), by way of listed()."""
+    names = batch.schema.names
+    return [dict(zip(names, row)) for row in zip(*map(listed, batch.columns))]  # noqa: B905
+
+
 def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
     """df with each group's rows (same keys, sorted by order) replaced by fold(rows).
 
@@ -23,7 +38,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[lis
         group: list[dict] = []
         out: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in dicts(batch):
                 if group and any(group[0][k] != row[k] for k in keys):
                     out += fold(group)
                     group = []
@@ -69,7 +84,7 @@ def islands(df: DataFrame, order: list, fold: Callable[[list[dict]], list[dict]]
             met = np.flatnonzero(closed & ~alone)
             out: list[dict] = []
             if len(met):
-                some = rows.take(pa.array(met)).to_pylist()
+                some = dicts(rows.take(pa.array(met)))
                 cuts = [0, *(np.flatnonzero(np.diff(number[met])) + 1).tolist(), len(met)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     out += fold(some[a:b])
