@@ -8,7 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.plans.folds import listed
+from veilframe.plans.staging import spread
+
 SIZE, DRIFT = 1100, 60
+#: Pieces that are sent on at once: a few MB; a page with more of them is sent as one.
+PIECES = 4096
 
 
 def _cuts(text: str, size: int) -> Iterator[tuple[int, int]]:
@@ -30,24 +35,33 @@ def chunks(pages: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, page, chunk, offset, text: pages in pieces of at most size characters, which
     together are the page. Empty and null texts have no piece."""
 
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "page", "chunk", "offset", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch of pieces for many pages: one for each page costs more than its cutting
+        rows: list[tuple] = []
         for batch in batches:
-            for doc, page, text in zip(*(batch.column(n) for n in range(3))):
+            for doc, page, text in zip(listed(batch.column(0)), listed(batch.column(1)), batch.column(2)):
                 whole = text.as_py() or ""
-                places = list(_cuts(whole, size))
-                if places:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([doc.as_py()] * len(places), pa.int64()), pa.array([page.as_py()] * len(places), pa.int32()),
-                        pa.array(range(len(places)), pa.int32()), pa.array([a for a, _ in places], pa.int32()),
-                        pa.array([whole[a:b] for a, b in places], pa.string()),
-                    ], ["doc_id", "page", "chunk", "offset", "text"])
-
-    rows = pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text")
+                rows += [(doc, page, n, a, whole[a:b]) for n, (a, b) in enumerate(_cuts(whole, size))]
+                if len(rows) >= PIECES:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
+
+    rows = spread(pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text"))
     return rows.mapInArrow(run, "doc_id long, page int, chunk int, offset int, text string")
 
 
 def _lower(text: str) -> str:
     """Lower case, place by place: letters whose lower case is longer stay."""
+    if text.isascii():
+        return text.lower()
     return "".join(low if len(low := c.lower()) == 1 else c for c in text)
 
 
@@ -62,9 +76,11 @@ def _persons(text: str, tokens: list[dict]) -> list[tuple[int, int, float]]:
         word = word[2:] if joined else word
         if word in ("", "[UNK]"):
             continue
-        places = (text.find(word, cursor), low.find(_lower(word), cursor))
-        begin = next((p for p in places if 0 <= p - cursor <= DRIFT), None)
-        if begin is None:
+        far = cursor + DRIFT + len(word)
+        begin = text.find(word, cursor, far)
+        if begin < 0:
+            begin = low.find(_lower(word), cursor, far)
+        if begin < 0:
             continue
         cursor = begin + len(word)
         if label.partition("-")[2] == "PER" or label == "PER":
@@ -88,10 +104,15 @@ def aligned(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                (r["doc_id"], r["page"], r["offset"] + a, r["offset"] + b, s)
-                for r in batch.to_pylist() for a, b, s in _persons(r["text"], r["tokens"])
-            ]
+            found = []
+            # tokens as flat columns: a list of structs takes far longer to become Python's
+            lists = batch["tokens"]
+            told = zip(*(listed(lists.flatten().field(c)) for c in ("word", "entity", "score")), strict=True)
+            told = [{"word": w, "entity": e, "score": s} for w, e, s in told]
+            ends = lists.value_lengths().to_numpy().cumsum().tolist()
+            rows = zip(*(listed(batch[c]) for c in ("doc_id", "page", "offset", "text")), [0, *ends], ends)
+            for doc, page, offset, text, a, b in rows:
+                found += [(doc, page, offset + start, offset + end, score) for start, end, score in _persons(text, told[a:b])]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "page", "start", "end", "score"])
