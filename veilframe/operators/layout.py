@@ -11,6 +11,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.patterns import let
 from veilframe.operators.geometry import BOX, box, joined_boxes, meets, share_of_run
 from veilframe.plans.folds import folded
 
@@ -110,12 +111,13 @@ def placed_runs(segments: DataFrame, reorder: bool = True) -> DataFrame:
 
     Read from top to bottom in lines whose runs lie less than half their height from the
     line's first one; runs in other directions follow. reorder=False keeps the order of seg."""
-    page, order = ["doc_id", "page"], Window.partitionBy("doc_id", "page").orderBy("place")
+    # place follows seg where it is kept: one sort for all windows then
+    page, order = ["doc_id", "page"], Window.partitionBy("doc_id", "page").orderBy("place" if reorder else "seg")
     rows = runs_of(segments).withColumn("place", F.lit(0))
     if reorder:
         rows = folded(rows, page, ["seg"], _read)
     else:
-        rows = rows.withColumn("place", (F.row_number().over(Window.partitionBy(*page).orderBy("seg")) - 1).cast("int"))
+        rows = rows.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
     before = F.lag(F.struct("x", "y", "dx", "dy", "w", "h", "line_end")).over(order)
     rows = rows.withColumn("p", before)
     p = F.col("p")
@@ -190,8 +192,10 @@ def spans_in(rectangles: DataFrame, runs: DataFrame) -> DataFrame:
         return x.between(r["x"], r["x"] + r["w"]) & y.between(r["y"], r["y"] + r["h"])
 
     hit = F.filter(F.sequence(F.lit(0), size - 1), inside)
-    met = met.withColumns({"from": F.array_min(hit), "to": F.array_max(hit) + 1})
-    text = F.substring(F.col("str"), F.col("from") + 1, F.col("to") - F.col("from"))
+    first_last = lambda h: F.struct(F.array_min(h).alias("from"), (F.array_max(h) + 1).alias("to"))
+    # each character is looked at once: a filter on from and to would repeat it for every mention of them
+    met = met.select("doc_id", "page", "request", "start", "str", F.explode(F.array(let(hit, first_last))).alias("h"))
+    text = F.substring(F.col("str"), F.col("h.from") + 1, F.col("h.to") - F.col("h.from"))
     return met.where(F.trim(text) != "").select(
-        "doc_id", "page", "request", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to")).alias("end"), text.alias("text")
+        "doc_id", "page", "request", (F.col("start") + F.col("h.from")).alias("start"), (F.col("start") + F.col("h.to")).alias("end"), text.alias("text")
     )

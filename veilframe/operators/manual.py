@@ -10,6 +10,7 @@ from veilframe.operators.detect import STRIDE
 from veilframe.operators.findings import constructed, is_person, looked_up
 from veilframe.operators.geometry import BOX, box, joined_boxes
 from veilframe.operators.layout import span_boxes, spans_in
+from veilframe.plans.staging import staged
 from veilframe.rules.tables import CATEGORIES, REASON_NEEDED
 
 BY_TEXT, BY_AREA = 300 * STRIDE, 400 * STRIDE
@@ -57,7 +58,8 @@ def found_areas(requests: DataFrame, views: DataFrame, runs: DataFrame) -> tuple
     """A manual finding for each valid area, and its boxes (doc_id, page, seq, boxes): those of
     the text whose characters it holds, and the area itself. An area without text has no place."""
     areas = valid_areas(requests.where(F.col("category").isin(list(CATEGORIES))), views).withColumn("seq", F.lit(BY_AREA) + F.col("request"))
-    parts = spans_in(areas, runs).withColumn("seq", F.lit(BY_AREA) + F.col("request"))
+    # named twice below: written once, else runs and areas meet twice
+    parts = staged(spans_in(areas, runs).withColumn("seq", F.lit(BY_AREA) + F.col("request")), "areas")
     told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda p: p["text"]), " ")
     spans = parts.groupBy("doc_id", "page", "seq").agg(F.min("start").alias("start"), F.max("end").alias("end"), told.alias("text"))
     rows = areas.join(spans, ["doc_id", "page", "seq"], "left").withColumn("text", F.coalesce("text", F.lit("")))
