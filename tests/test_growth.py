@@ -4,7 +4,7 @@ import time
 
 import pyarrow as pa
 
-from veilframe.operators import images, recognizer
+from veilframe.operators import images, layer, layout, recognizer
 from veilframe.plans.folds import dicts
 
 
@@ -63,3 +63,32 @@ def test_rows_by_way_of_numpy_are_the_rows():
     })
     assert dicts(batch) == batch.to_pylist()
     assert [[type(v) for v in r.values()] for r in dicts(batch)] == [[type(v) for v in r.values()] for r in batch.to_pylist()]
+
+
+def _plan(df, name="executedPlan"):
+    return getattr(df._jdf.queryExecution(), name)().toString()
+
+
+RUN = "doc_id long, page int, seg int, str string, x double, y double, w double, h double"
+
+
+def test_runs_in_the_order_of_the_file_are_sorted_once(spark):
+    runs = layout.placed_runs(spark.createDataFrame([(1, 1, 0, "abc", 50.0, 700.0, 15.0, 11.0)], RUN), reorder=False)
+    assert _plan(runs).count("Sort [") == 1
+
+
+def test_characters_of_an_area_are_looked_at_once(spark):
+    runs = layout.placed_runs(spark.createDataFrame([(1, 1, 0, "abc", 50.0, 700.0, 15.0, 11.0), (1, 1, 1, "abc", 50.0, 686.0, 15.0, 11.0)], RUN), reorder=False)
+    areas = spark.createDataFrame([(1, 1, 1, 54.0, 698.0, 12.0, 20.0)], "doc_id long, page int, request long, x double, y double, w double, h double")
+    found = layout.spans_in(areas, runs)
+    assert _plan(found, "optimizedPlan").count("sequence(") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 1, 1, 3, "bc")]
+
+
+def test_touched_characters_side_by_side_are_one_interval(spark):
+    runs = layout.placed_runs(spark.createDataFrame([(1, 1, 0, "abcdefghijk", 50.0, 700.0, 55.0, 11.0)], RUN), reorder=False)
+    masks = [(1, 1, 1, 3, 5), (1, 1, 2, 8, 9)]
+    found = spark.createDataFrame(masks, "doc_id long, page int, seq long, start int, end int").selectExpr("*", "'mask' AS decision")
+    left = layer.clear_pieces(runs, found, layout.span_boxes(found, runs))
+    assert sorted((r.start, r.end, r.text) for r in left.collect()) == [(0, 2, "ab"), (6, 7, "g"), (10, 11, "k")]
+    assert "array_except" in _plan(left, "optimizedPlan")

@@ -60,7 +60,7 @@ def joined_boxes(boxes: Column) -> Column:
     than half the lower height, and the gap is at most 0.6 of the higher one. From top to
     bottom, then from left to right; null and empty arrays give an empty one."""
     flat = F.transform(boxes, lambda b: F.struct((-b["y"]).alias("down"), b["x"].alias("x"), b["w"].alias("w"), b["h"].alias("h")))
-    ordered = F.transform(F.array_sort(flat), lambda b: box(b["x"], -b["down"], b["w"], b["h"]))
+    ordered = F.transform(F.sort_array(flat), lambda b: box(b["x"], -b["down"], b["w"], b["h"]))
 
     def step(done: Column, b: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))

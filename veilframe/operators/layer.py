@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.patterns import let
-from veilframe.operators.geometry import BOX, box, covered, meets, share_of_run
+from veilframe.operators.geometry import BOX, box, common, covered, meets, share_of_run
 from veilframe.operators.overlap import gaps, merged
 
 PAD, TOUCH = 1.2, 0.05
@@ -58,17 +58,33 @@ def clear_pieces(runs: DataFrame, findings: DataFrame, boxes: DataFrame) -> Data
         F.greatest(s["start"] - F.col("start"), F.lit(0)).alias("start"), F.least(s["end"] - F.col("start"), F.col("n")).alias("end")
     ))
 
+    lying = (F.col("dx") == 1) & (F.col("dy") == 0)
+    x, w, n = F.col("x"), F.col("w"), F.col("n")
+    # all characters of a lying run are as high as it is: only their places along it tell them apart
+    high_enough = lambda b: let(common(F.col("own"), b)[1], lambda v: (v > 0) & (v > F.least(F.lit(TOUCH), F.col("own.h") * 0.3)))
+    rows = rows.withColumn("sides", F.when(lying, F.transform(F.filter("masks", high_enough), lambda b: F.struct(b["x"].alias("a"), (b["x"] + b["w"]).alias("b")))))
+
     def is_touched(i: Column) -> Column:
-        own = share_of_run(i / F.col("n"), (i + 1) / F.col("n"))
-        return let(own, lambda c: F.exists("masks", lambda b: covered(c, b, TOUCH)))
+        def along(c: Column) -> Column:
+            return F.exists("sides", lambda s: let(F.least(c["a"] + c["w"], s["b"]) - F.greatest(c["a"], s["a"]), lambda v: (v > 0) & (v > c["least"])))
+
+        wide = F.abs(w * ((i + 1) / n - i / n))
+        flat = let(F.struct((x + w * (i / n)).alias("a"), wide.alias("w"), F.least(F.lit(TOUCH), wide / 2).alias("least")), along)
+        own = share_of_run(i / n, (i + 1) / n)
+        return F.when(lying & (w >= 0), flat).otherwise(let(own, lambda c: F.exists("masks", lambda b: covered(c, b, TOUCH))))
 
     # a lying run's characters under no mask's width, one more on each side, need no look
-    share = lambda at: F.when((F.col("dx") == 1) & (F.col("dy") == 0), F.try_divide((at - F.col("x")) * F.col("n"), F.col("w")))
+    share = lambda at: F.when(lying, F.try_divide((at - x) * n, w))
     within = lambda i, other: F.least(F.greatest(F.coalesce(i, other), F.lit(0)), F.col("n") - 1).cast("int")
     low = within(F.floor(share(F.array_min(F.transform("masks", lambda b: b["x"])))) - 1, F.lit(0))
     high = within(F.ceil(share(F.array_max(F.transform("masks", lambda b: b["x"] + b["w"])))) + 1, F.col("n") - 1)
     touched = F.filter(F.sequence(low, F.greatest(low, high)), is_touched)
-    below = F.transform(touched, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
+    # characters side by side are one interval
+    def joined(t: Column) -> Column:
+        begins, ends = F.array_except(t, F.transform(t, lambda i: i + 1)), F.array_except(t, F.transform(t, lambda i: i - 1))
+        return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+
+    below = let(touched, joined)
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
     gone = F.when(F.col("whole") & (F.size("masks") > 0), all_of_it).when(F.size("masks") > 0, F.concat(inner, below)).otherwise(inner)
     rows = rows.withColumn("g", F.explode(let(merged(gone), lambda g: gaps(g, F.col("n")))))

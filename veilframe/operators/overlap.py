@@ -70,7 +70,7 @@ def merged(intervals: Column, touching: bool = True) -> Column:
         meets = x["start"] <= last["end"] if touching else x["start"] < last["end"]
         return F.when(last.isNotNull() & meets, joined).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(F.filter(intervals, lambda x: x["start"] < x["end"])), empty, step)
+    return F.aggregate(F.sort_array(F.filter(intervals, lambda x: x["start"] < x["end"])), empty, step)
 
 
 def gaps(intervals: Column, length: Column) -> Column:
