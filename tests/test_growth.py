@@ -4,7 +4,8 @@ import time
 
 import pyarrow as pa
 
-from veilframe.operators import images, layer, layout, recognizer
+from veilframe.functions import patterns
+from veilframe.operators import context, detect, images, layer, layout, recognizer
 from veilframe.plans.folds import dicts
 
 
@@ -92,3 +93,25 @@ def test_touched_characters_side_by_side_are_one_interval(spark):
     left = layer.clear_pieces(runs, found, layout.span_boxes(found, runs))
     assert sorted((r.start, r.end, r.text) for r in left.collect()) == [(0, 2, "ab"), (6, 7, "g"), (10, 11, "k")]
     assert "array_except" in _plan(left, "optimizedPlan")
+
+
+def test_looks_are_held_by_every_alternative():
+    assert patterns.literal(r"a\s+favore\s+di") == "favore" and patterns.literal(r"vice\s?sindac[oa]") == "sindac"
+    assert patterns.literal(r"ab?c\p{L}{3,}x+yz") == "yz" and patterns.literal(r"ab|cd") == "" and patterns.literal(r"\b[^x\]]\d{12}\b") == ""
+    assert patterns.literals(("minor[ei]", "minorenn[ei]", "figli[oa]")) == ("minor", "figli") and patterns.literals(("abc", r"\d+")) == ()
+
+
+def test_keywords_are_looked_for_where_a_text_may_hold_them():
+    for kind, (pattern, *_) in context.KINDS.items():
+        assert context.LOOKS[pattern], kind
+    # a user's pattern has no looks
+    assert context.LOOKS.get(f"(?:{context.KINDS['minor'][0]}|tutelat[oa])") is None
+
+
+def test_whole_page_patterns_wait_for_a_look(spark):
+    schema = "doc_id long, page int, text string, is_scan boolean, ocr_conf double, n_cards int"
+    rows = [(1, 1, "un testo", False, None, 0), (2, 1, "P<ITAROSSI<<MARIO<<<<<<<<<<1", False, None, 0), (3, 1, "poche parole", True, 90.0, 0),
+            (4, 1, "PAſſAPORTO n. AB, repubblica italiana, ſtatura, cognome, nome, cittadinanza", False, None, 0)]
+    found = detect.page_findings(spark.createDataFrame(rows, schema))
+    assert _plan(found, "optimizedPlan").lower().count("contains(") >= 12
+    assert sorted((r.doc_id, r.category) for r in found.collect()) == [(2, "B4P"), (3, "C7"), (4, "B4P")]

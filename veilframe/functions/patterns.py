@@ -40,6 +40,38 @@ def stems(patterns: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(dict.fromkeys(m[1].lower() for m in found))
 
 
+def literal(pattern: str) -> str:
+    """The longest part that each match of a pattern holds as it stands, in small letters: letters
+    and digits outside groups and classes, none of them optional. Empty: there is none."""
+    parts, own, depth, at = [], "", 0, 0
+    while at < len(pattern):
+        c, size = pattern[at], 1
+        if c == "\\":
+            size = pattern.index("}", at) - at + 1 if pattern[at + 1] in "pPx" and pattern[at + 2 : at + 3] == "{" else 2
+        elif c == "{":
+            size = pattern.index("}", at) - at + 1
+        elif c == "[":
+            size = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[at:]).end()
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and depth == 0:
+            return ""
+        optional = pattern[at + size : at + size + 1] in ("?", "*", "{")
+        if depth == 0 and c.isascii() and c.isalnum() and not optional:
+            own += c
+        else:
+            parts.append(own)
+            own = ""
+        at += size
+    return max((*parts, own), key=len).lower()
+
+
+def literals(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """Parts of which each match of one of the patterns holds at least one; none if a pattern has no such part."""
+    found = sorted(dict.fromkeys(map(literal, patterns)), key=len)
+    short = [x for n, x in enumerate(found) if not any(y in x for y in found[:n])]
+    return () if "" in found else tuple(short)
+
+
 def beginnings(low: Column) -> Column:
     """The first letters of all words of a text in small letters, three at least and BEGIN at most."""
     return F.regexp_extract_all(low, F.lit(f"([a-z]{{3,{BEGIN}}})[a-z]*+"), 1)

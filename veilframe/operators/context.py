@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import BLANK, java, matches, same_clause, slice_of, union
+from veilframe.functions.patterns import BLANK, ODD_LETTERS, java, let, literals, matches, same_clause, slice_of, union
 from veilframe.functions.validators import amount
 from veilframe.operators.findings import COLUMNS, band_of, default_decision
 from veilframe.plans.folds import folded
@@ -24,6 +27,17 @@ KINDS = {
     "amount": (fixed.AMOUNT, 250, 1, False),
     "payee": (union(fixed.BENEFICIARIES), 250, 2, False),
 }
+#: Its letters are told apart by what may stand between them.
+SHORT_ROLE = r"\bP\.?O\.?\b"
+#: By pattern, what a text must hold in small letters, else the pattern is not looked for. Patterns of users have none.
+LOOKS = {
+    KINDS[kind][0]: literals(patterns)  # of each alternative its longest fixed part
+    for kind, patterns in (
+        ("minor", fixed.MINORS), ("role", tuple(p for p in fixed.PUBLIC_ROLES if p != SHORT_ROLE)), ("third", fixed.THIRD_PARTIES), ("fee", fixed.FEES), ("health", fixed.HEALTH + fixed.HARDSHIP),
+        ("contractor", fixed.CONTRACTORS), ("payee", fixed.BENEFICIARIES),
+    )
+} | {fixed.AMOUNT: ("€", "eur")}
+LOOKS[KINDS["role"][0]] += ("po", "p.o")
 PRIVATE_REACH = 70 + 60
 # fixed value: what introduces somebody who only represents another
 REPRESENTS = (
@@ -54,17 +68,22 @@ CELL = 512
 def _keywords(pages: DataFrame, kinds: dict) -> DataFrame:
     """Every keyword of pages with what surrounds it, which begins at base."""
 
-    def words(kind: str) -> Column:
+    none = F.array().cast("array<struct<kind:string,k_start:int,k_end:int,word:string,radius:int,lines:int>>")
+
+    def words(kind: str, seen: Column) -> Column:
         pattern, radius, lines, _ = kinds[kind]
-        return F.transform(
+        found = F.transform(
             matches(F.col("text"), f"({pattern})" if kind != "amount" else f"(?:{pattern.replace('(' + chr(92) + 'd', '(?:' + chr(92) + 'd')})", True),
             lambda m: F.struct(
                 F.lit(kind).alias("kind"), m["start"].alias("k_start"), m["end"].alias("k_end"), m["text"].alias("word"),
                 F.lit(radius).alias("radius"), F.lit(lines).alias("lines"),
             ),
         )
+        looks = [F.contains(seen["low"], F.lit(x)) for x in LOOKS.get(pattern, ())]
+        return F.when(reduce(or_, looks, seen["odd"]), found).otherwise(none) if looks else found
 
-    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(F.concat(*[words(k) for k in kinds])).alias("k"))
+    seen = F.struct(F.lower("text").alias("low"), F.col("text").rlike(f"[{ODD_LETTERS}]").alias("odd"))
+    rows = pages.select("doc_id", "page", "text", "shadow", F.explode(let(seen, lambda s: F.concat(*[words(k, s) for k in kinds]))).alias("k"))
     base, last = F.greatest(F.col("k.k_start") - F.col("k.radius") - 1, F.lit(0)), F.col("k.k_end") + F.col("k.radius") + 2
     return rows.select(
         "doc_id", "page", "k.*", base.alias("base"), slice_of(F.col("text"), base, last).alias("text"), slice_of(F.col("shadow"), base, last).alias("shadow")

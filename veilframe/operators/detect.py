@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.patterns import ODD_LETTERS, OPEN, beginnings, clean, extended, java, last_place, let, marked, matches, places, same_clause, shadow, slice_of, stems, union
+from veilframe.functions.patterns import ODD_LETTERS, OPEN, beginnings, clean, extended, java, last_place, let, literals, marked, matches, places, same_clause, shadow, slice_of, stems, union
 from veilframe.functions.validators import VALIDATORS, birth_date, iban, iban_length, name_key
 from veilframe.operators.names import trimmed
 from veilframe.plans.staging import staged
@@ -25,7 +25,8 @@ class Detector:
     ignore_case: bool = True
     validator: str | None = None
     #: What a text must hold, else the pattern is not looked for: one of the literals, in small
-    #: letters; a digit; a word that begins like one of words (BEGIN letters, three make a word).
+    #: letters, and a digit; or a digit or a word that begins like one of words (BEGIN letters,
+    #: three make a word).
     literals: tuple[str, ...] = ()
     digit: bool = False
     words: tuple[str, ...] = ()
@@ -62,9 +63,15 @@ HOLDS: dict[str, dict] = {
     "household": {"literals": ("nucleo",)},
     "name-declarant": {"literals": ("sottoscritt", "dichiarante", "richiedente", "istante", "interessat")},
     "name-titled": {"literals": ("sig.", "signor", "dott.", "dr.", "ing.", "arch.", "avv.", "geom.", "rag.", "prof.")},
-    **{k: {"digit": True} for k in (
-        "iban", "bank-account", "payment-card", "mobile", "landline", "address", "id-document", "birth-date-form", "vat-number",
+    **{k: {"digit": True} for k in ("iban", "payment-card", "mobile")},
+    "bank-account": {"literals": ("c/c", "conto", "c."), "digit": True},
+    "landline": {"literals": ("tel", "fax", "cell", "recapito"), "digit": True},
+    "address": {"digit": True, "literals": (
+        "via", "piazz", "corso", "largo", "vico", "contrada", "c.da", "strada", "localit", "loc.", "fraz", "salita", "discesa", "lungomare", "traversa",
     )},
+    "id-document": {"literals": ("carta", "c.", "documento", "passaporto", "patente", "permesso"), "digit": True},
+    "birth-date-form": {"literals": ("nato", "nata"), "digit": True},
+    "vat-number": {"literals": ("iva", "p."), "digit": True},
 }
 
 
@@ -133,9 +140,10 @@ class Steps:
 def steps(detectors: tuple[Detector, ...] = DETECTORS, as_of: str | None = None) -> Steps:
     def worth(x: Detector, seen: Column) -> Column | None:
         """Whether the text may hold a match of x, by what is quick to look for."""
-        tests = [F.contains(seen["low"], F.lit(v)) for v in x.literals]
-        if x.digit:
-            tests.append(seen["digit"])
+        if x.literals:
+            held = reduce(or_, [F.contains(seen["low"], F.lit(v)) for v in x.literals], seen["odd"])
+            return seen["digit"] & held if x.digit else held
+        tests = [seen["digit"]] if x.digit else []
         if x.words:
             tests.append(F.arrays_overlap(seen["words"], F.array(*map(F.lit, x.words))))
         return reduce(or_, tests, seen["odd"]) if tests else None
@@ -243,6 +251,10 @@ def page_findings(pages: DataFrame) -> DataFrame:
     def clues(patterns: tuple[str, ...]) -> Column:
         return sum((F.col("text").rlike(java(p, True)).cast("int") for p in patterns), F.lit(0))
 
+    # a page that is no scan is known by a zone or the structure of a document only: most have neither
+    shapes, odd = literals(fixed.ID_STRUCTURAL), F.col("text").rlike(f"[{ODD_LETTERS}]")
+    holds = let(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in (*shapes, "<<")]))
+    pages = pages.where(F.col("is_scan") | holds | odd)
     strong, weak, scan, cards = clues(fixed.ID_STRONG), clues(fixed.ID_WEAK), F.col("is_scan"), F.when(F.col("is_scan"), F.col("n_cards")).otherwise(0)
     zone = F.col("text").rlike(java(fixed.ID_MRZ, False))
     shaped = scan | (clues(fixed.ID_STRUCTURAL) > 0)
