@@ -7,6 +7,7 @@ import pyarrow as pa
 from veilframe.functions import patterns
 from veilframe.operators import context, detect, images, layer, layout, recognizer
 from veilframe.plans.folds import dicts
+from veilframe.sources import files
 
 
 class Caught:
@@ -115,3 +116,15 @@ def test_whole_page_patterns_wait_for_a_look(spark):
     found = detect.page_findings(spark.createDataFrame(rows, schema))
     assert _plan(found, "optimizedPlan").lower().count("contains(") >= 12
     assert sorted((r.doc_id, r.category) for r in found.collect()) == [(2, "B4P"), (3, "C7"), (4, "B4P")]
+
+
+def test_envelopes_and_images_only_go_to_python(spark):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\0\x02\0\0\0\x04"
+    rows = [("a.pdf", b"%PDF-1.4"), ("b.p7m", b"0\x03abc"), ("c.png", png), ("d.p7m", None), ("e.pdf", png), ("f.pdf", None)]
+    found = files.opened(spark.createDataFrame(rows, "path string, content binary"))
+    assert "MapInArrow" not in _plan(found) and _plan(found).count("ArrowEvalPython") == 1
+    told = {r.path: (r.document and bytes(r.document), r.error, r.page_width) for r in found.collect()}
+    assert told == {
+        "a.pdf": (b"%PDF-1.4", None, None), "b.p7m": (None, "not signed data", None), "c.png": (png, None, 420.945), "d.p7m": (None, "not recognised", None),
+        "e.pdf": (png, None, 420.945), "f.pdf": (None, "not recognised", None),
+    }

@@ -152,21 +152,23 @@ def opened(files: DataFrame, mime: str | None = None) -> DataFrame:
     bytes: names may lie), page_width and page_height of an image's page, and error: why there is
     no document. An image's longer side is that of a sheet, the other in proportion."""
     rows = files.withColumn("kind", kind(F.col("path"), F.col(mime) if mime else None))
-    # envelopes only go through the unpacking
-    signed = F.when(F.col("kind") == "signed", F.col("content"))
-    schema = StructType(list(rows.schema.fields)).add("document", "binary").add("error", "string").add("px", "integer").add("py", "integer")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for own, content in zip(batch["_signed"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                document, error = (content, None) if own is None else unwrap(own)
-                made.append((document, error, *((document and image_size(document)) or (None, None))))
-            added = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.string(), pa.int32(), pa.int32()))]
-            kept = batch.drop_columns(["_signed"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *added], schema.names)
-
-    rows = rows.withColumn("_signed", signed).mapInArrow(run, schema).withColumn("found", magic(F.col("document")))
+    # envelopes and images only go to Python, and only what envelopes hold comes back
+    signed, image = F.col("kind") == "signed", F.hex(F.substring("content", 1, 4)).rlike("^(?:89504E47|FFD8)")
+    parts = pa.struct([("document", pa.binary()), ("error", pa.string()), ("px", pa.int32()), ("py", pa.int32())])
+
+    @F.arrow_udf("document binary, error string, px int, py int")
+    def read(content: pa.Array, is_signed: pa.Array) -> pa.Array:
+        made = []
+        for own, envelope in zip(content, is_signed.to_pylist(), strict=True):
+            data = own.as_py()
+            document, error = (data, None) if data is None or not envelope else unwrap(data)
+            size = (document and image_size(document)) or (None, None)
+            made.append({"document": document if envelope else None, "error": error, "px": size[0], "py": size[1]})
+        return pa.array(made, parts)
+
+    rows = rows.withColumn("_read", read(F.when(signed | image, F.col("content")), signed))
+    rows = rows.withColumns({"document": F.when(signed, F.col("_read.document")).otherwise(F.col("content")), **{c: F.col(f"_read.{c}") for c in ("error", "px", "py")}})
+    rows = rows.drop("_read").withColumn("found", magic(F.col("document")))
     whole = (F.col("px") > 0) & (F.col("py") > 0)
     side = lambda own, other: F.when(whole, F.when(F.col(own) >= F.col(other), LONG_SIDE).otherwise(LONG_SIDE * F.col(own) / F.col(other)))
     fits = F.when(F.col("kind") == "image", F.col("found").isin("png", "jpeg")).when(F.col("kind").isin("pdf", "signed"), F.col("found").isNotNull()).otherwise(False)
