@@ -43,6 +43,31 @@ def test_grid(spark, monkeypatch):
     assert grid.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_grid_pairs_of_intervals_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(grid, "BLOCK", 50)
+    held, plans = {}, {}
+
+    def kept(df, name, stage=grid.stage):
+        held[name] = stage(df, name)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return held[name]
+
+    monkeypatch.setattr(grid, "stage", kept)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=8)
+    table = [(i, (centre + rng.normal(size=8) * 0.05).tolist()) for i in range(400)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = grid.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(4))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {(r.n_links, r.component) for r in found.collect()} == {(399, 0)}
+    assert held["blocks"].count() == 8  # 36 pairs
+    assert "CartesianProduct" in plans["grid-links"] and "Exchange" not in plans["grid-links"]
+    assert "BroadcastHashJoin" in plans["blocks"] and "SortMergeJoin" not in plans["blocks"]
+
+
 CASES = [
     ("http://Sub.Example.NET/en/1?q#f", "sub.example.net", "/en/1", "example.net/en/", "allow"),
     ("https://example.net/fr/1", "example.net", "/fr/1", "net/", "block"),

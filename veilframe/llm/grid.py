@@ -5,14 +5,15 @@ turned into their principal axes (an orthogonal map from the covariance, which k
 distances), put into grid cells of side eps on the LEADING axes, and sorted by cell, axis by
 axis: the epsilon grid order. The sorted sequence is cut into intervals of BLOCK vectors with
 the bounds of each on all leading axes. Two intervals whose boxes are further apart than eps
-are skipped; intervals can only be near if their cells on the first axis touch, so candidates
-come from an equi-join on those cells, not from a cross join. Inside a pair of intervals the
-join goes on recursively: halves are bounded again, distant halves skipped, and what is left
-at LEAF vectors is compared by a matrix product in double precision.
-
-Equal vectors are one node with a count. A pair of intervals yields the number of links of
-each of its vectors and a spanning forest of the links, so a dense cluster costs work but not
-rows. Where the leading axes tell nothing apart (vectors spread evenly over many dimensions,
+are skipped. Every pair of intervals is put to that test in a product of the intervals' files
+with themselves, which reads a partition of either side in each task: no interval is copied
+into a shuffle for each other one that it may be near, so disk grows with the vectors and not
+with the pairs. Inside a pair of intervals the join goes on recursively: halves are bounded
+again, distant halves skipped, and what is left at LEAF vectors is compared by a matrix product
+in double precision.
+
+Equal vectors are one node with a count. A task yields the number of links of each of its
+vectors and a spanning forest of the links, so a dense cluster costs work but not rows. Where the leading axes tell nothing apart (vectors spread evenly over many dimensions,
 all within eps on each axis) no block can be skipped and the join is a blocked comparison of
 all vectors, spread over all tasks.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import dense_index, stage, width
+from veilframe.llm.common import dense_index, map_batches, stage
 from veilframe.llm.graph import components, spanning_forest
 
 LEADING, BLOCK, LEAF = 6, 2048, 256
@@ -130,21 +131,26 @@ def _joined(threshold: float, eps: float):
         gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
         return float(gap @ gap) > eps * eps * (1 + 1e-9)
 
+    def opened(row: dict, s: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        nodes, counts = (np.frombuffer(row[k + s], np.int64) for k in ("nodes", "counts"))
+        single = len(row["vectors" + s]) == 4 * row["d"] * len(nodes)
+        raw = np.frombuffer(row["vectors" + s], np.float32 if single else np.float64).astype(np.float64).reshape(-1, row["d"])
+        return row["block" + s], nodes, counts, np.frombuffer(row["places" + s]).reshape(-1, LEADING), raw, _unit(raw)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        degrees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        links: tuple[list[int], list[int]] = ([], [])
+        most, first = 200_000, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                d, same = row["d"], row["block"] == row["block2"]
-                nodes, counts, places, raw = ([], [], [], [])
-                for s in ("", "2"):
-                    nodes.append(np.frombuffer(row["nodes" + s], np.int64))
-                    counts.append(np.frombuffer(row["counts" + s], np.int64))
-                    places.append(np.frombuffer(row["places" + s]).reshape(-1, LEADING))
-                    single = len(row["vectors" + s]) == 4 * d * len(nodes[-1])
-                    raw.append(np.frombuffer(row["vectors" + s], np.float32 if single else np.float64).astype(np.float64).reshape(-1, d))
-                unit = [_unit(m) for m in raw]
-                degree = [np.zeros(len(n), np.int64) for n in nodes]
-                links: tuple[list[int], list[int]] = ([], [])
+                d, block = batch.column("d")[i].as_py(), batch.column("block")[i].as_py()
+                again = first is not None and first[0] == (d, block)  # rows come by their first interval
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names if k.endswith("2") or k == "d" or not again}
+                first = first if again else ((d, block), opened(row, ""))
+                both = (first[1], opened(row, "2"))
+                same = both[0][0] == both[1][0]
+                _, nodes, counts, places, raw, unit = zip(*both, strict=True)
+                degree = [degrees.setdefault((d, x[0]), (x[1], np.zeros(len(x[1]), np.int64)))[1] for x in both]
                 todo = [(0, len(nodes[0]), 0, len(nodes[1]))]
                 while todo:
                     a, b, c, e = todo.pop()
@@ -167,21 +173,38 @@ def _joined(threshold: float, eps: float):
                         lower = p > q if (a, b) == (c, e) else np.ones(len(p), bool)
                         p, q = p[lower], q[lower]
                     np.add.at(degree[0], p, counts[1][q])
-                    np.add.at(degree[0] if same else degree[1], q, counts[0][p])
+                    np.add.at(degree[1], q, counts[0][p])
                     links[0].extend(nodes[0][p].tolist())
                     links[1].extend(nodes[1][q].tolist())
-                    if len(links[0]) > 200_000:
+                    if len(links[0]) > most:
                         links = spanning_forest(*links)
-                links = spanning_forest(*links)
-                own = [(n[k], g[k]) for n, g in zip(nodes, degree, strict=True) for k in [np.flatnonzero(g)]]
-                a = np.concatenate([*(n for n, _ in own), np.array(links[0], np.int64)])
-                b = np.concatenate([*(g for _, g in own), np.array(links[1], np.int64)])
-                kind = np.repeat([0, 1], [len(a) - len(links[0]), len(links[0])])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+                        most = max(most, 2 * len(links[0]))
+        links = spanning_forest(*links)
+        own = [(n[k], g[k]) for n, g in degrees.values() for k in [np.flatnonzero(g)]]
+        a = np.concatenate([*(n for n, _ in own), np.array(links[0], np.int64)])
+        b = np.concatenate([*(g for _, g in own), np.array(links[1], np.int64)])
+        kind = np.repeat([0, 1], [len(a) - len(links[0]), len(links[0])])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
     return run
 
 
+def _met(blocks: DataFrame, eps: float) -> DataFrame:
+    """Pairs of intervals that may hold links, each once, with what both hold: a product of the
+    partitions of blocks with themselves, which shuffles nothing."""
+    other = blocks.select(*[F.col(c).alias(c + "2") for c in blocks.columns])
+    gap = F.aggregate(
+        F.zip_with(
+            F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y),
+            lambda x, y: F.greatest(x, y, F.lit(0.0)),
+        ),
+        F.lit(0.0), lambda s, x: s + x * x,
+    )
+    once = F.when((F.col("d") - F.col("d2") == 0) & (F.col("block") >= F.col("block2")), gap <= eps * eps * (1 + 1e-9))
+    # an equality of two columns would be taken as the key of a shuffle, in which one length of vectors is one group
+    return blocks.join(other.hint("shuffle_replicate_nl"), once).drop("low", "high", "low2", "high2", "d2")
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """key, n_links, component, kept of every row.
 
@@ -198,27 +221,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     order = ["d", *(f"c{i}" for i in range(LEADING)), "node"]
     ordered = dense_index(_celled(nodes, eps, _axes(nodes)), order, "grid-order")
     begin = ordered.groupBy("d").agg(F.min("idx").alias("begin"))  # one row for each length of vectors
-    numbered = ordered.join(begin, "d").withColumn("block", F.floor((F.col("idx") - F.col("begin")) / BLOCK).cast("long"))
+    # sent to all tasks: a shuffle by d would put the vectors of one length into one task
+    numbered = ordered.join(F.broadcast(begin), "d").withColumn("block", F.floor((F.col("idx") - F.col("begin")) / BLOCK).cast("long"))
     blocks = stage(numbered.select("d", "block", "idx", "node", "n", "v", "p").groupBy("d", "block").applyInArrow(_block, BLOCKS), "blocks")
-    first = [F.floor(F.col(x)[0] / eps).cast("long") for x in ("low", "high")]
-    bounds = blocks.select("d", "block", "low", "high", F.explode(F.sequence(*first)).alias("cell"))
-    near = bounds.select(
-        F.col("d").alias("d2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"),
-        F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])).alias("cell2"),
-    )
-    gap = F.aggregate(
-        F.zip_with(
-            F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y),
-            lambda x, y: F.greatest(x, y, F.lit(0.0)),
-        ),
-        F.lit(0.0), lambda s, x: s + x * x,
-    )
-    pairs = bounds.join(near, (F.col("d") == F.col("d2")) & (F.col("cell") == F.col("cell2")) & (F.col("block") >= F.col("block2")))
-    pairs = pairs.where(gap <= eps * eps * (1 + 1e-9)).select("d", "block", "block2").distinct()
-    own = blocks.drop("low", "high")
-    other = own.select("d", F.col("block").alias("block2"), *[F.col(c).alias(c + "2") for c in ("nodes", "counts", "places", "vectors")])
-    met = pairs.join(own, ["d", "block"]).join(other, ["d", "block2"]).repartition(4 * width(spark), "d", "block", "block2")
-    found = stage(met.mapInArrow(_joined(threshold, eps), "kind long, a long, b long"), "grid-links")
+    found = stage(map_batches(_met(blocks, eps), _joined(threshold, eps), "kind long, a long, b long"), "grid-links")
     degrees = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     parts = components(found.where("kind = 1").select("a", "b"), "grid-stars")
     known = nodes.join(degrees, "node", "left").join(parts, "node", "left").select(
