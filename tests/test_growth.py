@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from veilframe.functions import patterns
 from veilframe.operators import context, detect, images, layer, layout, recognizer
+from veilframe.plans import alike, pipeline
 from veilframe.plans.folds import dicts
 from veilframe.sources import files
 
@@ -128,3 +129,23 @@ def test_envelopes_and_images_only_go_to_python(spark):
         "a.pdf": (b"%PDF-1.4", None, None), "b.p7m": (None, "not signed data", None), "c.png": (png, None, 420.945), "d.p7m": (None, "not recognised", None),
         "e.pdf": (png, None, 420.945), "f.pdf": (None, "not recognised", None),
     }
+
+
+def test_copies_of_a_document_are_analysed_once(spark, monkeypatch):
+    seen = []
+
+    def looked(pages, *rest):
+        seen.append(pages.count())
+        return detect.detect(pages, *rest)
+
+    monkeypatch.setattr(pipeline, "detect", looked)
+    text = "Si liquida a favore di Mario Rossi, cell. 347 1234567, la somma di euro 500."
+    rows = [(i, 1, text) for i in range(8)] + [(8, 2, text), (9, 1, text), (9, 2, "Rossi"), (10, 1, text + " "), (11, 1, None), (12, 1, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    at = text.index("Mario")
+    names = spark.createDataFrame([(i, 1 if i != 8 else 2, at, at + 11, 0.99) for i in (*range(6), 8, 9, 10)], "doc_id long, page int, start int, end int, score double")
+    few = sorted(map(str, pipeline.analysed(pages, names, "publish").collect()))
+    monkeypatch.setattr(alike, "SHARE", 2.0)
+    all_ = sorted(map(str, pipeline.analysed(pages, names, "publish").collect()))
+    assert seen == [7, 14]  # texts 0 to 5, 6 and 7 (no name), 8, 9 (two pages), 10, 11 and 12
+    assert few == all_ and len(few) >= 20
