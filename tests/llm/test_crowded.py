@@ -79,3 +79,28 @@ def test_no_bucket_takes_all_edges_of_a_passage(monkeypatch):
                 if r["bucket"] >= 0:
                     held[r["bucket"]] += int.from_bytes(suffix._unzip(r["runs"])[:8], "little")
     assert max(held.values()) < 0.1 * sum(held.values())
+
+
+def test_only_windows_that_may_repeat_are_merged():
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    seed, window = word(5), word(10)
+    strings = [word(8) + seed + word(8) for _ in range(50)] + [word(4) + window + word(6), b"short", word(9) + window + b"x", window]
+    parts, parent, base = suffix._alike(strings, 10)
+    assert parts == [window] * 3 and parent.tolist() == [50, 52, 53] and base.tolist() == [4, 9, 0]
+    assert suffix._alike(strings[:50], 10)[0] == [] and suffix._alike([b"short"], 10)[0] == [] and suffix._alike([], 10)[0] == []
+    same = b"ab" * 8
+    parts, parent, base = suffix._alike([same, word(20), same], 10)
+    assert parts == [same, same] and parent.tolist() == [0, 2] and base.tolist() == [0, 0]
+
+
+def test_a_chunk_sends_its_runs_in_one_batch(monkeypatch):
+    rng = random.Random(4)
+    text = bytes(rng.choices(range(97, 123), k=3000)) * 2
+    sink = pa.BufferOutputStream()
+    keys = pa.table({"_key": [1, 2]})
+    with pa.ipc.new_stream(sink, keys.schema) as out:
+        out.write_table(keys)
+    row = {"chunk": 7, "rest": suffix._zip(sink.getvalue().to_pybytes()), "ends": np.array([3000, 6000]).tobytes(), "text": suffix._zip(text), "marks": None}
+    batches = list(suffix._send_runs(50, 500)(iter([pa.RecordBatch.from_pylist([row])])))
+    assert len(batches) == 1 and batches[0].num_rows > 50 and min(batches[0].column("bucket").to_pylist()) == -8

@@ -17,7 +17,9 @@ bucket of a hash:
              the documents, so its runs are sent window by window instead, each window to the
              bucket of its own hash. All chunks know the same crowded seeds, so equal windows
              still meet.
-4. merge     in a bucket, equal strings become one. The others are dealt into shards; each
+4. merge     in a bucket, equal strings become one. Of the others only parts stay whose windows
+             have a hash twice: seeds that two texts share by chance grow with the input, windows
+             far less. What stays is dealt into shards; each
              shard gets its suffix array and Burrows-Wheeler transform, and the transforms
              are merged by interleave refinement: the order by k + 1 bytes comes from the
              order by k bytes in one stable distribution of the transforms' bytes, and where a
@@ -113,29 +115,34 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {k: batch.column(k)[i].as_py() for k in batch.schema.names}
 
 
-def _seeds(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """For each window start the seed's hash; 0 where the window leaves its document."""
-    n, k = len(text), max(1, int(length * SEED_SHARE))
-    if n < length:
-        return np.zeros(0, np.uint64)
+def _hashes(text: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each string of k bytes in text, which is k bytes or longer."""
     base = 0x9E3779B97F4A7C15
 
-    def joined(a, la, b, lb):
-        m = n - (la + lb) + 1
-        return a[:m] * np.uint64(pow(base, lb, 1 << 64)) + b[la : la + m]
+    def joined(a, b, lb):
+        m = len(b) - (len(text) - len(a) + 1)
+        return a[:m] * np.uint64(pow(base, lb, 1 << 64)) + b[len(b) - m :]
 
     power, size = text.astype(np.uint64) + np.uint64(1), 1
-    whole, have = None, 0
+    whole = None
     while True:
         if k & size:
-            whole, have = (power, size) if whole is None else (joined(whole, have, power, size), have + size)
+            whole = power if whole is None else joined(whole, power, size)
         if size * 2 > k:
             break
-        power, size = joined(power, size, power, size), size * 2
-    h = whole
-    h ^= h >> np.uint64(31)
+        power, size = joined(power, power, size), size * 2
+    h = whole ^ (whole >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _seeds(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """For each window start the seed's hash; 0 where the window leaves its document."""
+    n, k = len(text), max(1, int(length * SEED_SHARE))
+    if n < length:
+        return np.zeros(0, np.uint64)
+    h = _hashes(text, k)
     h |= np.uint64(1)
     w, have = length - k + 1, 1  # the least of w hashes
     while have * 2 <= w:
@@ -246,6 +253,7 @@ def _send_runs(length: int, buckets: int):
     bytes) that the chunk finds by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in _rows(batch):
                 text, keys, ends = _opened(row)
@@ -286,14 +294,21 @@ def _send_runs(length: int, buckets: int):
                     own, key, first = (np.concatenate(x) for x in ((own, name), (key, least), (first, at)))
                     size = np.concatenate((size, np.full(len(windows), length)))
                 gone, span = (np.concatenate(x) for x in zip(*cuts, strict=True))
+                to, sent_runs = [], []
                 if len(gone):  # a group of its own, which is passed on as it is
-                    yield _row(-1 - row["chunk"], row["chunk"], _zip(gone, span))
+                    to.append(-1 - row["chunk"])
+                    sent_runs.append(_zip(gone, span))
                 sent = sent[np.argsort(own[sent], kind="stable")]  # by seed, so by bucket
                 some, cut = _in_use(_bucket(own[sent], buckets))
                 for b, start, stop in zip(some.tolist(), cut, cut[1:], strict=False):
                     p = sent[start:stop]
                     table = _planes(own[p].astype(np.uint32), key[p], first[p].astype(np.uint32), size[p].astype(np.uint16))
-                    yield _row(b, row["chunk"], _zip(len(p).to_bytes(8, "little"), *table, *[pieces[j] for j in p.tolist()]))
+                    to.append(b)
+                    sent_runs.append(pack.compress(b"".join([len(p).to_bytes(8, "little"), *table, *[pieces[j] for j in p.tolist()]])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to, pa.int64()), pa.array(np.full(len(to), row["chunk"])), pa.array(sent_runs, pa.binary())],
+                    ["bucket", "chunk", "runs"],
+                )
 
     return run
 
@@ -314,21 +329,15 @@ def _columns(raw: bytes, at: int, n: int, *kinds: str) -> tuple[list[np.ndarray]
     return out, at
 
 
-def _row(bucket: int, chunk: int, runs: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket]), pa.array([chunk]), pa.array([runs], pa.binary())], ["bucket", "chunk", "runs"]
-    )
-
-
 def _judge(length: int):
     """Rows (chunk, cuts) with the intervals to remove that a bucket's runs give."""
 
     def run(group: pa.Table) -> pa.Table:
         if group.column("bucket")[0].as_py() < 0:
             return group.select(["chunk", "runs"]).rename_columns(["chunk", "cuts"])
-        strings, tables, chunks = [], [], []
+        strings, tables, chunks, unpack = [], [], [], zstandard.ZstdDecompressor()
         for chunk, blob in zip(group.column("chunk").to_pylist(), group.column("runs"), strict=True):
-            raw = _unzip(blob.as_py())
+            raw = unpack.decompress(blob.as_py())
             n = int.from_bytes(raw[:8], "little")
             columns, at = _columns(raw, 8, n, "u4", "i8", "u4", "u2")
             tables.append(columns)
@@ -356,9 +365,13 @@ def _judge(length: int):
             found = []
             for i, j in zip([0, *part[:-1].tolist()], part.tolist(), strict=True):  # equal windows share a seed
                 own = met[i:j]
-                which_, offset = repeated_windows([distinct[k] for k in own.tolist()], least[own], length)
-                found.append((own[which_], offset))
-            string, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+                parts, parent, base = _alike([distinct[k] for k in own.tolist()], length)
+                if not parts:
+                    continue
+                which_, offset = repeated_windows(parts, least[own[parent]], length)
+                found.append((own[parent[which_]], base[which_] + offset))
+            nothing = np.zeros(0, np.int64)
+            string, offset = (np.concatenate(x) for x in zip((nothing, nothing), *found, strict=True))
             order = np.lexsort((offset, string))
             string, offset = string[order], offset[order]
             first = np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] > offset[:-1] + 1)))[: len(string)]
@@ -382,6 +395,35 @@ def _judge(length: int):
     return run
 
 
+def _alike(strings: list[bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The parts of strings whose windows have a hash that another window has too, each with
+    its string and its place there. Equal windows have equal hashes, so no other part can repeat."""
+    raw = b"".join(strings)
+    if len(raw) < length:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum([len(s) for s in strings])
+    inside = np.ones(len(raw) - length + 1, bool)  # windows that end in their own string
+    delta = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(delta, np.maximum(ends - length + 1, np.concatenate(([0], ends[:-1]))), 1)
+    np.subtract.at(delta, ends, 1)
+    inside &= np.cumsum(delta)[: len(inside)] == 0
+    at = np.flatnonzero(inside)
+    h = _hashes(np.frombuffer(raw, np.uint8), length)[at]
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    again = np.zeros(len(at), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    at = at[again]
+    string = np.searchsorted(ends, at, "right")
+    first = np.concatenate(([True], (at[1:] > at[:-1] + 1) | (string[1:] != string[:-1])))[: len(at)]
+    begin = at[first]
+    last = at[np.append(first[1:], True)[: len(at)]]
+    parent = string[first]
+    starts = np.concatenate(([0], ends[:-1]))
+    return [raw[a : b + length] for a, b in zip(begin.tolist(), last.tolist(), strict=True)], parent, begin - starts[parent]
+
+
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and Burrows-Wheeler transform of strings with an end mark 0 after each
     (their own bytes are 1 or more). Suffixes are compared on as many bytes as the longest
