@@ -1,5 +1,6 @@
 """What must not grow with the rows: work of Python for each row, looks that most rows do not need."""
 
+import re
 import time
 
 import pyarrow as pa
@@ -149,3 +150,27 @@ def test_copies_of_a_document_are_analysed_once(spark, monkeypatch):
     all_ = sorted(map(str, pipeline.analysed(pages, names, "publish").collect()))
     assert seen == [7, 14]  # texts 0 to 5, 6 and 7 (no name), 8, 9 (two pages), 10, 11 and 12
     assert few == all_ and len(few) >= 20
+
+
+def test_keywords_are_looked_for_on_pages_with_names_only(spark, monkeypatch):
+    seen = []
+
+    def looked(pages, kinds, run=context._keywords):
+        seen.append(sorted(r.doc_id for r in pages.collect()))
+        return run(pages, kinds)
+
+    monkeypatch.setattr(context, "_keywords", looked)
+    text = "Il minore Mario Rossi frequenta la scuola."
+    pages = detect.prepared(spark.createDataFrame([(1, 1, text), (2, 1, text), (3, 1, None)], "doc_id long, page int, text string"))
+    names = spark.createDataFrame([(2, 1, 7, 10, 21), (2, 1, 8, 10, 15)], "doc_id long, page int, seq long, start int, end int")
+    pairs, _ = context._pairs(pages, names, context.KINDS)
+    assert seen == [[2]] and {(r.doc_id, r.kind, r.seq) for r in pairs.collect()} == {(2, "minor", 7), (2, "minor", 8)}
+
+
+def test_long_pages_are_not_looked_at_for_identity_documents(spark):
+    text = "CARTA D'IDENTITA' cognome nome nato il scadenza comune di rilasciata firma del titolare\nC<ITAROSSI<<MARIO<<<<<<<<<<<<<<<<<<<<<<<<<<<<<\n"
+    rows = [(1, 1, text, False, None, 0), (2, 1, text + "x" * 1500, False, None, 0)]
+    found = detect.page_findings(spark.createDataFrame(rows, "doc_id long, page int, text string, is_scan boolean, ocr_conf double, n_cards int"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Filter CASE WHEN \(is_scan#\d+ OR \(\(length\(text#\d+\) <= 1500\)", plan)
+    assert 2 not in [r.doc_id for r in found.collect()]

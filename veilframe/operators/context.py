@@ -100,7 +100,9 @@ def _pairs(pages: DataFrame, names: DataFrame, kinds: dict) -> tuple[DataFrame,
     placed = places.withColumn("n_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
     reach_a, reach_b = F.greatest(F.col("k_start") - F.col("radius"), F.lit(0)), F.col("k_end") + F.col("radius")
     first, last = F.floor(reach_a / CELL), F.floor(reach_b / CELL)
-    keyed = _keywords(pages, kinds).withColumn("k_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
+    # keywords of a page without names meet none
+    named = pages.join(names.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    keyed = _keywords(named, kinds).withColumn("k_first", first).withColumn("cell", F.explode(F.sequence(first, last)))
     both = keyed.join(placed, ["doc_id", "page", "cell"]).where(F.col("cell") == F.greatest("k_first", "n_first"))
     distance = F.greatest(F.col("n_start") - F.col("k_end"), F.col("k_start") - F.col("n_end"), F.lit(0))
     both = both.withColumns({

@@ -113,6 +113,8 @@ def _vat_context(text: Column, shadowed: Column, lead: Column, end: Column) -> C
     return F.when(is_person, "person").when(company_after | (company_before >= 0), "company")
 
 
+#: Characters of an identity document's page, at most.
+ID_LENGTH = 1500
 #: Characters kept on either side of a match for what is decided from its surroundings.
 WINDOW = 240
 
@@ -254,7 +256,9 @@ def page_findings(pages: DataFrame) -> DataFrame:
     # a page that is no scan is known by a zone or the structure of a document only: most have neither
     shapes, odd = literals(fixed.ID_STRUCTURAL), F.col("text").rlike(f"[{ODD_LETTERS}]")
     holds = let(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in (*shapes, "<<")]))
-    pages = pages.where(F.col("is_scan") | holds | odd)
+    # and pages of identity documents are short: longer texts are not looked at
+    short = F.length("text") <= ID_LENGTH
+    worth = F.col("is_scan") | (short & (holds | odd))
     strong, weak, scan, cards = clues(fixed.ID_STRONG), clues(fixed.ID_WEAK), F.col("is_scan"), F.when(F.col("is_scan"), F.col("n_cards")).otherwise(0)
     zone = F.col("text").rlike(java(fixed.ID_MRZ, False))
     shaped = scan | (clues(fixed.ID_STRUCTURAL) > 0)
@@ -264,11 +268,13 @@ def page_findings(pages: DataFrame) -> DataFrame:
         | (shaped & (strong >= 2) & (strong + weak >= 5))
         | ((cards > 0) & ((strong + weak >= 2) | (F.coalesce("ocr_conf", F.lit(0.0)) < 70)))
     )
-    identity = (F.length("text") <= 1500) & known
+    identity = short & known
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w.rlike(r"^\p{L}{3,}\z")))
     unread = scan & ((words < 12) | (F.coalesce("ocr_conf", F.lit(100.0)) < 60))
     clue_text = F.concat(F.lit("Page "), F.col("page"), F.when(zone, ": machine-readable zone").otherwise(": clues of an identity document"))
-    rows = pages.withColumn("what", F.when(identity, "B4P").when(unread, "C7")).where("what is not null")
+    # a condition, not a filter before: Spark works out what a filter holds twice for every row
+    what = F.when(worth, F.when(identity, "B4P").when(unread, "C7"))
+    rows = pages.withColumn("what", what).where("what is not null")
     nowhere = F.lit(None).cast("int")
     return rows.select(
         "doc_id", "page", F.lit(90 * STRIDE).alias("seq"), nowhere.alias("start"), nowhere.alias("end"),
